@@ -61,6 +61,13 @@ def _spanning(members: DataFrame) -> DataFrame:
     return members.join(heads, "key")
 
 
+def meeting(buckets: DataFrame) -> DataFrame:
+    """The rows of the buckets (key, id) that hold more than one id; buckets are dealt once for both uses."""
+    dealt = buckets.repartition(common.shuffle_partitions(buckets.sparkSession), "key")
+    shared = dealt.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("key")
+    return dealt.join(shared, "key", "left_semi")
+
+
 def link(buckets: DataFrame, verify: Verify) -> tuple[DataFrame, DataFrame]:
     """(id, label) of every linked member, and the tested links (a, b), from buckets (key, id).
 

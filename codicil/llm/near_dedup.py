@@ -182,8 +182,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     classes = common.save(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
     buckets = classes.select(F.explode("keys").alias("key"), "id")
 
-    shared = buckets.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("key")
-    meeting = common.save(buckets.join(shared, "key"), "meeting")
+    meeting = common.save(components.meeting(buckets), "meeting")
     wanted = classes.join(meeting.select("id").distinct(), "id").select("id", "rep", *own)
     wanted = common.save(wanted, "wanted")
     reps = wanted.select(F.col("rep").alias("doc_id")).distinct()

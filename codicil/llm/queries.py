@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, media_tiles, mixing, near_dedup, pii, tokens_wavelet, toxicity
+from . import decontam, edit_counts, fuzzy_lines, media_tiles, mixing, near_dedup, pii, substring, tokens_wavelet, toxicity
 from .common import table
 
 
@@ -21,6 +21,19 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op5_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_counts.recount(table(spark, sf_dir, "documents"), edit_counts.mask_entities)
+
+
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -41,6 +54,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_wavelet, op2_media_tiles, op3_near_dedup, op7_decontaminate, op8_poisson_mix, op9_pii, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_wavelet, op2_media_tiles, op3_near_dedup, op4_suffix_trees, op5_edit_counts, op6_fuzzy_lines, op7_decontaminate, op8_poisson_mix, op9_pii, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import brute
 import pytest
 
-from codicil.llm import decontam, media_tiles, near_dedup, pii, queries, tokens_wavelet
+from codicil.llm import decontam, media_tiles, near_dedup, pii, queries, substring, tokens_wavelet
 
 LONG = " ".join(f"word{i % 97}x{i % 13}" for i in range(3000))
 BASE = [f"Tok{i}" for i in range(120)]
@@ -76,6 +76,15 @@ def test_op3(spark, sf_dir, kind):
     same(got, brute.op3(rows))
 
 
+@kinds
+def test_op4(spark, sf_dir, kind):
+    docs, rows, _, _ = case(spark, sf_dir, kind)
+    want = brute.op4([(d, t) for d, t in rows if d is not None])
+    for options in ({}, {"group": 1}):  # the second sends every shared prefix to the longer one
+        got = substring.remove_repeats(docs, **options).where("doc_id IS NOT NULL").select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+        same(got, want)
+
+
 @kinds
 def test_op7(spark, sf_dir, kind):
     docs, rows, items, own = case(spark, sf_dir, kind)
