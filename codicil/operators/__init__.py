@@ -1,0 +1 @@
+"""Relational operators on containers, sections, payloads and reports."""

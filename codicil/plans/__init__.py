@@ -1,0 +1 @@
+"""Whole plans: conversion of many files, and where their outputs go."""

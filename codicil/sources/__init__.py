@@ -1,0 +1 @@
+"""Reading container files and writing recovered documents."""

@@ -1,0 +1 @@
+"""Incremental conversion, an extension of the batch plan."""
