@@ -1,22 +1,24 @@
 """Connected groups from candidate buckets, without listing the pairs of a bucket.
 
 Members that share a bucket are candidates. Three rounds test them: each member
-against one leader; then the members of buckets that still span several groups
-against the bucket's leader; then, of buckets that still span several groups,
-every pair of members of different groups. A pair within a group needs no test,
-so the result is that of testing all pairs of all buckets.
+against the leader of its buckets that meets most others; then the members of
+buckets that still span several groups against the bucket's leader; then, of
+buckets that still span several groups, all pairs of members of different groups
+that an exact bound doesn't exclude. A pair within a group needs no test, so the
+result is that of testing all pairs of all buckets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 Verify = Callable[[DataFrame], DataFrame]
+Possible = Callable[[Column, Column], Column]
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -51,16 +53,6 @@ def connected(links: DataFrame) -> DataFrame:
     return out
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-
-
-def _spanning(members: DataFrame) -> DataFrame:
-    """Members of the buckets that span several groups, with the bucket's leader."""
-    heads = members.groupBy("key").agg(F.min(F.struct("label", "id")).alias("head"), F.max("label").alias("top")).where("head.label < top").select("key", "head")
-    return members.join(heads, "key")
-
-
 def meeting(buckets: DataFrame) -> DataFrame:
     """The rows of the buckets (key, id) that hold more than one id; buckets are dealt once for both uses."""
     dealt = buckets.repartition(common.shuffle_partitions(buckets.sparkSession), "key")
@@ -68,38 +60,56 @@ def meeting(buckets: DataFrame) -> DataFrame:
     return dealt.join(shared, "key", "left_semi")
 
 
-def link(buckets: DataFrame, verify: Verify) -> tuple[DataFrame, DataFrame]:
-    """(id, label) of every linked member, and the tested links (a, b), from buckets (key, id).
+def _scored(members: DataFrame) -> DataFrame:
+    """Members with the sum of their buckets' sizes. What a group varies from meets most of the others."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    scores = members.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("score"))
+    return members.join(scores, "id").select("key", "id", "score")
+
+
+def _spanning(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, id, label, head of the buckets that span several groups; the head is the member with the best score."""
+    labelled = members.join(labels, "id", "left").select("key", "id", "score", F.coalesce("label", "id").alias("label"))
+    heads = labelled.groupBy("key").agg(F.max(F.struct("score", "id", "label")).alias("head"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key", "head")
+    return labelled.join(heads, "key").select("key", "id", "label", "head")
+
+
+def _ordered(x: Column, y: Column) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def link(buckets: DataFrame, verify: Verify, attributes: DataFrame, possible: Possible) -> DataFrame:
+    """id, label of every linked member of buckets (key, id) of two members or more.
 
-    verify takes pairs (a, b) of ids, a < b, each once, and returns those that are
-    links. A bucket may hold the same id twice.
+    verify takes pairs (a, b), a < b, each once, and returns those that are links.
+    attributes (id, x) holds what `possible` needs of two members to tell, by a bound
+    and never by an estimate, that they can't be a link; such pairs are not formed.
     """
-    heads = buckets.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("top")).where("head < top").select("key", "head")
-    members = common.save(buckets.join(heads, "key").distinct(), "members")
-    first = members.where("id <> head").groupBy("id").agg(F.min("head").alias("a")).select("a", F.col("id").alias("b"))
-    tested = common.save(first, "pairs")
+    members = common.save(_scored(buckets.distinct()), "members")
+    best = F.max(F.struct("head.score", "head.id"))
+    heads = members.groupBy("key").agg(F.max(F.struct("score", "id")).alias("head"))
+    first = members.join(heads, "key").groupBy("id").agg(best.alias("best")).where("id <> best.id")
+    tested = common.save(first.select(*_ordered(F.col("id"), F.col("best.id"))).distinct(), "pairs")
     links = common.save(verify(tested), "links")
     labels = connected(links)
-    members = members.select("key", "id")
 
-    spanning = _spanning(_labelled(members, labels)).where("label <> head.label")
-    pairs = spanning.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
-    second = common.save(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    others = _spanning(members, labels).where("label <> head.label")
+    second = common.save(others.select(*_ordered(F.col("id"), F.col("head.id"))).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         tested = tested.unionAll(second)
-        links = links.unionAll(common.save(verify(second), "links"))
-        labels = connected(links)
-
-        open_ = common.save(_spanning(_labelled(members, labels)).select("key", "id", "label"), "open")
-        groups = open_.select("key", "label").distinct()
-        crossing = groups.join(groups.withColumnRenamed("label", "other"), "key").where("label < other")
-        left = open_.select("key", "label", F.col("id").alias("x"))
-        right = open_.select("key", F.col("label").alias("other"), F.col("id").alias("y"))
-        pairs = crossing.join(left, ["key", "label"]).join(right, ["key", "other"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        third = common.save(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not third.isEmpty():
-            found = common.save(verify(third), "links")
-            if not found.isEmpty():
-                links = links.unionAll(found)
-                labels = connected(links)
-    return labels, links
+        found = common.save(verify(second), "links")
+        if not found.isEmpty():
+            links = links.unionAll(found)
+            labels = connected(links)
+
+    open_ = _spanning(members, labels).select("key", "id", "label").join(attributes, "id")
+    open_ = common.save(open_, "open")
+    left = open_.select("key", F.col("id").alias("i"), F.col("label").alias("p"), F.col("x").alias("x"))
+    right = open_.select("key", F.col("id").alias("j"), F.col("label").alias("q"), F.col("x").alias("y"))
+    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("p") < F.col("q")) & possible(F.col("x"), F.col("y"))).select(*_ordered(F.col("i"), F.col("j"))).distinct()
+    third = common.save(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    if not third.isEmpty():
+        found = common.save(verify(third), "links")
+        if not found.isEmpty():
+            labels = connected(links.unionAll(found))
+    return labels

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, components, textscan
@@ -29,6 +29,8 @@ REGISTERS, BASE, RATE, TOP = 97, 1.001, 20.0, (1 << 16) - 1
 BANDS, ROWS = 32, 3
 #: A pair estimated below this is not confirmed: over five standard deviations under the threshold.
 ESTIMATE = 0.5
+#: 64-bit words of the parity bitmaps; the narrow one is the wide one folded.
+NARROW, WIDE = 8, 64
 U = np.uint64
 
 
@@ -126,6 +128,12 @@ def _totals(x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[bounds[1:]] - a[bounds[:-1]], b[bounds[1:]] ^ b[bounds[:-1]]
 
 
+def _lists(grid: np.ndarray) -> pa.ListArray:
+    """Rows of a uint64 grid as arrays of longs."""
+    n, width = grid.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(textscan.signed(np.ascontiguousarray(grid)).ravel()))
+
+
 _SKETCH = "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"
 
 
@@ -134,9 +142,43 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(whole):
             x, bounds = shingle_sets(*common.text_bytes(batch.column("text")))
             h1, h2 = _totals(x, bounds)
-            keys = textscan.signed(bands(registers(x, bounds)))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(textscan.signed(h1)), pa.array(textscan.signed(h2)), flat], ["doc_id", "n_shingles", "h1", "h2", "keys"])
+            keys = _lists(bands(registers(x, bounds)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(textscan.signed(h1)), pa.array(textscan.signed(h2)), keys], ["doc_id", "n_shingles", "h1", "h2", "keys"])
+
+
+def odd_sketch(x: np.ndarray, bounds: np.ndarray, words: int) -> np.ndarray:
+    """Parity bitmaps of each row's set: `words` 64-bit words. Two sets differ in at least as many elements as their bitmaps in bits."""
+    n = len(bounds) - 1
+    row = np.repeat(np.arange(n, dtype=np.int64), np.diff(bounds))
+    bit = (textscan.mix(x + U(0x632BE59BD9B4E019)) % U(64 * words)).astype(np.int64)
+    counts = np.bincount(row * (64 * words) + bit, minlength=n * 64 * words) & 1
+    return np.packbits(counts.astype(np.uint8).reshape(n, 64 * words), axis=1, bitorder="little").view(np.uint64)
+
+
+def _differ(x: Column, y: Column, name: str, words: int) -> Column:
+    out = F.lit(0)
+    for i in range(words):
+        out = out + F.bit_count(x[f"{name}{i}"].bitwiseXOR(y[f"{name}{i}"]))
+    return out
+
+
+def _possible(threshold: int):
+    """Whether two sets can reach the threshold: by size, then by parity bitmaps of 512 and of 4096 bits.
+
+    J = o / (s - o) for an overlap o of sizes that sum to s, and the sets differ in
+    s - 2 o elements; a bitmap's difference is a lower bound of that.
+    """
+
+    def possible(x: Column, y: Column) -> Column:
+        small, large, total = F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"]), x["n"] + y["n"]
+        room = total * (100 - threshold)
+        wide = F.aggregate(F.zip_with(x["wide"], y["wide"], lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, c: s + c)
+        return (100 * small >= threshold * large) & ((100 + threshold) * _differ(x, y, "o", NARROW) <= room) & ((100 + threshold) * wide <= room)
+
+    return possible
+
+
+_REHASH = "text string, n_shingles long, h1 long, h2 long, wide array<long>, narrow array<long>"
 
 
 def _rehash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +186,9 @@ def _rehash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(whole):
             x, bounds = shingle_sets(*common.text_bytes(batch.column("text")))
             h1, h2 = _totals(x, bounds)
-            yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(np.diff(bounds)), pa.array(textscan.signed(h1)), pa.array(textscan.signed(h2))], ["text", "n_shingles", "h1", "h2"])
+            wide = odd_sketch(x, bounds, WIDE)
+            narrow = np.bitwise_xor.reduce(wide.reshape(-1, WIDE // NARROW, NARROW), axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(np.diff(bounds)), pa.array(textscan.signed(h1)), pa.array(textscan.signed(h2)), _lists(wide), _lists(narrow)], ["text", "n_shingles", "h1", "h2", "wide", "narrow"])
 
 
 def _confirm(threshold: int):
@@ -187,14 +231,16 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     wanted = common.save(wanted, "wanted")
     reps = wanted.select(F.col("rep").alias("doc_id")).distinct()
     texts = common.join_small(docs.select("doc_id", "text"), reps, "doc_id", "left_semi").unionAll(docs.where("doc_id IS NULL").select("doc_id", "text"))
-    texts = texts.mapInArrow(_rehash, "text string, n_shingles long, h1 long, h2 long")
-    texts = common.save(common.join_small(texts, wanted.select("id", *own), own, "inner").groupBy("id").agg(F.first("text").alias("text")), "texts")
+    texts = common.join_small(texts.mapInArrow(_rehash, _REHASH), wanted.select("id", *own), own, "inner")
+    texts = common.save(texts.groupBy("id").agg(F.first("text").alias("text"), F.first("n_shingles").alias("n"), F.first("wide").alias("wide"), F.first("narrow").alias("narrow")), "texts")
+    narrow = [F.get("narrow", F.lit(i)).alias(f"o{i}") for i in range(NARROW)]
+    attributes = texts.select("id", F.struct("n", "wide", *narrow).alias("x"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(threshold), "a long, b long")
 
-    labels, _ = components.link(meeting, verify)
+    labels = components.link(meeting, verify, attributes, _possible(threshold))
     linked = labels.join(classes.select("id", "rep"), "id")
     lowest = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
     linked = linked.join(lowest, "label").select("id", "component_id")
