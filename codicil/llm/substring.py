@@ -26,8 +26,8 @@ from . import common, textscan
 
 WINDOW = 50
 PREFIX = 16
-#: Suffixes under one prefix that make a group for one task.
-GROUP = 20_000
+#: Suffixes under one prefix that make a group for one task, some 20 MB.
+GROUP = 100_000
 #: Bits a shared prefix gets in the filter that is broadcast, and the filter's greatest size (32 MB).
 BITS_EACH, MOST_BITS = 16, 28
 U = np.uint64
@@ -189,6 +189,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group:
     return grown.unionByName(hits.select("doc_id", F.array("at", F.col("at") + window).alias("spans")))
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_union(s) for s in batch.column("spans").to_pylist()], pa.list_(pa.int64()))], ["doc_id", "spans"])
+
+
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -213,7 +218,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFram
     row of docs gives a row; an empty table gives none.
     """
     spans = repeats(docs, window, **options).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    spans = common.save(spans.select(F.col("doc_id").alias("_id"), "spans"), "repeats")
+    spans = common.save(spans.mapInArrow(_merge, _COVER).select(F.col("doc_id").alias("_id"), "spans"), "repeats")
     sizes = spans.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("spans")).alias("m")).first()
     # 16 MB at most when broadcast; otherwise documents are shuffled to their spans.
     if sizes["n"] <= 300_000 and (sizes["m"] or 0) <= 1_500_000:
