@@ -162,6 +162,28 @@ class TripleDes:
             left, right = right, left
         return _permute((left.astype(np.uint64) << np.uint64(32)) | right, leave)
 
+    def chain(self, block: int, count: int) -> list[int]:
+        """Each block the encryption of the one before: serial, so in plain integers."""
+        boxes, enter, leave = (t.tolist() for t in _constant())
+        keys = [[k.tolist() for k in schedule] for schedule in self.rounds]
+        out = []
+        for _ in range(count):
+            x = sum(enter[i][block >> (56 - 8 * i) & 255] for i in range(8))
+            left, right = x >> 32, x & 0xFFFFFFFF
+            for schedule in keys:
+                for k in schedule:
+                    # The half with its last bit before and its first bit after: eight overlapping groups of six.
+                    wide = (right & 1) << 33 | right << 1 | right >> 31
+                    mixed = left
+                    for i in range(8):
+                        mixed ^= boxes[i][(wide >> (28 - 4 * i) & 63) ^ k[i]]
+                    left, right = right, mixed
+                left, right = right, left
+            x = left << 32 | right
+            block = sum(leave[i][x >> (56 - 8 * i) & 255] for i in range(8))
+            out.append(block)
+        return out
+
 
 @lru_cache(maxsize=256)
 def triple_des(key: bytes) -> TripleDes:
@@ -173,15 +195,20 @@ def _check_reset(reset: int) -> None:
         raise ValueError("the restart interval must be a positive multiple of 8")
 
 
-@lru_cache(maxsize=256)
-def _pad(key: bytes, reset: int) -> np.ndarray:
-    """A window's output-feedback key stream: the same for every window of a key."""
-    cipher, out = triple_des(key), []
-    block = np.frombuffer(cipher.iv, ">u8").astype(np.uint64)
-    for _ in range(reset // 8):
-        block = cipher.encrypt(block)
-        out.append(block)
-    return np.concatenate(out).astype(">u8").view(np.uint8)
+_pads: dict[bytes, np.ndarray] = {}
+
+
+def _pad(key: bytes, size: int) -> np.ndarray:
+    """The first bytes of a key's output-feedback stream, the same for every window; kept and made longer as needed."""
+    have = _pads.get(key)
+    if have is None or len(have) < size:
+        if len(_pads) >= 64 and key not in _pads:
+            _pads.clear()
+        last = triple_des(key).iv if have is None else have[-8:].tobytes()
+        more = triple_des(key).chain(int.from_bytes(last, "big"), -(-(size - (0 if have is None else len(have))) // 8))
+        fresh = np.array(more, np.uint64).astype(">u8").view(np.uint8)
+        have = _pads[key] = fresh if have is None else np.concatenate([have, fresh])
+    return have[:size]
 
 
 def ofb(key: bytes, data: bytes, reset: int = WINDOW) -> bytes:
@@ -227,6 +254,23 @@ def cfb64_encrypt(key: bytes, data: bytes, reset: int = WINDOW) -> bytes:
     return grid.ravel()[: len(x)].astype(">u8").tobytes()[: len(data)]
 
 
+def _windows(parts: list[bytes], reset: int) -> tuple[bytes, list[int]]:
+    """Parts one after the other, each padded to whole windows, and where each begins."""
+    starts, at = [], 0
+    for p in parts:
+        starts.append(at)
+        at += -(-len(p) // reset) * reset
+    return b"".join(p + bytes(-len(p) % reset) for p in parts), starts
+
+
+def many(run, key: bytes, parts: list[bytes], reset: int = WINDOW) -> list[bytes]:
+    """A mode over many payloads of one key in one call: windows don't depend on each other."""
+    _check_reset(reset)
+    whole, starts = _windows(parts, reset)
+    out = run(key, whole, reset)
+    return [out[s : s + len(p)] for s, p in zip(starts, parts, strict=True)]
+
+
 def cfb8_decrypt(key: bytes, data: bytes, reset: int = WINDOW) -> bytes:
     """8-bit feedback, a candidate that the mode sweep tries."""
     _check_reset(reset)

@@ -57,6 +57,10 @@ class Strategy:
     def decrypt(self, info: StreamInfo, data: bytes) -> bytes:
         return data
 
+    def decrypt_all(self, infos: list[StreamInfo], data: list[bytes]) -> list[bytes]:
+        """All payloads of a file; for strategies that gain by it."""
+        return [self.decrypt(i, d) for i, d in zip(infos, data, strict=True)]
+
 
 class TripleDesStrategy(Strategy):
     def __init__(self, key: bytes, mode: str, reset: int = kernels.WINDOW):
@@ -68,6 +72,9 @@ class TripleDesStrategy(Strategy):
     def decrypt(self, info: StreamInfo, data: bytes) -> bytes:
         return self._run(self.key, data, self.reset)
 
+    def decrypt_all(self, infos: list[StreamInfo], data: list[bytes]) -> list[bytes]:
+        return kernels.many(self._run, self.key, data, self.reset)
+
 
 Factory = Callable[[bytes], Strategy]
 #: Named strategies that take the file key, for `strategy=`.
@@ -165,13 +172,12 @@ def decode_body(body: bytes, key: bytes, blob: bytes | None, algorithm: int, str
     run, file_key, source = choose(strategy, algorithm, blob)
     payloads = pdfbytes.scan(plain)
     pdf = bytearray(plain)
-    for p in payloads:
-        if p.size:
-            info = StreamInfo(p.idx, p.start, p.size, p.number, p.generation, bytes(pdf[p.dict_start : p.dict_end]), file_key)
-            new = run.decrypt(info, plain[p.start : p.end])
-            if len(new) != p.size:
-                raise Refusal("LENGTH_CHANGED", f"strategy `{run.name}` made {len(new)} of {p.size} bytes in payload {p.idx}")
-            pdf[p.start : p.end] = new
+    full = [p for p in payloads if p.size]
+    infos = [StreamInfo(p.idx, p.start, p.size, p.number, p.generation, plain[p.dict_start : p.dict_end], file_key) for p in full]
+    for p, new in zip(full, run.decrypt_all(infos, [plain[p.start : p.end] for p in full]), strict=True):
+        if len(new) != p.size:
+            raise Refusal("LENGTH_CHANGED", f"strategy `{run.name}` made {len(new)} of {p.size} bytes in payload {p.idx}")
+        pdf[p.start : p.end] = new
     kind, at, size = pdfbytes.unlock(pdf)
     out = bytes(pdf)
     streams = [

@@ -54,9 +54,14 @@ def container(sections: list[tuple[int, bytes]], version: bytes = b"\x00\x00\x03
 
 def seal(document: bytes, ranges: list[tuple[int, int]], mode: str = "cfb64", key: bytes = KEY, blob: bytes | None = None, algorithm: int | None = None, types: tuple[int, ...] = (3, 4, 5, 16), **options) -> bytes:
     """Encrypt the payload ranges, then the whole, and wrap it up."""
+    return wrap(document, ranges, kernels.many(kernels.ENCRYPT[mode], key, [document[s:e] for s, e in ranges]), mode, key, blob, algorithm, types, **options)
+
+
+def wrap(document: bytes, ranges: list[tuple[int, int]], encrypted: list[bytes], mode: str, key: bytes = KEY, blob: bytes | None = None, algorithm: int | None = None, types: tuple[int, ...] = (3, 4, 5, 16), **options) -> bytes:
+    """The container of a document whose payloads are encrypted already."""
     body = bytearray(document)
-    for s, e in ranges:
-        body[s:e] = kernels.ENCRYPT[mode](key, bytes(body[s:e]))
+    for (s, e), new in zip(ranges, encrypted, strict=True):
+        body[s:e] = new
     number = IDS[mode] if algorithm is None else algorithm
     parts = [kernels.apply_body(key[:16], bytes(body)).tobytes(), key[:16], key if blob is None else blob, struct.pack("<I", number)]
     return container(list(zip(types, parts, strict=True)), **options)
@@ -66,12 +71,15 @@ def _sealer(plain_blocks: bool, wrong_types: bool):
     types = (2, 7, 1, 34) if wrong_types else (3, 4, 5, 16)
 
     def run(payloads: pa.Array, modes: pa.Array, shift: pa.Array) -> pa.Array:
-        rows = []
+        rows, parts = [], {m: [] for m in IDS}
         for texts, mode, more in zip(payloads.to_pylist(), modes.to_pylist(), shift.to_pylist(), strict=True):
             packed = [stored(t or b"") if plain_blocks else zlib.compress(t or b"", 6) for t in texts or []]
-            declared = [len(p) + more for p in packed] if more else None
-            rows.append(seal(*pdf(packed, declared), mode=mode, types=types))
-        return pa.array(rows, pa.binary())
+            document, ranges = pdf(packed, [len(p) + more for p in packed] if more else None)
+            rows.append((document, ranges, mode))
+            parts[mode] += [document[s:e] for s, e in ranges]
+        # The payloads of a batch share the key and are encrypted together.
+        done = {m: iter(kernels.many(kernels.ENCRYPT[m], KEY, p)) for m, p in parts.items()}
+        return pa.array([wrap(d, r, [next(done[m]) for _ in r], m, types=types) for d, r, m in rows], pa.binary())
 
     return F.arrow_udf(run, "binary").asNondeterministic()
 
