@@ -28,6 +28,8 @@ FIT_ROWS = 8_000
 #: Lexicon entries kept at most, those seen in most toxic documents first.
 LEXICON = 2_000
 THRESHOLD = 0.7
+#: Probability that any entry of the lexicon is there by chance.
+CHANCE = 0.1
 _STEMS = range(3, 9)
 
 # Closed-class words of the grammar, English, German, French and Spanish.
@@ -193,7 +195,7 @@ def held_out(doc_id: Column) -> Column:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each word and word beginning, the toxic and other documents of a task that hold it."""
     counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for batch in batches:
+    for batch in (part for whole in batches for part in common.slices(whole)):
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             words = set(_WORD.findall((text or "").lower()))
             for key in {f"w{w}" for w in words if len(w) <= 40} | {f"s{w[:n]}" for w in words for n in _STEMS if len(w) > n}:
@@ -254,9 +256,10 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _reading(shared):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value)
-        for batch in batches:
-            rows = [reader.events(t or "").tolist() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "events"])
+        for whole in batches:
+            for batch in common.slices(whole):
+                rows = [reader.events(t or "").tolist() for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "events"])
 
     return read
 
@@ -276,7 +279,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, lexicon: int =
     if len(n) < 2:
         return Model()
     keys = sample.mapInArrow(_features, "key string, toxic long, other long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    telling = keys.where((F.col("toxic") >= 3) & (F.col("toxic") >= 19 * F.col("other")))
+    keys = common.save(keys, "toxic-keys")
+    # The chance that as many of a key's documents are toxic, times the keys that could have had it (Bonferroni).
+    share, both = n[True] / (n[True] + n[False]), F.col("toxic") + F.col("other")
+    odds = F.lit(0.0) + F.col("toxic") * math.log(1 / share) - F.col("other") * F.log(both.cast("double"))
+    telling = keys.where((F.col("toxic") >= 9 * F.col("other")) & (odds >= math.log(keys.count() / CHANCE)))
     top = telling.orderBy(F.desc("toxic"), "key").limit(lexicon).collect()
     words, stems = _lexicon([(r["key"], r["toxic"], r["other"]) for r in top], n[True], n[False])
     model = Model(words, stems)
@@ -290,7 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, lexicon: int =
 def _scorer(shared, columns: list[str]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.slices(whole)):
             events = [reader.events(t or "") for t in batch.column("text").to_pylist()]
             scores = pa.array([reader.model.score(e) for e in events], pa.float64())
             found = [pa.array([round(math.expm1(e[i])) for e in events], pa.int64()) for i in range(len(EVENTS))]
@@ -318,7 +325,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value)
         at = names.index("text")
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.slices(whole)):
             ok = [reader.model.score(reader.events(t or "")) < THRESHOLD for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
