@@ -56,4 +56,38 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_wavelet, op2_media_tiles, op3_near_dedup, op4_suffix_trees, op5_edit_counts, op6_fuzzy_lines, op7_decontaminate, op8_poisson_mix, op9_pii, op10_toxicity)}
 
-ORACLES: dict[str, str] = {}
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+ORACLES: dict[str, str] = {
+    "op4_suffix_trees": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+') AS ws FROM documents),
+        w AS (SELECT doc_id, i, md5(array_to_string(ws[i + 1 : i + 50], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 49, 0))) AS i FROM d)),
+        m AS (SELECT h, min(doc_id) AS low FROM w GROUP BY h),
+        hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM w JOIN m USING (h) WHERE doc_id > low),
+        words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS p FROM d),
+        kept AS (SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY p)) AS s FROM words ANTI JOIN hit USING (doc_id, p) GROUP BY doc_id),
+        gone AS (SELECT doc_id, count(*) AS n FROM hit GROUP BY doc_id)
+        SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, coalesce(s, sha256('')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)""",
+    "op7_decontaminate": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, {_ALNUM}) AS ws FROM documents),
+        b AS (SELECT item_id, regexp_extract_all({_LOW}, {_ALNUM}) AS ws FROM benchmark),
+        t AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(len(ws), 10) AS n, array_to_string(ws[i + 1 : i + 10], ' ') AS g FROM (SELECT item_id, ws, unnest(range(0, greatest(len(ws) - 9, 1))) AS i FROM b WHERE len(ws) > 0)),
+        w AS (SELECT doc_id, n, i, array_to_string(ws[i + 1 : i + n], ' ') AS g FROM (SELECT doc_id, ws, n, unnest(range(0, greatest(len(ws) - n + 1, 0))) AS i FROM d, (SELECT DISTINCT n FROM t))),
+        h AS (SELECT doc_id, n, i, item FROM w JOIN t USING (n, g)),
+        p AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS at FROM h) GROUP BY doc_id),
+        q AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS s FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+        SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)""",
+    "op8_poisson_mix": """
+        WITH RECURSIVE s AS (SELECT source, CAST(sum(n_chars) AS DOUBLE) AS size FROM documents GROUP BY source),
+        a AS (SELECT CAST(count(*) AS DOUBLE) AS w, sum(size) AS total FROM s WHERE size > 0),
+        r AS (SELECT source, 1.0 / w * total / size AS rate FROM s, a WHERE size > 0),
+        q AS (SELECT source, CAST(greatest(1, ceil(rate / 16.0)) AS INTEGER) AS parts, rate / greatest(1, ceil(rate / 16.0)) AS part FROM r),
+        c(source, parts, part, k, p, cdf) AS (SELECT source, parts, part, 0, exp(-part), exp(-part) FROM q
+            UNION ALL SELECT source, parts, part, k + 1, p * part / (k + 1), cdf + p * part / (k + 1) FROM c WHERE k < 63),
+        u AS (SELECT doc_id, source, text, i, (CAST(CAST('0x' || substr(md5('17|' || doc_id || '|' || i), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0 AS u
+            FROM (SELECT doc_id, documents.source AS source, text, unnest(range(1, parts + 1)) AS i FROM documents JOIN q ON documents.source = q.source)),
+        n AS (SELECT doc_id, u.source AS source, text, count(*) AS n FROM u JOIN c ON u.source = c.source AND c.cdf <= u.u GROUP BY doc_id, u.source, text)
+        SELECT doc_id, source, mix_copy, md5('order 17|' || doc_id || '|' || mix_copy) AS mix_key, md5(text) AS text_md5 FROM (SELECT doc_id, source, text, unnest(range(1, n + 1)) AS mix_copy FROM n)""",
+}
