@@ -141,3 +141,18 @@ def unlock(pdf: bytearray) -> tuple[str, int | None, int | None]:
         return "malformed", at, None
     pdf[at : end + 1] = b" " * (end + 1 - at)
     return "blanked", at, end + 1 - at
+
+
+_OBJECT = re.compile(rb"(?<![0-9])([0-9]+)\s+([0-9]+)\s+obj\b")
+
+
+def object_streams(pdf: bytes) -> list[tuple[int, int, int, bytes]]:
+    """(number, start, size, dictionary) by another rule: from object headers on, passing over objects that end before a stream."""
+    out = []
+    for m in _OBJECT.finditer(pdf):
+        keyword, closed = pdf.find(OPEN, m.end()), pdf.find(b"endobj", m.end())
+        if keyword < 0 or 0 <= closed < keyword:
+            continue
+        start = _LINE_ENDS.match(pdf, keyword + len(OPEN)).end()
+        out.append((int(m[1]), start, pdf.find(CLOSE, start) - start, pdf[m.end() : keyword]))
+    return out

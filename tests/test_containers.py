@@ -223,3 +223,38 @@ def test_stream_of_files(spark, tmp_path):
         (tmp_path / "in" / name).write_bytes(sealed())
         incremental.convert_stream(incremental.stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).select("code").count() == 2
+
+
+def test_both_scans_agree_on_plain_documents():
+    doc, ranges = synth.pdf([TEXT] * 3)
+    assert [(n, s, size) for n, s, size, _ in pdfbytes.object_streams(doc)] == [(i + 1, s, e - s) for i, (s, e) in enumerate(ranges)]
+    assert pdfbytes.object_streams(b"1 0 obj 5 endobj stream x endstream") == []
+
+
+def test_evidence(spark):
+    from codicil.operators import evidence
+
+    texts = [zlib.compress(bytes(range(256)) * 4 + bytes([i]), 0) for i in range(5)]
+    from codicil.functions import kernels
+
+    rows = spark.createDataFrame([(i, bytearray(kernels.cfb64_encrypt(KEY, t)), bytearray(KEY)) for i, t in enumerate(texts)], "n int, raw binary, key binary")
+    swept = {(r["mode"], r["chunk"]): (r["tried"], r["inflating"]) for r in evidence.mode_sweep(rows, evidence.grid(spark)).collect()}
+    assert len(swept) == 24 and all(v == (5, 5 if k == ("cfb64", 256) else 0) for k, v in swept.items())
+    assert [r[0] for r in evidence.first_differences(rows).collect()] == [8]
+    assert evidence.ambiguous(rows, "n").count() == 0
+    sizes = evidence.sizes_by_mode(rows, "n").collect()
+    assert all(r["cfb64"] == 1025 and r["ofb"] is None and r["cfb8"] is None for r in sizes)
+    pdfs = spark.createDataFrame([("f", bytearray(b"/Contents 4 0 R /FontFile2 9 0 R /Contents 4 0 R"))], "file string, pdf binary")
+    objects = spark.createDataFrame([("f", 4), ("f", 9), ("f", 5)], "file string, number long")
+    found = evidence.classes(objects, evidence.references(pdfs, "Contents"), evidence.references(pdfs, "FontFile2")).collect()
+    assert {r["number"]: r["class"] for r in found} == {4: "page", 9: "font", 5: "misc"}
+    assert evidence.bitmap_text(b"\xa0\x40", 3) == ["#.#", ".#."]
+
+
+def test_metadata(spark):
+    extra = [*PARTS, (0, b"<xml/>"), (255, b"Maker\x00\x00 3.2 \x01" + b" " * 136)]
+    out = convert.inspect(files(spark, synth.container(extra), synth.container([PARTS[0]])))
+    rows = report.metadata_dump(out, producer_by_shape=True).orderBy("path").collect()
+    assert "xml metadata : 6 B" in rows[0]["dump"] and "producer     : Maker 3.2" in rows[0]["dump"] and "algorithm=0x00000002" in rows[0]["dump"]
+    assert "FAILED" in rows[1]["dump"] and rows[1]["code"] == 0
+    assert bytes(out.select(sections.raw_of_type(0, unclaimed_only=True)).first()[0]) == b"<xml/>"
