@@ -43,7 +43,7 @@ class WordCache:
     that its own normaliser makes of them, all others through the whole library.
     """
 
-    def __init__(self, path: str, limit: int = 600_000, keep: int = 150_000):
+    def __init__(self, path: str, limit: int = 500_000, keep: int = 125_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
