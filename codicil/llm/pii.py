@@ -1,31 +1,28 @@
 """Personal data: patterns, and terms that by corpus statistics give the found entities away.
 
-Patterns find the protected entities. The words around an entity are candidate
-terms. Over the corpus, a term's pointwise mutual information with the entity,
+Patterns find the protected entities. The words of a document that holds an entity
+are candidate terms. Over the corpus, counted in whole documents, a term's pointwise mutual information with the entity,
 divided by the entity's information content, says what share of the entity the
 term discloses: PMI(t; e) / IC(e) = log(N n_te / n_t n_e) / log(N / n_e). Terms at
-or over a threshold are spans too; text is sanitised by generalising what has a
+or over a threshold are spans too wherever they stand, with the entity or without; text is sanitised by generalising what has a
 class (a number, an upper-case name) and removing the rest.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, textscan
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on either side of an entity that are looked at.
-REACH = 6
 DISCLOSURE = 0.9
-#: Documents in which a term must stand beside the entity for its estimate to count.
+#: Documents in which a term must stand with the entity for its estimate to count.
 SUPPORT = 2
 _BITS = 22
 
@@ -84,22 +81,22 @@ def _term(word: str) -> str:
     return _EDGES.sub("", word.lower())
 
 
-def _contexts(text: str, spans: list[tuple[int, int, int]], reach: int) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) for the words within reach of each entity and outside all."""
-    out = []
-    for s, kind, e in spans:
-        entity = f"{KINDS[kind]}:{text[s:e].lower()}"
-        left = text[max(0, s - 64 * reach) : s]
-        shift = s - len(left)
-        around = [(m.start() + shift, m[0]) for m in list(_WORD.finditer(left))[-reach:]]
-        around += [(m.start(), m[0]) for _, m in zip(range(reach), _WORD.finditer(text, e, e + 64 * reach), strict=False)]
-        for at, word in around:
-            term = _term(word)
-            inner = word.lower().find(term)
-            a, b = at + inner, at + inner + len(term)
-            if term and len(word.lower()) == len(word) and not any(x < b and a < y for x, _, y in spans):
-                out.append((entity, term, a, b))
-    return sorted(set(out))
+def _outside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the words that share no character with the spans, which are in order."""
+    i, covered = 0, 0
+    for m in _WORD.finditer(text):
+        word = m[0]
+        term = _term(word)
+        if not term or len(word.lower()) != len(word):
+            continue
+        a = m.start() + word.lower().find(term)
+        b = a + len(term)
+        while i < len(spans) and spans[i][0] < b:
+            covered = max(covered, spans[i][2])
+            i += 1
+        # A span that begins before b and ends after a; words come in order.
+        if covered <= a:
+            yield term, a, b
 
 
 def term_hash(terms: list[str]) -> np.ndarray:
@@ -110,32 +107,63 @@ def term_hash(terms: list[str]) -> np.ndarray:
     return textscan.word_hashes(buf, ends - lengths, ends, False) if terms else np.empty(0, np.uint64)
 
 
-_FOUND = "doc_id long, row string, n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:long,kind:int,end:long>>, context array<struct<entity:string,term:string,h:long,start:long,end:long>>"
+_FOUND = "doc_id long, row string, n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:long,kind:int,end:long>>, entities array<string>, terms array<struct<h:long,term:string>>"
 
 
-def _finder(reach: int):
-    span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-    near = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("h", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+def _row() -> Column:
+    """Tells rows apart by doc_id and text; null for a null text, which has no spans."""
+    return F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.col("text")), 256)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
+    words = pa.list_(pa.struct([("h", pa.int64()), ("term", pa.string())]))
+    for whole in batches:
+        for batch in common.slices(whole):
+            counts, base, entities, terms = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                spans = base_spans(text) if text else []
+                own = sorted({t for t, _, _ in _outside(text, spans)}) if spans else []
+                hashes = textscan.signed(term_hash(own)).tolist() if own else []
+                counts.append([sum(k == i for _, k, _ in spans) for i in range(4)])
+                base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
+                entities.append(sorted({f"{KINDS[k]}:{text[s:e].lower()}" for s, k, e in spans}))
+                terms.append([{"h": h, "term": t} for h, t in zip(hashes, own, strict=True)])
+            n = np.array(counts, np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *(pa.array(n[:, i]) for i in range(4)), pa.array(base, span), pa.array(entities, pa.list_(pa.string())), pa.array(terms, words)], ["doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", "base", "entities", "terms"])
+
+
+def _marker(bitmap, bits: int):
+    """Places, outside all entities, of the words whose hashes are in the bitmap: row, term, start, end."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little").view(bool)
         for whole in batches:
             for batch in common.slices(whole):
-                rows, counts, base, context = [], [], [], []
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    spans = base_spans(text) if text else []
-                    own = _contexts(text, spans, reach) if spans else []
-                    hashes = textscan.signed(term_hash([c[1] for c in own])).tolist() if own else []
-                    rows.append(hashlib.blake2b(f"{doc}\n{text}".encode(), digest_size=16).hexdigest() if own else None)
-                    counts.append([sum(k == i for _, k, _ in spans) for i in range(4)])
-                    base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-                    context.append([{"entity": c[0], "term": c[1], "h": h, "start": c[2], "end": c[3]} for c, h in zip(own, hashes, strict=True)])
-                n = np.array(counts, np.int64).reshape(-1, 4)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.string()), *(pa.array(n[:, i]) for i in range(4)), pa.array(base, span), pa.array(context, near)], ["doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", "base", "context"])
-
-    return find
-
-
-def _frequencies(bitmap):
+                texts = batch.column("text").to_pylist()
+                data, starts, ends, h, row = _hashed(texts)
+                some = np.flatnonzero(seen[h >> textscan.U(64 - bits)])
+                wanted: dict[int, set[str]] = {}
+                for i in some.tolist():
+                    wanted.setdefault(int(row[i]), set()).add(bytes(data[starts[i] : ends[i]]).decode())
+                rows, out = batch.column("row").to_pylist(), []
+                for r, own in wanted.items():
+                    out += [(rows[r], *place) for place in _outside(texts[r], base_spans(texts[r])) if place[0] in own]
+                cols = list(zip(*out, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["row", "term", "start", "end"])
+
+    return mark
+
+
+def _hashed(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    """Lower-cased bytes of texts, and start, end, hash and row of each word without the punctuation at its ends."""
+    data, offsets = common.text_bytes(pa.array([(t or "").lower() for t in texts], pa.large_string()))
+    starts, ends, bounds = textscan.words(data, offsets, textscan.SPACE)
+    starts, ends = _trim(data, starts, ends)
+    return data, starts, ends, textscan.word_hashes(data, starts, ends, False), np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+
+
+def _frequencies(bitmap, bits: int):
     """Documents that hold each candidate term, over the texts of a task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,13 +176,8 @@ def _frequencies(bitmap):
 
         for whole in batches:
             for batch in common.slices(whole):
-                low = [(t or "").lower() for t in batch.column("text").to_pylist()]
-                data, offsets = common.text_bytes(pa.array(low, pa.large_string()))
-                starts, ends, bounds = textscan.words(data, offsets, textscan.SPACE)
-                starts, ends = _trim(data, starts, ends)
-                h = textscan.word_hashes(data, starts, ends, False)
-                row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                some = np.flatnonzero(seen[h >> textscan.U(64 - _BITS)])
+                _, _, _, h, row = _hashed(batch.column("text").to_pylist())
+                some = np.flatnonzero(seen[h >> textscan.U(64 - bits)])
                 order = some[np.lexsort((row[some], h[some]))]
                 h, row = h[order], row[order]
                 first = np.ones(len(h), bool)
@@ -191,30 +214,40 @@ def _trim(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return np.where(empty, starts, s), np.where(empty, starts, e)
 
 
-def _bitmap(terms: DataFrame) -> bytes:
-    """Fixed-size filter of the candidate terms' hashes, put together by bitwise or on the executors."""
-    place = F.expr(f"shiftrightunsigned(h, {64 - _BITS})")
-    words = terms.select(F.shiftright(place, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - _BITS}) & 63 AS int))").alias("b"))
-    out = np.zeros((1 << _BITS) // 64, np.int64)
+def _bitmap(terms: DataFrame) -> tuple[bytes, int]:
+    """Filter of the terms' hashes, put together by bitwise or on the executors, and the bits of a hash that it takes."""
+    bits = min(26, max(_BITS, terms.count().bit_length() + 4))
+    place = F.expr(f"shiftrightunsigned(h, {64 - bits})")
+    words = terms.select(F.shiftright(place, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 AS int))").alias("b"))
+    out = np.zeros((1 << bits) // 64, np.int64)
     for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
         out[r["w"]] = r["b"]
-    return out.tobytes()
+    return out.tobytes(), bits
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """entity, term, n_te, n_t, n_e, disclosure, of pairs at or over the threshold, from counts over all documents."""
-    pairs = found.where("row IS NOT NULL").select(F.explode(F.array_distinct(F.transform("context", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"), c["h"].alias("h"))))).alias("c")).select("c.*")
-    both = pairs.groupBy("entity", "term", "h").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
-    both = common.save(both, "pii-pairs")
-    entities = found.where("size(base) > 0 AND row IS NOT NULL").select(F.explode(F.array_distinct(F.transform("context", lambda c: c["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(both.select("h")))
-    terms = docs.select("text").mapInArrow(_frequencies(bitmap), "h long, n_t long").groupBy("h").agg(F.sum("n_t").alias("n_t"))
-    total = found.agg(F.count(F.lit(1)).alias("n"))
-    scored = both.join(terms, "h").join(entities, "entity").crossJoin(F.broadcast(total))
-    n, content = F.col("n").cast("double"), F.log2(F.col("n") / F.col("n_e"))
+    """entity, term, h, n_te, n_t, n_e, disclosure, of pairs at or over the threshold, from counts over whole documents.
+
+    n_te is n_e at most, so a term in more than n_e (N / n_e) ^ (1 - threshold) documents
+    can't reach the threshold; pairs are formed of the others only.
+    """
+    total = found.count()
+    each = found.where("size(base) > 0").select("uid", F.explode("entities").alias("entity"))
+    entities = each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support)
+    entities = common.save(entities.withColumn("most", F.col("n_e") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1.0 - threshold)) * (1 + 1e-9)), "pii-entities")
+    mine = common.save(common.join_small(each, entities, "entity", "inner"), "pii-held")
+    words = found.where("size(terms) > 0").select("uid", "terms").join(mine.select("uid").distinct(), "uid", "left_semi").select("uid", F.explode("terms").alias("c")).select("uid", "c.h", "c.term")
+    words = common.save(words, "pii-words")
+    bitmap, bits = _bitmap(words.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("h"))
+    terms = docs.select("text").mapInArrow(_frequencies(docs.sparkSession.sparkContext.broadcast(bitmap), bits), "h long, n_t long").groupBy("h").agg(F.sum("n_t").alias("n_t"))
+    most = entities.agg(F.max("most")).first()[0] or 0.0
+    rare = common.save(terms.where((F.col("n_t") >= support) & (F.col("n_t") <= most)), "pii-terms")
+    pairs = common.join_small(words, rare, "h", "inner").join(mine, "uid").where(F.col("n_t") <= F.col("most"))
+    scored = pairs.groupBy("entity", "term", "h", "n_t", "n_e").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
+    n, content = F.lit(float(total)), F.log2(F.lit(float(total)) / F.col("n_e"))
     n_t = F.greatest("n_t", "n_te")
     share = F.when(content > 0, F.log2(n * F.col("n_te") / (n_t * F.col("n_e"))) / content).otherwise(0.0)
-    return scored.withColumn("disclosure", share).where(F.col("disclosure") >= threshold).select("entity", "term", "n_te", "n_t", "n_e", "disclosure")
+    return scored.withColumn("disclosure", share).where(F.col("disclosure") >= threshold).select("entity", "term", "h", "n_te", "n_t", "n_e", "disclosure")
 
 
 def _joined(spans: str) -> str:
@@ -222,24 +255,30 @@ def _joined(spans: str) -> str:
     return f"concat_ws(',', transform(array_sort({spans}), s -> concat(element_at(array({kinds}), s.kind + 1), ':', s.start, ':', s.end)))"
 
 
-def detect(docs: DataFrame, reach: int = REACH, threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def detect(docs: DataFrame, threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """Per row of docs: doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, base, spans, span_list.
 
     Spans are kind:start:end in code points. Null texts have none. Rows that are the
     same in doc_id and text have the same spans; an empty table gives no rows. A
     term must be lower-cased without changing its length to be a span.
     """
-    found = common.save(docs.select("doc_id", "text").mapInArrow(_finder(reach), _FOUND), "pii-base")
-    told = disclosing_terms(found, docs, threshold, support).select("entity", "term")
-    places = found.where("row IS NOT NULL").select("row", F.explode("context").alias("c")).select("row", "c.entity", "c.term", "c.start", "c.end")
-    terms = places.join(told, ["entity", "term"]).groupBy("row").agg(F.collect_set(F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end")).alias("terms"))
-    base = found.drop("context")
+    return _detect(docs, threshold, support).drop("row")
+
+
+def _detect(docs: DataFrame, threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """What detect() gives, and `row`."""
+    docs = docs.select("doc_id", _row().alias("row"), "text")
+    found = common.save(docs.mapInArrow(_find, _FOUND).withColumn("uid", F.monotonically_increasing_id()), "pii-base")
+    told = common.save(disclosing_terms(found, docs, threshold, support).select("term", "h").distinct(), "pii-told")
+    bitmap, bits = _bitmap(told.select("h"))
+    places = docs.select("row", "text").mapInArrow(_marker(docs.sparkSession.sparkContext.broadcast(bitmap), bits), "row string, term string, start long, end long")
+    places = common.join_small(places, told.select("term"), "term", "inner")
+    terms = common.save(places.groupBy("row").agg(F.collect_set(F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end")).alias("terms")), "pii-places")
     none = F.expr("cast(array() AS array<struct<start:bigint,kind:int,end:bigint>>)")
-    with_terms = base.where("row IS NOT NULL").join(terms, "row", "left").withColumn("terms", F.coalesce("terms", none))
-    rows = with_terms.unionByName(base.where("row IS NULL").withColumn("terms", none))
+    rows = common.join_small(found.drop("entities", "terms", "uid"), terms, "row", "left", 50_000).withColumn("terms", F.coalesce("terms", none))
     rows = rows.withColumn("span_list", F.array_sort(F.concat("base", "terms"))).withColumn("n_term", F.size("terms").cast("long"))
     joined = F.expr(_joined("base"))
-    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_term", F.sha2(joined, 256).alias("base_sha256"), joined.alias("base"), F.expr(_joined("span_list")).alias("spans"), "span_list")
+    return rows.select("row", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_term", F.sha2(joined, 256).alias("base_sha256"), joined.alias("base"), F.expr(_joined("span_list")).alias("spans"), "span_list")
 
 
 def _rewrite(text: str, spans: list[dict]) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import struct
 
 import numpy as np
@@ -145,6 +146,17 @@ def test_terms_that_give_an_entity_away(spark):
     assert clean[0].startswith("Contact <NAME>  <EMAIL>") and clean[10] == rows[3][1] and clean[99] is None
 
 
+def test_terms_of_whole_documents(spark):
+    far = " ".join(f"common{i}" for i in range(90))
+    rows = [(i, f"Zyxander {far} bob@example.org {far} last zyxander, {far}") for i in range(8)]
+    rows += [(20, f"zyxander {far} bob and nobody"), *((30 + i, f"{far} bob last {i}") for i in range(900))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.detect(docs).collect()}
+    for d, t in rows:
+        at = [f"term:{m.start()}:{m.end()}" for m in re.finditer("zyxander", t.lower())]
+        assert [s for s in got[d].split(",") if s.startswith("term")] == at
+
+
 def test_grammar():
     events = toxicity.clause_events
     assert events("TI")["insult_targeted"] == 0 and events("RI")["insult_reported"] == 1 and events("NI")["insult_negated"] == 1 and events("NooooI")["insult"] == 1
