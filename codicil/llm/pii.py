@@ -297,9 +297,9 @@ def _rewrite(text: str, spans: list[dict]) -> str:
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
-    """docs with `text` sanitised, its other columns unchanged; spans are matched to rows by doc_id and must be of one text each."""
-    spans = detect(docs, **options).where("size(span_list) > 0").select(F.col("doc_id").alias("_id"), F.col("span_list").alias("_spans")).dropDuplicates(["_id"])
-    joined = docs.join(spans, docs["doc_id"] == F.col("_id"), "left").drop("_id")
+    """docs with `text` sanitised, its other columns unchanged; each row by the spans of its own doc_id and text, null and shared ids too."""
+    spans = _detect(docs, **options).where("size(span_list) > 0").select(F.col("row").alias("_row"), F.col("span_list").alias("_spans")).dropDuplicates(["_row"])
+    joined = docs.withColumn("_key", _row()).join(spans, F.col("_key") == F.col("_row"), "left").drop("_key", "_row")
     schema = docs.schema
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -157,6 +157,12 @@ def test_terms_of_whole_documents(spark):
         assert [s for s in got[d].split(",") if s.startswith("term")] == at
 
 
+def test_sanitise_null_and_shared_ids(spark):
+    rows = [(None, "mail a@example.org", 1), (None, "or b@example.org now", 2), (5, "c@example.org", 3), (5, "write to d@example.org", 4), (5, "nothing here", 5), (6, None, 6), (5, "c@example.org", 7)]
+    got = {r["n"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()}
+    assert got == {1: "mail <EMAIL>", 2: "or <EMAIL> now", 3: "<EMAIL>", 4: "write to <EMAIL>", 5: "nothing here", 6: None, 7: "<EMAIL>"}
+
+
 def test_grammar():
     events = toxicity.clause_events
     assert events("TI")["insult_targeted"] == 0 and events("RI")["insult_reported"] == 1 and events("NI")["insult_negated"] == 1 and events("NooooI")["insult"] == 1
