@@ -98,6 +98,13 @@ def mode_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return swept.select("mode", F.col("chunk").cast("long").alias("chunk"), "tried", "inflating")
 
 
+def mode_sweep_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All payloads, short ones and those of null texts too, that inflate for each of the three modes and restart interval."""
+    out = plan.convert(_documents(spark, sf_dir, "cfb64", plain_blocks=True), strategy="none", verify=False)
+    raw = plan.payloads(out, "doc_id", inflate=False).where("flate").select("raw", F.lit(synth.KEY).alias("key"))
+    return evidence.mode_sweep(raw, evidence.grid(spark)).select("mode", F.col("chunk").cast("long").alias("chunk"), "tried", "inflating")
+
+
 def status_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = plan.convert(_documents(spark, sf_dir, "ofb", shift=F.expr("if(doc_id % 7 = 0, 5, 0)")))
     return report.exit_codes(out, "source")
@@ -211,7 +218,7 @@ _BODY = f"({_STORED} + length(cast({_STORED} AS VARCHAR)) + 9 + 8 + 30 + 11 + 18
 QUERIES = {
     "roundtrip_none": _roundtrip("none"), "roundtrip_ofb": _roundtrip("ofb"), "roundtrip_cfb64": _roundtrip("cfb64"), "roundtrip_mixed": _roundtrip("mixed"),
     "sections": section_rows, "roles_scrambled": roles_scrambled, "roles_ranked": roles_ranked, "streams": conversation_payloads, "payload_attribution": payload_attribution,
-    "verify_counts": verify_counts, "wrong_mode_detected": wrong_mode_detected, "mode_sweep": mode_sweep, "status_by_source": status_by_source, "length_mismatch": length_mismatch, "encrypt_patch": encrypt_patch,
+    "verify_counts": verify_counts, "wrong_mode_detected": wrong_mode_detected, "mode_sweep": mode_sweep, "mode_sweep_whole": mode_sweep_whole, "status_by_source": status_by_source, "length_mismatch": length_mismatch, "encrypt_patch": encrypt_patch,
     "digest": digest, "hex_round_trip": hex_round_trip, "output_plan": output_plan, "asof_events": asof_events, "interval_anti": interval_anti, "first_match_join": first_match_join, "semi_join_keys": semi_join_keys,
     "repeated_texts": repeated_texts, "argmax_last": argmax_last, "adjacent_status": adjacent_status, "first_five": first_five, "conditional_counts": conditional_counts, "classified": classified, "pivot_counts": pivot_counts,
 }
@@ -232,6 +239,9 @@ ORACLES = {
     "wrong_mode_detected": "SELECT doc_id, 0 AS flate_ok, false AS clean, 3 AS code FROM documents",
     "mode_sweep": f"""SELECT mode, CAST(chunk AS BIGINT) AS chunk, n AS tried, CASE WHEN mode = 'cfb64' AND chunk = 256 THEN n ELSE 0 END AS inflating
         FROM (SELECT count(*) AS n FROM documents WHERE {_N} > 600), (VALUES ('ofb'), ('cfb64')) AS m(mode), (VALUES (8), (16), (32), (64), (128), (256), (512), (1073741824)) AS c(chunk)""",
+    "mode_sweep_whole": f"""WITH d AS (SELECT {_STORED} AS m FROM (SELECT coalesce(text, '') AS text FROM documents))
+        SELECT mode, CAST(chunk AS BIGINT) AS chunk, count(*) AS tried, count(*) FILTER (mode = 'cfb64' AND (chunk = 256 OR m <= least(chunk, 256))) AS inflating
+        FROM d, (VALUES ('ofb'), ('cfb64'), ('cfb8')) AS m(mode), (VALUES (8), (16), (32), (64), (128), (256), (512), (1073741824)) AS c(chunk) GROUP BY mode, chunk""",
     "status_by_source": "SELECT source, max(CASE WHEN doc_id % 7 = 0 THEN 3 ELSE 0 END) AS exit_code, 0 AS any_failed FROM documents GROUP BY source",
     "length_mismatch": f"SELECT doc_id, {_STORED} + 1 AS scanned, {_STORED} + 5 AS declared FROM documents WHERE doc_id % 7 = 0",
     "encrypt_patch": f"SELECT doc_id, 'blanked' AS kind, {_BODY} - 34 AS at, 14 AS len, {_BODY} AS pdf_bytes, true AS header, true AS eof FROM documents",
