@@ -19,6 +19,8 @@ from . import common
 
 Verify = Callable[[DataFrame], DataFrame]
 Possible = Callable[[Column, Column], Column]
+#: Members of an open bucket on one side of a task's pairs.
+GRID = 1000
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -54,10 +56,9 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def meeting(buckets: DataFrame) -> DataFrame:
-    """The rows of the buckets (key, id) that hold more than one id; buckets are dealt once for both uses."""
-    dealt = buckets.repartition(common.shuffle_partitions(buckets.sparkSession), "key")
-    shared = dealt.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("key")
-    return dealt.join(shared, "key", "left_semi")
+    """The rows of the buckets (key, id) that hold more than one id. A hot key is combined before the shuffle."""
+    shared = buckets.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("key")
+    return common.join_small(buckets, common.save(shared, "keys"), "key", "left_semi")
 
 
 def _scored(members: DataFrame) -> DataFrame:
@@ -92,24 +93,35 @@ def link(buckets: DataFrame, verify: Verify, attributes: DataFrame, possible: Po
     tested = common.save(first.select(*_ordered(F.col("id"), F.col("best.id"))).distinct(), "pairs")
     links = common.save(verify(tested), "links")
     labels = connected(links)
+    spent = [members, tested, links]
 
     others = _spanning(members, labels).where("label <> head.label")
     second = common.save(others.select(*_ordered(F.col("id"), F.col("head.id"))).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    spent.append(second)
     if not second.isEmpty():
         tested = tested.unionAll(second)
         found = common.save(verify(second), "links")
+        spent.append(found)
         if not found.isEmpty():
             links = links.unionAll(found)
+            spent.append(labels)
             labels = connected(links)
 
     open_ = _spanning(members, labels).select("key", "id", "label").join(attributes, "id")
     open_ = common.save(open_, "open")
-    left = open_.select("key", F.col("id").alias("i"), F.col("label").alias("p"), F.col("x").alias("x"))
-    right = open_.select("key", F.col("id").alias("j"), F.col("label").alias("q"), F.col("x").alias("y"))
-    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("p") < F.col("q")) & possible(F.col("x"), F.col("y"))).select(*_ordered(F.col("i"), F.col("j"))).distinct()
-    third = common.save(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    # A bucket's pairs are dealt over a grid: each member of the left to one of its parts, of the right to all.
+    parts = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / GRID).cast("int").alias("parts"))
+    dealt = open_.join(parts, "key")
+    left = dealt.select("key", F.col("id").alias("i"), F.col("label").alias("p"), "x", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    right = dealt.select("key", F.col("id").alias("j"), F.col("label").alias("q"), F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = left.join(right, (left["key"] == right["key"]) & (left["part"] == right["part"]) & (F.col("p") != F.col("q")) & (F.col("i") < F.col("j")) & possible(F.col("x"), F.col("y")))
+    third = common.save(pairs.select(F.col("i").alias("a"), F.col("j").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    spent += [open_, third]
     if not third.isEmpty():
         found = common.save(verify(third), "links")
+        spent.append(found)
         if not found.isEmpty():
+            spent.append(labels)
             labels = connected(links.unionAll(found))
+    common.drop(*spent)
     return labels
