@@ -107,12 +107,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return report.FAILED
     if found is None:
         return max(codes)
-    have = {r["output"] for r in planned.toLocalIterator() if os.path.exists(r["output"])}
-    for r in planned.toLocalIterator():
-        if r["output"] in have and not args.force:
+    folders = {r[0] for r in planned.select(F.regexp_extract("output", "^(.*)/", 1)).distinct().toLocalIterator()}
+    listing = [(os.path.join(f, name),) for f in folders if os.path.isdir(f or "/") for name in os.listdir(f or "/")]
+    there_already = outputs.existing(planned, spark.createDataFrame(listing, "path string"))
+    if not args.force:
+        for r in there_already.toLocalIterator():
             _say(f"codicil: {paths[r['path']]}: {r['output']} exists already; --force overwrites", True)
             codes.append(report.FAILED)
-    todo = planned if args.force else planned.where(~F.col("output").isin(*have)) if have else planned
+    todo = planned if args.force else planned.join(there_already.select("path"), "path", "left_anti")
     done = files.with_size_errors(convert.convert(found, args.force_mode, not args.no_verify)).join(F.broadcast(todo), "path").persist()
     sink.write_documents(done, True)
     rows = done.select("path", "output", "code", "error", "complaints", F.when(F.col("error").isNull(), report.summary(F.col("path"), F.col("output"))).alias("summary"), F.when(F.col("error").isNull(), report.detail(max(1, args.verbose))).alias("detail"))

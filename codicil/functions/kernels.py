@@ -67,11 +67,44 @@ def body_keystream(key: bytes, size: int = BODY_BLOCK) -> np.ndarray:
     return _keystream(key, min(BODY_BLOCK, 1 << max(8, (size - 1).bit_length())))[:size]
 
 
-def apply_body(key: bytes, data: bytes) -> np.ndarray:
+def _keystreams(keys: list[bytes], size: int) -> np.ndarray:
+    """The first bytes of the key streams of many keys, a row for each, made side by side: a step for all keys at once."""
+    n = len(keys)
+    lanes, state = np.arange(n), np.repeat(np.arange(256, dtype=np.uint8)[:, None], n, 1)
+    longest = max(map(len, keys))
+    own = np.array([[k[i % len(k)] | KEY_MASK for k in keys] for i in range(longest)], np.uint8)
+    sizes = np.array([len(k) for k in keys])
+    j = np.zeros(n, np.uint8)
+    for i in range(256):
+        at = state[i].copy()
+        j = j + at + own[i % sizes, lanes]
+        state[i] = state[j, lanes]
+        state[j, lanes] = at
+    out, y = np.empty((size, n), np.uint8), np.zeros(n, np.uint8)
+    for i in range(size):
+        x = (i + 1) & 255
+        t = state[x].copy()
+        y = y + t
+        state[x] = state[y, lanes]
+        state[y, lanes] = state[t, lanes]
+        out[i] = state[state[x] + state[y, lanes], lanes]
+    return np.ascontiguousarray(out.T)
+
+
+#: Keys from which making their streams side by side is faster than one by one.
+_SIDE_BY_SIDE = 96
+
+
+def _stream_size(size: int) -> int:
+    """Stream bytes made for a body: a power of two, one block at most."""
+    return min(BODY_BLOCK, 1 << max(8, (size - 1).bit_length()))
+
+
+def apply_body(key: bytes, data: bytes, stream: np.ndarray | None = None) -> np.ndarray:
     """Encrypt or decrypt a body. The cipher starts anew every block, so one block's key stream serves all."""
     body = np.frombuffer(data, np.uint8).copy()
     if len(body):
-        stream = body_keystream(key, len(body))
+        stream = (body_keystream(key, len(body)) if stream is None else stream)[: min(len(body), BODY_BLOCK)]
         whole = len(body) // BODY_BLOCK * BODY_BLOCK
         if whole:
             body[:whole].reshape(-1, BODY_BLOCK)[:] ^= stream
@@ -79,6 +112,21 @@ def apply_body(key: bytes, data: bytes) -> np.ndarray:
     return body
 
 
+def apply_bodies(keys: list[bytes], bodies: list[bytes]) -> list[bytes]:
+    """apply_body over many bodies, each with its key."""
+    wanted: dict[bytes, int] = {}
+    for k, b in zip(keys, bodies, strict=True):
+        if b:
+            wanted[k] = max(wanted.get(k, 0), _stream_size(len(b)))
+    made: dict[bytes, np.ndarray] = {}
+    for size in set(wanted.values()):
+        own = [k for k, s in wanted.items() if s == size]
+        for i in range(0, len(own) if len(own) >= _SIDE_BY_SIDE else 0, 1024):
+            part = own[i : i + 1024]
+            made.update(zip(part, _keystreams(part, size), strict=True))
+    return [apply_body(k, b, made.get(k)).tobytes() for k, b in zip(keys, bodies, strict=True)]
+
+
 def _spread_boxes() -> np.ndarray:
     """Each box's output already at its bits after the round permutation: 8 x 64 words."""
     out = np.zeros((8, 64), np.uint32)
@@ -112,16 +160,16 @@ def _constant() -> list[np.ndarray]:
     return _tables
 
 
-def _schedule(key: bytes) -> np.ndarray:
-    """16 x 8 six-bit round keys."""
-    bits = np.unpackbits(np.frombuffer(key, np.uint8))
-    halves = bits[np.array(KEY_FIRST) - 1].reshape(2, 28)
+def _schedules(keys: list[bytes]) -> np.ndarray:
+    """For each 8-byte key 16 x 8 six-bit round keys."""
+    bits = np.unpackbits(np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 8), axis=1)
+    halves = bits[:, np.array(KEY_FIRST) - 1].reshape(-1, 2, 28)
     out = []
     for r in ROTATIONS:
-        halves = np.roll(halves, -r, axis=1)
-        chosen = halves.ravel()[np.array(KEY_SECOND) - 1].reshape(8, 6)
+        halves = np.roll(halves, -r, axis=2)
+        chosen = halves.reshape(-1, 56)[:, np.array(KEY_SECOND) - 1].reshape(-1, 8, 6)
         out.append(chosen @ (1 << np.arange(5, -1, -1)))
-    return np.array(out, np.uint32)
+    return np.stack(out, 1).astype(np.uint32)
 
 
 def _permute(x: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -133,34 +181,44 @@ def _permute(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out
 
 
+def _full(key: bytes) -> bytes:
+    if len(key) not in (16, 24):
+        raise KeyLengthError(f"3DES key of {len(key)} bytes, not 16 or 24")
+    return key if len(key) == 24 else key + key[:8]
+
+
+def _encrypt(blocks: np.ndarray, rounds: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Three passes of 16 rounds; a round's keys are 8 numbers, or an array of 8 numbers for each block."""
+    boxes, enter, leave = _constant()
+    x = _permute(blocks, enter)
+    left, right = (x >> np.uint64(32)).astype(np.uint32), x.astype(np.uint32)
+    for schedule in rounds:
+        for r in range(16):
+            keys = schedule(r)
+            # Bits 32, 1..5 of the half, then every four bits on.
+            turned = (right >> np.uint32(1)) | (right << np.uint32(31))
+            mixed = left.copy()
+            for i in range(8):
+                shift = 26 - 4 * i
+                six = (turned >> np.uint32(shift) if shift >= 0 else (turned << np.uint32(-shift)) | (turned >> np.uint32(32 + shift))) & np.uint32(63)
+                mixed ^= boxes[i][six ^ keys[i]]
+            left, right = right, mixed
+        left, right = right, left
+    return _permute((left.astype(np.uint64) << np.uint64(32)) | right, leave)
+
+
 class TripleDes:
     """EDE over many blocks at once; keys of 24 bytes, or 16 used as first, second, first."""
 
     def __init__(self, key: bytes):
-        if len(key) not in (16, 24):
-            raise KeyLengthError(f"3DES key of {len(key)} bytes, not 16 or 24")
-        full = key if len(key) == 24 else key + key[:8]
+        full = _full(key)
         self.iv = full[:8]
-        first, second, third = (_schedule(full[i : i + 8]) for i in (0, 8, 16))
+        first, second, third = _schedules([full[i : i + 8] for i in (0, 8, 16)])
         self.rounds = (first, second[::-1], third)
 
     def encrypt(self, blocks: np.ndarray) -> np.ndarray:
         """n native 64-bit words to n words, each the big-endian value of a block."""
-        boxes, enter, leave = _constant()
-        x = _permute(blocks, enter)
-        left, right = (x >> np.uint64(32)).astype(np.uint32), x.astype(np.uint32)
-        for schedule in self.rounds:
-            for keys in schedule:
-                # Bits 32, 1..5 of the half, then every four bits on.
-                turned = (right >> np.uint32(1)) | (right << np.uint32(31))
-                mixed = left.copy()
-                for i in range(8):
-                    shift = 26 - 4 * i
-                    six = (turned >> np.uint32(shift) if shift >= 0 else (turned << np.uint32(-shift)) | (turned >> np.uint32(32 + shift))) & np.uint32(63)
-                    mixed ^= boxes[i][six ^ keys[i]]
-                left, right = right, mixed
-            left, right = right, left
-        return _permute((left.astype(np.uint64) << np.uint64(32)) | right, leave)
+        return _encrypt(blocks, tuple(s.__getitem__ for s in self.rounds))
 
     def chain(self, block: int, count: int) -> list[int]:
         """Each block the encryption of the one before: serial, so in plain integers."""
@@ -271,6 +329,64 @@ def many(run, key: bytes, parts: list[bytes], reset: int = WINDOW) -> list[bytes
     return [out[s : s + len(p)] for s, p in zip(starts, parts, strict=True)]
 
 
+class KeyRing:
+    """Many keys, whose blocks are encrypted together."""
+
+    def __init__(self, keys: list[bytes]):
+        self.place = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+        full = [_full(k) for k in self.place]
+        self.iv = np.frombuffer(b"".join(k[:8] for k in full), ">u8").astype(np.uint64)
+        first, second, third = (_schedules([k[i : i + 8] for k in full]) for i in (0, 8, 16))
+        self.rounds = (first, second[:, ::-1], third)
+
+    def encrypt(self, blocks: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        def keyed(schedule: np.ndarray):
+            return lambda r: np.ascontiguousarray(schedule[:, r].T)[:, owner]
+
+        return _encrypt(blocks, tuple(map(keyed, self.rounds)))
+
+    def pads(self, size: int) -> np.ndarray:
+        """The output-feedback streams of a window, a row for each key."""
+        out, owner, block = [], np.arange(len(self.iv)), self.iv
+        for _ in range(-(-size // 8)):
+            block = self.encrypt(block, owner)
+            out.append(block)
+        return np.stack(out, 1).astype(">u8").view(np.uint8)[:, :size]
+
+
+#: Bytes of payloads that are worked on at once.
+_AT_ONCE = 8 << 20
+
+
+def decrypt_parts(mode: str, keys: list[bytes], parts: list[bytes], reset: int = WINDOW) -> list[bytes]:
+    """Many payloads, each with its key, in one of the modes none, ofb and cfb64; keys and payloads are worked on together."""
+    _check_reset(reset)
+    if mode == "none" or not parts:
+        return list(parts)
+    ring = KeyRing(keys)
+    pads = ring.pads(reset) if mode == "ofb" else None
+    out, i = [], 0
+    while i < len(parts):
+        j, held = i, 0
+        while j < len(parts) and (j == i or held + len(parts[j]) <= _AT_ONCE):
+            held += len(parts[j]) + reset
+            j += 1
+        whole, starts = _windows(parts[i:j], reset)
+        n = [-(-len(p) // reset) for p in parts[i:j]]
+        owner = np.repeat([ring.place[k] for k in keys[i:j]], n)
+        if not len(owner):
+            plain = b""
+        elif mode == "ofb":
+            plain = (np.frombuffer(whole, np.uint8).reshape(-1, reset) ^ pads[owner]).tobytes()
+        else:
+            x = np.frombuffer(whole, ">u8").astype(np.uint64).reshape(-1, reset // 8)
+            before = np.concatenate([ring.iv[owner][:, None], x[:, :-1]], 1).ravel()
+            plain = (x.ravel() ^ ring.encrypt(before, np.repeat(owner, reset // 8))).astype(">u8").tobytes()
+        out += [plain[s : s + len(p)] for s, p in zip(starts, parts[i:j], strict=True)]
+        i = j
+    return out
+
+
 def cfb8_decrypt(key: bytes, data: bytes, reset: int = WINDOW) -> bytes:
     """8-bit feedback, a candidate that the mode sweep tries."""
     _check_reset(reset)

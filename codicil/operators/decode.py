@@ -66,7 +66,7 @@ class TripleDesStrategy(Strategy):
     def __init__(self, key: bytes, mode: str, reset: int = kernels.WINDOW):
         kernels.triple_des(key)
         kernels._check_reset(reset)
-        self.key, self.reset, self._run = key, reset, kernels.DECRYPT[mode]
+        self.key, self.mode, self.reset, self._run = key, mode, reset, kernels.DECRYPT[mode]
         self.name = f"{MODE_NAMES[mode]}, started anew with the key's first 8 bytes every {reset} bytes"
 
     def decrypt(self, info: StreamInfo, data: bytes) -> bytes:
@@ -129,7 +129,7 @@ CHECK = (
     "mismatches:array<struct<idx:int,number:bigint,generation:int,scanned:bigint,declared:decimal(20,0)>>,fonts_external:boolean>"
 )
 DECODED = (
-    f"struct<pdf:binary,code:string,message:string,strategy:string,forced:boolean,key_source:string,key_len:int,streams:array<{PAYLOAD}>,"
+    f"struct<pdf:binary,code:string,message:string,cause:string,strategy:string,forced:boolean,key_source:string,key_len:int,streams:array<{PAYLOAD}>,"
     f"stream_bytes:bigint,encrypt:struct<kind:string,at:bigint,len:int>,check:{CHECK}>"
 )
 
@@ -162,54 +162,146 @@ def check(pdf: bytes, payloads: list[pdfbytes.Payload], exact_name: bool = False
     }
 
 
-def decode_body(body: bytes, key: bytes, blob: bytes | None, algorithm: int, strategy: str | Factory | None = None, verify: bool = True, exact_name: bool = False) -> dict:
-    """One file's pass, as a plain function."""
-    if len(key) != 16:
-        raise Refusal("BAD_KEY_LENGTH", f"body key of {len(key)} bytes, not 16")
-    plain = kernels.apply_body(key, body).tobytes()
+@dataclass
+class _File:
+    """A file on its way through the pass."""
+
+    plain: bytes
+    run: Strategy
+    key: bytes
+    source: str
+    payloads: list[pdfbytes.Payload]
+
+    @property
+    def full(self) -> list[pdfbytes.Payload]:
+        return [p for p in self.payloads if p.size]
+
+    def cut(self) -> list[bytes]:
+        return [self.plain[p.start : p.end] for p in self.full]
+
+
+def _opened(plain: bytes, blob: bytes | None, algorithm: int, strategy: str | Factory | None) -> _File:
     if not plain.startswith(b"%PDF-"):
         raise Refusal("BODY_LAYER_FAILED", f"the body does not begin with `%PDF-` but with bytes {plain[:8].hex()}: another section holds its key, or the cipher is another")
     run, file_key, source = choose(strategy, algorithm, blob)
-    payloads = pdfbytes.scan(plain)
-    pdf = bytearray(plain)
-    full = [p for p in payloads if p.size]
-    infos = [StreamInfo(p.idx, p.start, p.size, p.number, p.generation, plain[p.dict_start : p.dict_end], file_key) for p in full]
-    for p, new in zip(full, run.decrypt_all(infos, [plain[p.start : p.end] for p in full]), strict=True):
+    return _File(plain, run, file_key, source, pdfbytes.scan(plain))
+
+
+def _by_itself(f: _File) -> list[bytes]:
+    infos = [StreamInfo(p.idx, p.start, p.size, p.number, p.generation, f.plain[p.dict_start : p.dict_end], f.key) for p in f.full]
+    return f.run.decrypt_all(infos, f.cut())
+
+
+def _finished(f: _File, decoded: list[bytes], forced: bool, verify: bool, exact_name: bool) -> dict:
+    pdf = bytearray(f.plain)
+    for p, new in zip(f.full, decoded, strict=True):
         if len(new) != p.size:
-            raise Refusal("LENGTH_CHANGED", f"strategy `{run.name}` made {len(new)} of {p.size} bytes in payload {p.idx}")
+            raise Refusal("LENGTH_CHANGED", f"strategy `{f.run.name}` made {len(new)} of {p.size} bytes in payload {p.idx}")
         pdf[p.start : p.end] = new
     kind, at, size = pdfbytes.unlock(pdf)
     out = bytes(pdf)
     streams = [
         {"idx": p.idx, "start": p.start, "end": p.end, "dict_start": p.dict_start, "dict_end": p.dict_end, "number": p.number, "generation": p.generation, "flate": b"/FlateDecode" in out[p.dict_start : p.dict_end]}
-        for p in payloads
+        for p in f.payloads
     ]
     return {
-        "pdf": out, "code": None, "message": None, "strategy": run.name, "forced": isinstance(strategy, str), "key_source": source, "key_len": len(file_key), "streams": streams,
-        "stream_bytes": sum(p.size for p in payloads), "encrypt": {"kind": kind, "at": at, "len": size}, "check": check(out, payloads, exact_name) if verify else None,
+        "pdf": out, "code": None, "message": None, "cause": None, "strategy": f.run.name, "forced": forced, "key_source": f.source, "key_len": len(f.key), "streams": streams,
+        "stream_bytes": sum(p.size for p in f.payloads), "encrypt": {"kind": kind, "at": at, "len": size}, "check": check(out, f.payloads, exact_name) if verify else None,
     }
 
 
+Given = tuple[bytes, bytes, bytes | None, int]
+
+
+def decode_bodies(files: list[Given], strategy: str | Factory | None = None, verify: bool = True, exact_name: bool = False) -> list[dict | Refusal]:
+    """The pass over files (body, body key, key blob, algorithm id), each with its own keys, whose bytes are worked on together."""
+    out: list = [None if len(key) == 16 else Refusal("BAD_KEY_LENGTH", f"body key of {len(key)} bytes, not 16") for _, key, _, _ in files]
+    fit = [i for i, o in enumerate(out) if o is None]
+    opened: dict[int, _File] = {}
+    for i, plain in zip(fit, kernels.apply_bodies([files[i][1] for i in fit], [files[i][0] for i in fit]), strict=True):
+        try:
+            opened[i] = _opened(plain, files[i][2], files[i][3], strategy)
+        except Refusal as e:
+            out[i] = e
+    decoded: dict[int, list[bytes]] = {}
+    together: dict[tuple[str, int], list[int]] = {}
+    for i, f in opened.items():
+        if type(f.run) is TripleDesStrategy and f.run.mode in ("ofb", "cfb64"):
+            together.setdefault((f.run.mode, f.run.reset), []).append(i)
+        else:
+            decoded[i] = _by_itself(f)
+    for (mode, reset), own in together.items():
+        cut = [opened[i].cut() for i in own]
+        keys = [opened[i].run.key for i, parts in zip(own, cut, strict=True) for _ in parts]
+        made = iter(kernels.decrypt_parts(mode, keys, [p for parts in cut for p in parts], reset))
+        decoded.update((i, [next(made) for _ in parts]) for i, parts in zip(own, cut, strict=True))
+    for i, f in opened.items():
+        try:
+            out[i] = _finished(f, decoded.pop(i), isinstance(strategy, str), verify, exact_name)
+        except Refusal as e:
+            out[i] = e
+    return out
+
+
+def decode_body(body: bytes, key: bytes, blob: bytes | None, algorithm: int, strategy: str | Factory | None = None, verify: bool = True, exact_name: bool = False) -> dict:
+    """One file's pass, as a plain function."""
+    (found,) = decode_bodies([(body, key, blob, algorithm)], strategy, verify, exact_name)
+    if isinstance(found, Refusal):
+        raise found
+    return found
+
+
+#: Bytes of bodies that are decoded together.
+TOGETHER = 16 << 20
+
+
 def _udf(strategy: str | Factory | None, verify: bool, exact_name: bool):
     kind = _arrow(DECODED)
 
+    def refused(e: Refusal) -> dict:
+        return dict.fromkeys([f.name for f in kind]) | {"code": e.code, "message": str(e), "cause": str(e.__cause__) if e.__cause__ else None}
+
     def run(body: pa.Array, key: pa.Array, blob: pa.Array, algorithm: pa.Array) -> pa.Array:
-        rows = []
-        for b, k, w, a in zip(body, key, blob, algorithm, strict=True):
-            b = b.as_py()
-            if b is None:
-                rows.append(None)
+        rows: list[dict | None] = [None] * len(body)
+        part: list[int] = []
+        held = 0
+
+        def flush() -> None:
+            given = [(body[i].as_py(), key[i].as_py() or b"", blob[i].as_py(), algorithm[i].as_py() or 0) for i in part]
+            for i, found in zip(part, decode_bodies(given, strategy, verify, exact_name), strict=True):
+                rows[i] = refused(found) if isinstance(found, Refusal) else found
+
+        for i, b in enumerate(body):
+            if not b.is_valid:
                 continue
-            try:
-                rows.append(decode_body(b, k.as_py() or b"", w.as_py(), a.as_py() or 0, strategy, verify, exact_name))
-            except Refusal as e:
-                rows.append(dict.fromkeys([f.name for f in kind]) | {"code": e.code, "message": str(e)})
+            part.append(i)
+            held += b.as_buffer().size
+            if held >= TOGETHER:
+                flush()
+                part, held = [], 0
+        flush()
         return pa.array(rows, kind)
 
     # Not deterministic to Catalyst, so that no filter or projection above makes it run twice.
     return F.arrow_udf(run, DECODED).asNondeterministic()
 
 
+def first_layer(resolved: DataFrame, content: str = "content") -> DataFrame:
+    """Adds algorithm_id, key and body (decrypted; null with an error): the first layer alone, payloads as they are."""
+
+    def strip(body: pa.Array, key: pa.Array) -> pa.Array:
+        fit = [i for i in range(len(body)) if body[i].is_valid and key[i].is_valid and len(key[i].as_py()) == 16]
+        out: list[bytes | None] = [None] * len(body)
+        for i, plain in zip(fit, kernels.apply_bodies([key[i].as_py() for i in fit], [body[i].as_py() for i in fit]), strict=True):
+            out[i] = plain
+        return pa.array(out, pa.binary())
+
+    c = F.when(F.col("error").isNull(), F.col(content))
+    cut = lambda role: piece(c, F.col(f"{role}.offset"), F.col(f"{role}.len"))
+    df = resolved.withColumn("algorithm_id", F.when(F.col("error").isNull(), F.coalesce(le_uint(cut("algorithm")), F.lit(0))))
+    return df.withColumn("key", cut("body_key")).withColumn("body", F.arrow_udf(strip, "binary").asNondeterministic()(cut("body"), cut("body_key")))
+
+
 def decode(resolved: DataFrame, strategy: str | Factory | None = None, verify: bool = True, exact_name: bool = False, content: str = "content") -> DataFrame:
     """Adds algorithm_id and `decoded` to resolved containers and moves its error to `error`."""
     if isinstance(strategy, str) and strategy not in STRATEGIES:

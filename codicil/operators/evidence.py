@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codicil.functions import kernels
@@ -90,3 +90,22 @@ def bitmap_text(data: bytes, width: int) -> list[str]:
     """Rows of a one-bit image as # and . characters."""
     step = (width + 7) // 8
     return ["".join("#" if b >> (7 - i) & 1 else "." for b in data[r : r + step] for i in range(8))[:width] for r in range(0, len(data) // step * step, step)]
+
+
+def bitmap_rows(images: DataFrame, width: int, *keys: str) -> DataFrame:
+    """keys, row, pixels of one-bit images (data binary) of a width: a row for each line of pixels."""
+
+    def draw(data: pa.Array) -> pa.Array:
+        return pa.array([bitmap_text(d or b"", width) for d in data.to_pylist()], pa.list_(pa.string()))
+
+    return images.select(*keys, F.posexplode(F.arrow_udf(draw, "array<string>")("data")).alias("row", "pixels"))
+
+
+def length1(dictionary: Column) -> Column:
+    """The /Length1 that a font's dictionary declares; null if it has none that a long holds."""
+    return F.regexp_extract(F.decode(dictionary, "ISO-8859-1"), r"/Length1[\x00\t\n\x0C\r ]*([0-9]+)", 1).try_cast("bigint")
+
+
+def agrees_with_length1(dictionary: Column, inflated: Column) -> Column:
+    """Whether a font's inflated size is the one declared; null where either is missing."""
+    return length1(dictionary) == inflated

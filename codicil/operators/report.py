@@ -114,3 +114,18 @@ def metadata_dump(resolved: DataFrame, path: str = "path", content: str = "conte
 
 def _reversed(four: Column) -> Column:
     return F.concat(*[F.substring(four, i, 1) for i in (4, 3, 2, 1)])
+
+
+#: The step that gives an error of each code.
+LAYERS = {
+    "NOT_A_CONTAINER": "header", "TRUNCATED": "header", "UNSUPPORTED_VERSION": "header", "BAD_SECTION_TABLE": "table", "MISSING_SECTION": "roles", "UNKNOWN_ALGORITHM": "key",
+    "BAD_KEY_LENGTH": "key", "UNWRAP_FAILED": "key", "BODY_LAYER_FAILED": "body", "LENGTH_CHANGED": "payloads", "TOO_LARGE": "file",
+}
+
+
+def with_cause(converted: DataFrame, path: Column) -> DataFrame:
+    """Adds `cause` (path, layer, beneath) of a file's error: the step that failed and what it was told by the one beneath, if any."""
+    pairs = [F.lit(x) for pair in LAYERS.items() for x in pair]
+    layer = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("error.code")), F.lit("unknown"))
+    cause = F.struct(path.alias("path"), layer.alias("layer"), F.col("decoded.cause").alias("beneath"))
+    return converted.withColumn("cause", F.when(F.col("error").isNotNull(), cause))

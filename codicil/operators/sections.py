@@ -111,13 +111,14 @@ def sections(parsed: DataFrame, *keys: str) -> DataFrame:
 def layout_complaints(sections_: str = "sections", size: str = "file_size") -> Column:
     """Neighbours in offset order that leave a gap or overlap, and a last section that ends before the file."""
     by_offset = f"array_sort(transform({sections_}, s -> named_struct('offset', s.offset, 'idx', s.idx, 'len', s.len)))"
-    pairs = (
-        f"transform(sequence(0, size({sections_}) - 2), i -> if(get({by_offset}, i).offset + get({by_offset}, i).len <> get({by_offset}, i + 1).offset, "
-        f"concat('sections at ', get({by_offset}, i).offset, ' (+', get({by_offset}, i).len, ') and ', get({by_offset}, i + 1).offset, ' do not meet'), null))"
-    )
-    end = f"(get({by_offset}, size({sections_}) - 1).offset + get({by_offset}, size({sections_}) - 1).len)"
-    tail = f"array(if({end} <> {size}, concat('the last section ends at ', {end}, ', the file at ', {size}), null))"
-    return F.expr(f"if(size({sections_}) > 0, array_compact(concat(if(size({sections_}) > 1, {pairs}, cast(array() AS array<string>)), {tail})), cast(array() AS array<string>))")
+    last = "get(b, size(b) - 1).offset + get(b, size(b) - 1).len"
+    apart = "get(b, i).offset + get(b, i).len <> get(b, i + 1).offset"
+    words = "concat('sections at ', get(b, i).offset, ' (+', get(b, i).len, ') and ', get(b, i + 1).offset, ' do not meet')"
+    pairs = f"if(size(b) > 1, transform(sequence(0, size(b) - 2), i -> if({apart}, {words}, null)), cast(array() AS array<string>))"
+    tail = f"array(if({last} <> {size}, concat('the last section ends at ', {last}, ', the file at ', {size}), null))"
+    # The sorted array is bound to a name, so that it is sorted once.
+    named = f"get(transform(array({by_offset}), b -> array_compact(concat({pairs}, {tail}))), 0)"
+    return F.expr(f"if(size({sections_}) > 0, {named}, cast(array() AS array<string>))")
 
 
 def gaps(rows: DataFrame, key: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codicil.functions.bytesx import piece
@@ -37,26 +37,47 @@ def conversion_report(converted: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+#: What a binary column can hold.
+LARGEST = (1 << 31) - 1 - (1 << 16)
+
+
 def _inflate(limit: int):
     import zlib
 
+    kind = pa.struct([("data", pa.binary()), ("reason", pa.string())])
+
     def run(data: pa.Array) -> pa.Array:
         out = []
         for x in data:
             x = x.as_py()
+            if x is None:
+                out.append(None)
+                continue
             z = zlib.decompressobj()
             try:
-                plain = z.decompress(x, limit) if x else None
-                out.append(plain if plain is not None and z.eof else None)
-            except zlib.error:
-                out.append(None)
-        return pa.array(out, pa.binary())
+                plain = z.decompress(x, limit)
+                reason = None if z.eof else "too large for a row" if len(plain) >= limit else "truncated deflate stream" if x else "empty stream"
+            except zlib.error as e:
+                reason = str(e)
+            out.append({"data": plain if reason is None else None, "reason": reason})
+        return pa.array(out, kind)
 
-    return F.arrow_udf(run, "binary").asNondeterministic()
+    return F.arrow_udf(run, "struct<data:binary,reason:string>").asNondeterministic()
 
 
-def payloads(converted: DataFrame, *keys: str, inflate: bool = True, limit: int = 1 << 28) -> DataFrame:
-    """One row a payload: keys, idx, number, generation, raw, data (inflated; null where that fails or passes `limit` bytes)."""
-    rows = converted.select(*keys, F.col("decoded.pdf").alias("_pdf"), F.explode("decoded.streams").alias("s"))
-    rows = rows.select(*keys, "s.idx", "s.number", "s.generation", "s.flate", piece(F.col("_pdf"), F.col("s.start"), F.col("s.end") - F.col("s.start")).alias("raw"))
-    return rows.withColumn("data", _inflate(limit)(F.when(F.col("flate"), F.col("raw")))) if inflate else rows
+def inflated(data: Column, limit: int = LARGEST) -> Column:
+    """Struct (data, reason) of a zlib stream: its plain bytes, or why there are none; null for null."""
+    return _inflate(limit)(data)
+
+
+def payloads(converted: DataFrame, *keys: str, inflate: bool = True, limit: int = LARGEST) -> DataFrame:
+    """One row a payload: keys, idx, number, generation, flate, raw, data, reason.
+
+    data is the inflated payload, null where that fails; `reason` says why, and tells a
+    payload of over `limit` bytes, by default what a row can hold, from one that does
+    not inflate. Both are null for a payload that is not deflated.
+    """
+    names = [k.split(".")[-1] for k in keys]
+    rows = converted.select(*keys, F.col("decoded.pdf").alias("_pdf"), F.explode("decoded.streams").alias("_s"))
+    rows = rows.select(*names, "_s.idx", "_s.number", "_s.generation", "_s.flate", piece(F.col("_pdf"), F.col("_s.start"), F.col("_s.end") - F.col("_s.start")).alias("raw"))
+    return rows.withColumn("_i", inflated(F.when(F.col("flate"), F.col("raw")), limit)).select("*", "_i.data", "_i.reason").drop("_i") if inflate else rows

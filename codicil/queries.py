@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codicil import synth
+from codicil import queries_files, synth
 from codicil.functions import bytesx
 from codicil.operators import evidence, idioms, report, roles, sections, streams
 from codicil.plans import convert as plan
@@ -90,15 +90,6 @@ def wrong_mode_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mode_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payloads of over 600 bytes that inflate, for each mode and restart interval."""
-    docs = _table(spark, sf_dir, "documents").where("octet_length(text) > 600")
-    out = plan.convert(synth.sealed(docs, F.array("text"), "cfb64", plain_blocks=True), strategy="none", verify=False)
-    raw = plan.payloads(out, "doc_id", inflate=False).select("raw", F.lit(synth.KEY).alias("key"))
-    swept = evidence.mode_sweep(raw, evidence.grid(spark, modes=("ofb", "cfb64")))
-    return swept.select("mode", F.col("chunk").cast("long").alias("chunk"), "tried", "inflating")
-
-
-def mode_sweep_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All payloads, short ones and those of null texts too, that inflate for each of the three modes and restart interval."""
     out = plan.convert(_documents(spark, sf_dir, "cfb64", plain_blocks=True), strategy="none", verify=False)
     raw = plan.payloads(out, "doc_id", inflate=False).where("flate").select("raw", F.lit(synth.KEY).alias("key"))
@@ -126,7 +117,7 @@ def encrypt_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of recovered pages."""
-    pages = synth.sealed(_table(spark, sf_dir, "pages"), F.array("html"), "cfb64")
+    pages = synth.sealed(_table(spark, sf_dir, "pages").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), F.array("html"), "cfb64")
     return plan.payloads(plan.convert(pages, verify=False), "page_id").select("page_id", F.sha2("data", 256).alias("sha256"), F.length("data").cast("long").alias("n_bytes"))
 
 
@@ -218,9 +209,9 @@ _BODY = f"({_STORED} + length(cast({_STORED} AS VARCHAR)) + 9 + 8 + 30 + 11 + 18
 QUERIES = {
     "roundtrip_none": _roundtrip("none"), "roundtrip_ofb": _roundtrip("ofb"), "roundtrip_cfb64": _roundtrip("cfb64"), "roundtrip_mixed": _roundtrip("mixed"),
     "sections": section_rows, "roles_scrambled": roles_scrambled, "roles_ranked": roles_ranked, "streams": conversation_payloads, "payload_attribution": payload_attribution,
-    "verify_counts": verify_counts, "wrong_mode_detected": wrong_mode_detected, "mode_sweep": mode_sweep, "mode_sweep_whole": mode_sweep_whole, "status_by_source": status_by_source, "length_mismatch": length_mismatch, "encrypt_patch": encrypt_patch,
+    "verify_counts": verify_counts, "wrong_mode_detected": wrong_mode_detected, "mode_sweep": mode_sweep, "status_by_source": status_by_source, "length_mismatch": length_mismatch, "encrypt_patch": encrypt_patch,
     "digest": digest, "hex_round_trip": hex_round_trip, "output_plan": output_plan, "asof_events": asof_events, "interval_anti": interval_anti, "first_match_join": first_match_join, "semi_join_keys": semi_join_keys,
-    "repeated_texts": repeated_texts, "argmax_last": argmax_last, "adjacent_status": adjacent_status, "first_five": first_five, "conditional_counts": conditional_counts, "classified": classified, "pivot_counts": pivot_counts,
+    "repeated_texts": repeated_texts, "argmax_last": argmax_last, "adjacent_status": adjacent_status, "first_five": first_five, "conditional_counts": conditional_counts, "classified": classified, "pivot_counts": pivot_counts, **queries_files.QUERIES,
 }
 
 _TURNS = "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS idx, text FROM conversations"
@@ -237,9 +228,7 @@ ORACLES = {
     "payload_attribution": f"SELECT conv_id, idx, idx + 1 AS number, CAST(0 AS BIGINT) AS generation FROM ({_TURNS})",
     "verify_counts": f"SELECT lang, count(*) AS flate, count(*) AS ok, CAST(0 AS BIGINT) AS bad, CAST(sum({_N}) AS BIGINT) AS inflated_bytes, count(*) AS clean FROM documents GROUP BY lang",
     "wrong_mode_detected": "SELECT doc_id, 0 AS flate_ok, false AS clean, 3 AS code FROM documents",
-    "mode_sweep": f"""SELECT mode, CAST(chunk AS BIGINT) AS chunk, n AS tried, CASE WHEN mode = 'cfb64' AND chunk = 256 THEN n ELSE 0 END AS inflating
-        FROM (SELECT count(*) AS n FROM documents WHERE {_N} > 600), (VALUES ('ofb'), ('cfb64')) AS m(mode), (VALUES (8), (16), (32), (64), (128), (256), (512), (1073741824)) AS c(chunk)""",
-    "mode_sweep_whole": f"""WITH d AS (SELECT {_STORED} AS m FROM (SELECT coalesce(text, '') AS text FROM documents))
+    "mode_sweep": f"""WITH d AS (SELECT {_STORED} AS m FROM (SELECT coalesce(text, '') AS text FROM documents))
         SELECT mode, CAST(chunk AS BIGINT) AS chunk, count(*) AS tried, count(*) FILTER (mode = 'cfb64' AND (chunk = 256 OR m <= least(chunk, 256))) AS inflating
         FROM d, (VALUES ('ofb'), ('cfb64'), ('cfb8')) AS m(mode), (VALUES (8), (16), (32), (64), (128), (256), (512), (1073741824)) AS c(chunk) GROUP BY mode, chunk""",
     "status_by_source": "SELECT source, max(CASE WHEN doc_id % 7 = 0 THEN 3 ELSE 0 END) AS exit_code, 0 AS any_failed FROM documents GROUP BY source",
@@ -267,4 +256,5 @@ ORACLES = {
     "classified": """SELECT s_suppkey AS number, CASE WHEN s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49) THEN 'page'
         WHEN s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 48) THEN 'font' ELSE 'misc' END AS class FROM supplier""",
     "pivot_counts": "SELECT l_linestatus, " + ", ".join(f"nullif(count(*) FILTER (l_returnflag = '{f}'), 0) AS {f}" for f in "ANR") + " FROM lineitem GROUP BY l_linestatus",
+    **queries_files.ORACLES,
 }

@@ -70,27 +70,42 @@ def wrap(document: bytes, ranges: list[tuple[int, int]], encrypted: list[bytes],
 def _sealer(plain_blocks: bool, wrong_types: bool):
     types = (2, 7, 1, 34) if wrong_types else (3, 4, 5, 16)
 
-    def run(payloads: pa.Array, modes: pa.Array, shift: pa.Array) -> pa.Array:
-        rows, parts = [], {m: [] for m in IDS}
-        for texts, mode, more in zip(payloads.to_pylist(), modes.to_pylist(), shift.to_pylist(), strict=True):
+    def run(payloads: pa.Array, modes: pa.Array, shift: pa.Array, keys: pa.Array, blobs: pa.Array, flags: pa.Array) -> pa.Array:
+        rows, parts = [], {}
+        for texts, mode, more, key in zip(payloads.to_pylist(), modes.to_pylist(), shift.to_pylist(), keys.to_pylist(), strict=True):
             packed = [stored(t or b"") if plain_blocks else zlib.compress(t or b"", 6) for t in texts or []]
             document, ranges = pdf(packed, [len(p) + more for p in packed] if more else None)
-            rows.append((document, ranges, mode))
-            parts[mode] += [document[s:e] for s, e in ranges]
-        # The payloads of a batch share the key and are encrypted together.
-        done = {m: iter(kernels.many(kernels.ENCRYPT[m], KEY, p)) for m, p in parts.items()}
-        return pa.array([wrap(d, r, [next(done[m]) for _ in r], m, types=types) for d, r, m in rows], pa.binary())
+            rows.append((document, ranges, mode, key))
+            parts.setdefault((mode, key), []).extend(document[s:e] for s, e in ranges)
+        # The payloads of a batch that share a key are encrypted together.
+        done = {(m, k): iter(kernels.many(kernels.ENCRYPT[m], k, p)) for (m, k), p in parts.items()}
+        bodies = []
+        for document, ranges, mode, key in rows:
+            body = bytearray(document)
+            for s, e in ranges:
+                body[s:e] = next(done[mode, key])
+            bodies.append(bytes(body))
+        sealed_ = kernels.apply_bodies([k[:16] for *_, k in rows], bodies)
+        out = []
+        for body, (_, _, mode, key), blob, flag in zip(sealed_, rows, blobs.to_pylist(), flags.to_pylist(), strict=True):
+            cut = [body, key[:16], key if blob is None else blob, struct.pack("<I", IDS[mode] | flag)]
+            out.append(container(list(zip(types, cut, strict=True))))
+        return pa.array(out, pa.binary())
 
     return F.arrow_udf(run, "binary").asNondeterministic()
 
 
-def sealed(rows: DataFrame, payloads: Column, mode: Column | str, shift: Column | int = 0, plain_blocks: bool = False, wrong_types: bool = False) -> DataFrame:
+def sealed(
+    rows: DataFrame, payloads: Column, mode: Column | str, shift: Column | int = 0, plain_blocks: bool = False, wrong_types: bool = False, key: Column | bytes = KEY, blob: Column | None = None, flags: Column | int = 0
+) -> DataFrame:
     """rows with a container `content` of the payloads (array of strings or binaries), and `length`.
 
     shift is added to the declared lengths; plain_blocks stores instead of deflating;
-    wrong_types gives every section a type code that is not its role's.
+    wrong_types gives every section a type code that is not its role's. key is each
+    container's key of 24 bytes, blob what stands in its place, flags are added to the
+    algorithm id.
     """
-    mode = F.lit(mode) if isinstance(mode, str) else mode
-    shift = F.lit(shift) if isinstance(shift, int) else shift
-    content = _sealer(plain_blocks, wrong_types)(payloads.cast("array<binary>"), mode, shift.cast("int"))
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    blob = F.lit(None).cast("binary") if blob is None else blob
+    content = _sealer(plain_blocks, wrong_types)(payloads.cast("array<binary>"), as_column(mode), as_column(shift).cast("int"), as_column(key), blob, as_column(flags).cast("bigint"))
     return rows.withColumn("content", content).withColumn("length", F.length("content").cast("bigint"))

@@ -183,6 +183,13 @@ def test_file_sink(spark, tmp_path):
     with pytest.raises(Exception, match="exists already"):
         sink.write_files(rows)
     sink.write_files(rows, force=True)
+    writer = sink.FileWriter(False)
+    with pytest.raises(FileExistsError):
+        writer.write(iter([(str(tmp_path / "new"), b"x"), (str(tmp_path / "a"), b"y")]))
+    lost = tmp_path / f".gone.{writer.job}-0-0"
+    lost.write_bytes(b"half")
+    writer.commit([writer.write(iter([(str(tmp_path / "new"), b"x")]))])
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "b", "new"]
 
 
 def test_command_line(spark, tmp_path, capfd):
@@ -258,3 +265,50 @@ def test_metadata(spark):
     assert "xml metadata : 6 B" in rows[0]["dump"] and "producer     : Maker 3.2" in rows[0]["dump"] and "algorithm=0x00000002" in rows[0]["dump"]
     assert "FAILED" in rows[1]["dump"] and rows[1]["code"] == 0
     assert bytes(out.select(sections.raw_of_type(0, unclaimed_only=True)).first()[0]) == b"<xml/>"
+
+
+def test_the_second_reader_agrees(spark):
+    """Containers at random, read by the whole pass and by the serial reader, which share no cipher and no parser."""
+    import random
+
+    from codicil.operators import plain
+
+    r, cases = random.Random(7), []
+    for i in range(24):
+        mode = ("none", "ofb", "cfb64")[i % 3]
+        key = bytes(r.randrange(256) for _ in range(24))
+        payloads = [zlib.compress(bytes(r.randrange(256) for _ in range(r.randrange(0, 700)))) for _ in range(r.randrange(1, 4))]
+        wrapped = i % 5 == 0 and mode != "none"
+        cases.append(synth.seal(*synth.pdf(payloads), mode=mode, key=WRAPPED_KEY if wrapped else key, blob=BLOB if wrapped else None, version=b"v2.5\0\0\0\0" if i % 4 == 0 else b"\0\0\3\0", labelled=i % 4 == 0))
+    got = ordered(convert.convert(files(spark, *cases)).withColumn("path", F.lpad(F.regexp_extract("path", "[0-9]+", 0), 2, "0")), "decoded.pdf", "code")
+    assert [(bytes(pdf), code) for pdf, code in got] == [(plain.document(c), 0) for c in cases]
+
+
+def test_block_cipher_of_the_second_reader():
+    from codicil.operators import plain
+
+    # A published known answer of the cipher, with three equal keys.
+    key = bytes.fromhex("133457799bbcdff1")
+    assert plain.block_cipher(key * 3, bytes.fromhex("0123456789abcdef")).hex() == "85e813540f0ab405"
+
+
+def test_too_large_is_not_the_same_as_broken(spark):
+    rows = convert.convert(files(spark, sealed("none", [TEXT, b"junk" * 9, zlib.compress(b"")[:-5]])))
+    got = [(r["data"] is not None, r["reason"]) for r in convert.payloads(rows, "path").orderBy("idx").collect()]
+    assert got[0] == (True, None) and not got[1][0] and got[1][1].startswith("Error") and not got[2][0]
+    got = convert.payloads(rows, "path", limit=10).orderBy("idx").first()
+    assert got["data"] is None and got["reason"] == "too large for a row"
+
+
+def test_many_keys_at_once():
+    import random
+
+    from codicil.functions import kernels
+
+    r = random.Random(2)
+    keys = [bytes(r.randrange(256) for _ in range(r.choice([16, 24]))) for _ in range(120)]
+    parts = [bytes(r.randrange(256) for _ in range(r.randrange(0, 600))) for _ in keys]
+    for mode, one in (("ofb", kernels.ofb), ("cfb64", kernels.cfb64_decrypt), ("none", lambda k, p: p)):
+        for reset in (256, 64) if mode != "none" else (256,):
+            assert kernels.decrypt_parts(mode, keys, parts, reset) == [one(k, p, reset) if mode != "none" else p for k, p in zip(keys, parts, strict=True)]
+    assert kernels.apply_bodies(keys, parts) == [kernels.apply_body(k, p).tobytes() for k, p in zip(keys, parts, strict=True)]
