@@ -10,6 +10,7 @@ its tasks.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -32,23 +33,42 @@ END_ID = 1
 SHARD_IDS = 1 << 21
 BLOCK_BITS = 512
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Normaliser and pre-tokenizer of the tokenizers that may be given a text's words one by one.
+_BY_WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
 
 
 class WordCache:
     """Encodes texts with a library tokenizer by way of their words.
 
-    Valid for a tokenizer whose pre-tokens never cross white space. Texts are cut
+    A tokenizer whose pre-tokens never cross white space is given words: texts are cut
     at ASCII white space; each new word is encoded once and kept. Plain Latin words
     with an optional tail of points go to the library's BPE model as the pre-token
-    that its own normaliser makes of them, all others through the whole library.
+    that its own normaliser makes of them, all others through the whole library. Any
+    other tokenizer is given whole texts. `limit` bounds the bytes of what is kept.
     """
 
-    def __init__(self, path: str, limit: int = 500_000, keep: int = 125_000):
+    #: Bytes that a kept entry takes beside its key and value: two headers and a place in the table.
+    ENTRY = 160
+    #: Words of a text that are looked up at once.
+    PART = 1 << 16
+
+    def __init__(self, path: str, limit: int = 64 << 20):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.limit, self.keep = limit, keep
+        form = json.loads(self.tokenizer.to_str())
+        self.by_words = (form["normalizer"], form["pre_tokenizer"]) == _BY_WORDS and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in form["added_tokens"])
+        self.limit, self.held = limit, 0
         self.known: dict[bytes, bytes] = {}
         self.letters: dict[str, bytes] = {}
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -58,12 +78,17 @@ class WordCache:
     def _whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def _keep(self, cache: dict, key, value: bytes) -> bytes:
+        cache[key] = value
+        self.held += len(key) + len(value) + self.ENTRY
+        return value
+
     def _run(self, run: str) -> bytes:
         run = run.lower()
         found = self.letters.get(run)
         if found is None:
             ids = [t.id for t in self.tokenizer.model.tokenize(run.translate(self.mapped))]
-            found = self.letters[run] = np.array(ids, self.kind).tobytes()
+            found = self._keep(self.letters, run, np.array(ids, self.kind).tobytes())
         return found
 
     def _new(self, word: bytes) -> bytes:
@@ -76,19 +101,33 @@ class WordCache:
     def _tail(self, tail: str) -> bytes:
         found = self.letters.get(tail)
         if found is None:
-            found = self.letters[tail] = self._whole(tail)
+            found = self._keep(self.letters, tail, self._whole(tail))
         return found
 
+    def _shrink(self) -> None:
+        """Keep the first entries, up to a quarter of the bytes: the first to come are the frequent ones."""
+        self.held = 0
+        for name in ("known", "letters"):
+            old, kept = getattr(self, name), {}
+            upto = self.held + self.limit // 8
+            setattr(self, name, kept)
+            for k, v in old.items():
+                if self.held >= upto:
+                    break
+                self._keep(kept, k, v)
+
     def encode(self, text: bytes) -> np.ndarray:
-        words, known = text.split(), self.known
-        for w in set(words).difference(known):
-            known[w] = self._new(w)
-        out = b"".join(map(known.__getitem__, words))
-        if len(known) > self.limit:  # the first to come are the frequent ones
-            self.known = dict(list(known.items())[: self.keep])
-        if len(self.letters) > self.limit:
-            self.letters = dict(list(self.letters.items())[: self.keep])
-        return np.frombuffer(out, self.kind)
+        if not self.by_words:
+            return np.frombuffer(self._whole(text.decode("utf-8", "replace")), self.kind)
+        words, out = text.split(), []
+        for i in range(0, len(words), self.PART):
+            part, known = words[i : i + self.PART], self.known
+            for w in set(part).difference(known):
+                self._keep(known, w, self._new(w))
+            out.append(b"".join(map(known.__getitem__, part)))
+            if self.held > self.limit:
+                self._shrink()
+        return np.frombuffer(b"".join(out), self.kind)
 
 
 _encoders: dict[str, WordCache] = {}
@@ -280,16 +319,19 @@ def _packer(path: str, end_id: int, limit: int):
     return pack
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str = WORD_TOKENIZER, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, tokenizer: str = WORD_TOKENIZER, end_id: int = END_ID, shard_ids: int = SHARD_IDS, arranged: bool = False) -> DataFrame:
     """Write docs (doc_id, text) as wavelet shards under `path`; return their table.
 
     Null texts count as empty; each document ends with end_id. Documents are in
     ascending doc_id order over (part, seq), a null doc_id first; rows that share a
-    doc_id are in the order of their texts. Other columns are ignored. A document is
-    never split over files.
+    doc_id are in the order of their texts. With `arranged` they stay in the order of
+    docs, partition after partition. Other columns are ignored. A document is never
+    split over files.
     """
     spark = docs.sparkSession
-    ordered = docs.select("doc_id", "text").repartitionByRange(common.shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text")
+    if not arranged:
+        ordered = ordered.repartitionByRange(common.shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_packer(tokenizer, end_id, shard_ids), _SHARD_SCHEMA).write.option("compression", "uncompressed").option("parquet.block.size", 32 << 20).parquet(path)
     return spark.read.schema(_SHARD_SCHEMA).parquet(path)
 
@@ -326,9 +368,9 @@ def read_index(shards: DataFrame) -> DataFrame:
     return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("shard_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "part", "seq")
 
 
-def encode_corpus(docs: DataFrame, tokenizer: str = WORD_TOKENIZER, end_id: int = END_ID) -> DataFrame:
+def encode_corpus(docs: DataFrame, tokenizer: str = WORD_TOKENIZER, end_id: int = END_ID, arranged: bool = False) -> DataFrame:
     """Write docs to wavelet shards in the shared folder and return the index read from them.
 
     An empty table gives no files and no rows.
     """
-    return read_index(write_shards(docs, common.new_path(docs.sparkSession, "wavelet"), tokenizer, end_id))
+    return read_index(write_shards(docs, common.new_path(docs.sparkSession, "wavelet"), tokenizer, end_id, arranged=arranged))
