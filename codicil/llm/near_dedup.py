@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, components, textscan
@@ -134,7 +134,9 @@ def _lists(grid: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(textscan.signed(np.ascontiguousarray(grid)).ravel()))
 
 
-_SKETCH = "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"
+#: Tell rows apart by doc_id and text.
+_TEXT = (F.xxhash64, lambda text: F.xxhash64(F.lit(7), text))
+_SKETCH = "doc_id long, t1 long, t2 long, n_shingles long, h1 long, h2 long, keys array<long>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +145,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, bounds = shingle_sets(*common.text_bytes(batch.column("text")))
             h1, h2 = _totals(x, bounds)
             keys = _lists(bands(registers(x, bounds)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(textscan.signed(h1)), pa.array(textscan.signed(h2)), keys], ["doc_id", "n_shingles", "h1", "h2", "keys"])
+            own = ["doc_id", "t1", "t2"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(np.diff(bounds)), pa.array(textscan.signed(h1)), pa.array(textscan.signed(h2)), keys], [*own, "n_shingles", "h1", "h2", "keys"])
 
 
 def odd_sketch(x: np.ndarray, bounds: np.ndarray, words: int) -> np.ndarray:
@@ -191,42 +194,47 @@ def _rehash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(np.diff(bounds)), pa.array(textscan.signed(h1)), pa.array(textscan.signed(h2)), _lists(wide), _lists(narrow)], ["text", "n_shingles", "h1", "h2", "wide", "narrow"])
 
 
+def shingle_words(text: bytes, k: int = SHINGLE) -> set[tuple[bytes, ...]]:
+    """A text's set as words."""
+    words = bytes(textscan.LOWER[np.frombuffer(text, np.uint8)]).split()
+    return set(zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else {tuple(words)} if words else set()
+
+
 def _confirm(threshold: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in common.slices(whole, "text_a", common.SLICE_BYTES // 2):
-                xa, ba = shingle_sets(*common.text_bytes(batch.column("text_a")))
-                xb, bb = shingle_sets(*common.text_bytes(batch.column("text_b")))
+                texts = [batch.column(c).cast(pa.large_binary()) for c in ("text_a", "text_b")]
+                xa, ba = shingle_sets(*common.text_bytes(texts[0]))
+                xb, bb = shingle_sets(*common.text_bytes(texts[1]))
                 na, nb = np.diff(ba), np.diff(bb)
                 near = 100 * np.minimum(na, nb) >= threshold * np.maximum(na, nb)
                 near[near] = similarity(registers(xa, ba)[near].astype(int), registers(xb, bb)[near].astype(int), na[near], nb[near]) >= min(ESTIMATE, threshold / 100 - 0.25)
-                for i in np.flatnonzero(near):
-                    common_ = len(np.intersect1d(xa[ba[i] : ba[i + 1]], xb[bb[i] : bb[i + 1]], assume_unique=True))
-                    near[i] = 100 * common_ >= threshold * (na[i] + nb[i] - common_)
+                last = None, set()  # pairs come by their first text
+                for i in np.flatnonzero(near).tolist():
+                    shared = len(np.intersect1d(xa[ba[i] : ba[i + 1]], xb[bb[i] : bb[i + 1]], assume_unique=True))
+                    near[i] = 100 * shared >= threshold * (na[i] + nb[i] - shared)
+                    if near[i]:  # by hashes; what decides are the words
+                        first = texts[0][i].as_py()
+                        last = last if last[0] == first else (first, shingle_words(first))
+                        other = shingle_words(texts[1][i].as_py())
+                        shared = len(last[1] & other)
+                        near[i] = 100 * shared >= threshold * (len(last[1]) + len(other) - shared)
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(near)) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
 
     return confirm
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, a row for each row of docs.
-
-    A row with fewer than 5 words has its whole sequence as one shingle; a row
-    without words (null, empty) has none and is linked with nothing. component_id is
-    the smallest doc_id reachable over links of at least `threshold` percent; rows
-    that share a doc_id are told apart by their texts, and all those that bear the
-    component's id are kept. A row with a null doc_id has a null component unless
-    linked with one that has an id; it is kept if its component is null. Columns
-    other than doc_id and text are ignored; an empty table gives no rows.
-    """
-    sketches = common.save(docs.select("doc_id", "text").mapInArrow(_sketch, _SKETCH), "sketches")
+def _components(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Rows (doc_id, t1, t2, n_shingles, h1, h2); classes of equal sets (h1, h2, n_shingles, rep, label), rep the smallest
+    doc_id and label a number of the component; tables to delete once both are read."""
+    texts = docs.select("doc_id", *(f(F.col("text")).alias(f"t{i}") for i, f in enumerate(_TEXT, 1)), "text")
+    sketches = common.save(texts.mapInArrow(_sketch, _SKETCH), "sketches")
     own = ["h1", "h2", "n_shingles"]
     grouped = sketches.where("n_shingles > 0").groupBy(*own).agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     # Numbers given once and written, so that no later reading can give others.
     classes = common.save(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
-    buckets = classes.select(F.explode("keys").alias("key"), "id")
-
-    meeting = common.save(components.meeting(buckets), "meeting")
+    meeting = common.save(components.meeting(classes.select(F.explode("keys").alias("key"), "id")), "meeting")
     wanted = classes.join(meeting.select("id").distinct(), "id").select("id", "rep", *own)
     wanted = common.save(wanted, "wanted")
     reps = wanted.select(F.col("rep").alias("doc_id")).distinct()
@@ -238,20 +246,65 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(threshold), "a long, b long")
+        return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(threshold), "a long, b long")
 
     labels = components.link(meeting, verify, attributes, _possible(threshold))
-    linked = labels.join(classes.select("id", "rep"), "id")
-    lowest = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
-    linked = linked.join(lowest, "label").select("id", "component_id")
-    whole = classes.select("id", "rep", *own).join(linked, "id", "left").select(*own, F.coalesce("component_id", "rep").alias("component_id"))
+    common.drop(meeting, wanted, texts)
+    whole = classes.select("id", "rep", *own).join(labels, "id", "left").select(*own, "rep", F.coalesce("label", "id").alias("label"))
+    return sketches.drop("keys"), whole, [sketches, classes, labels]
+
+
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, a row for each row of docs.
+
+    A row with fewer than 5 words has its whole sequence as one shingle; a row
+    without words (null, empty) has none and is linked with nothing. component_id is
+    the smallest doc_id reachable over links of at least `threshold` percent; rows
+    that share a doc_id are told apart by their texts, and all those that bear the
+    component's id are kept. A row with a null doc_id has a null component unless
+    linked with one that has an id; it is kept if its component is null. Columns
+    other than doc_id and text are ignored; an empty table gives no rows.
+    """
+    own = ["h1", "h2", "n_shingles"]
+    sketches, whole, _ = _components(docs, threshold)
+    lowest = whole.groupBy("label").agg(F.min("rep").alias("component_id"))
+    whole = whole.join(lowest, "label").select(*own, "component_id")
     rows = sketches.where("n_shingles > 0").select("doc_id", *own).join(whole, own)
     alone = sketches.where("n_shingles = 0").select("doc_id", *own, F.col("doc_id").alias("component_id"))
     return rows.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, of documents that are kept (by doc_id)."""
-    gone = near_duplicates(docs, threshold).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
-    gone = common.save(gone, "duplicates")
-    return docs.join(F.broadcast(gone) if common.small(gone, 500_000) else gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """The rows of docs, all columns, of which one stays of each component.
+
+    It is the row with the smallest doc_id, a null one after all others, and of several
+    such rows the one with the smallest text hash; of equal ones any one. Rows without
+    words are duplicates of nothing and all stay. An empty table stays empty.
+    """
+    own = ["h1", "h2", "n_shingles"]
+    sketches, whole, spent = _components(docs, threshold)
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t1", "t2")
+    rows = sketches.where("n_shingles > 0").select("doc_id", "t1", "t2", *own).join(whole.select(*own, "label"), own).select("label", place.alias("place"))
+    heads = rows.groupBy("label").agg(F.min("place").alias("head"))
+    judged = rows.groupBy("label", "place").agg(F.count(F.lit(1)).alias("n")).join(heads, "label").select("place.doc_id", "place.t1", "place.t2", "n", F.col("place").eqNullSafe(F.col("head")).alias("stays"))
+    judged = common.save(judged.where("n > 1 OR NOT stays"), "duplicates")
+    common.drop(*spent)
+    # Names that no column of docs has.
+    tag = "key_" + "_".join(sorted(docs.columns, key=len)[-1:])
+    names = [f"{tag}_{c}" for c in ("t1", "t2")]
+    keyed = docs.select("*", *(f(F.col("text")).alias(n) for f, n in zip(_TEXT, names, strict=True)))
+
+    def among(side: DataFrame, how: str) -> DataFrame:
+        side = side.select(F.col("doc_id").alias(f"{tag}_id"), "t1", "t2")
+        side = F.broadcast(side) if common.small(side, 500_000) else side
+        same = keyed["doc_id"].eqNullSafe(side[f"{tag}_id"]) & (keyed[names[0]] == side["t1"]) & (keyed[names[1]] == side["t2"])
+        return keyed.join(side, same, how)
+
+    left = among(judged, "left_anti").drop(*names)
+    again = judged.where("stays")
+    if again.isEmpty():
+        return left
+    # Equal rows of doc_id and text, of which one stays.
+    order = Window.partitionBy(keyed["doc_id"], *names).orderBy(F.lit(1))
+    first = among(again, "left_semi").withColumn(f"{tag}_place", F.row_number().over(order)).where(F.col(f"{tag}_place") == 1)
+    return left.unionByName(first.select(docs.columns))

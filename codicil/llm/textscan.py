@@ -1,15 +1,13 @@
 """Vectorised word segmentation and hashing of UTF-8 text.
 
 A batch of texts is one byte array with row offsets. Words are maximal runs of
-bytes outside a separator set that don't cross a row's end. A word's hash is a
-polynomial over random byte values modulo 2**64, finished by a 64-bit mixer;
-runs of k words combine word hashes the same way.
+bytes outside a separator set that don't cross a row's end. A word's hash mixes
+each eight bytes together with their place in the word, which no two words undo
+alike, and adds them up; runs of k words are polynomials over word hashes.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 
 SPACE = np.zeros(256, bool)
@@ -22,13 +20,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 U = np.uint64
-_CHUNK = 1 << 18
+#: Pieces of eight bytes that are hashed at once.
+_PIECES = 1 << 19
 _rng = np.random.Generator(np.random.PCG64(20240607))
-_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = int(_rng.integers(1 << 62, 1 << 63)) * 2 + 1
-_STEP = int(_rng.integers(1 << 62, 1 << 63)) * 2 + 1
 _M64 = (1 << 64) - 1
-_tables: dict[str, np.ndarray] = {}
+_PLACE, _LENGTH, _STEP = (int(x) * 2 + 1 for x in _rng.integers(1 << 62, 1 << 63, 3))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,15 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    if not _tables:
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(_CHUNK + 1, base, np.uint64)
-            p[0] = 1
-            _tables[name] = np.multiply.accumulate(p)
-    return _tables["up"], _tables["down"]
-
-
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and the n+1 offsets of each row's words among them."""
     if not len(data):
@@ -69,22 +56,26 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tupl
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
     """64-bit hash of each word; with `lower`, of the word with A-Z in lower case."""
     out = np.empty(len(starts), np.uint64)
-    up, down = _powers()
-    value = _VALUE[LOWER] if lower else _VALUE
+    if not len(starts):
+        return out
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = LOWER[data] if lower else data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    sizes = ends - starts
+    # A word of no bytes has one piece too, of which nothing is left.
+    pieces = np.maximum((sizes + 7) >> 3, 1)
+    before = np.concatenate([[0], np.cumsum(pieces)])
     i = 0
     while i < len(starts):
-        a = starts[i]
-        j = int(np.searchsorted(ends, a + _CHUNK, "right"))
-        if j <= i:  # one word longer than a chunk
-            word = data[a : ends[i]]
-            out[i] = int.from_bytes(hashlib.blake2b((LOWER[word] if lower else word).tobytes(), digest_size=8).digest(), "little")
-            i += 1
-            continue
-        n = int(ends[j - 1] - a)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(value[data[a : a + n]] * up[:n], out=sums[1:])
-        s, e = starts[i:j] - a, ends[i:j] - a
-        out[i:j] = mix((sums[e] - sums[s]) * down[s])
+        j = max(i + 1, int(np.searchsorted(before, before[i] + _PIECES, "right")) - 1)
+        n, first = pieces[i:j], before[i:j] - before[i]
+        place = np.arange(before[j] - before[i]) - np.repeat(first, n)
+        left = np.repeat(sizes[i:j], n) - 8 * place
+        value = eight[np.repeat(starts[i:j], n) + 8 * place]
+        cut = np.clip(8 - left, 0, 8).astype(np.uint64) * U(8)
+        value = np.where(cut < U(64), value & (U(_M64) >> np.minimum(cut, U(63))), U(0))
+        value = mix(value ^ mix(place.astype(np.uint64) * U(_PLACE)))
+        out[i:j] = mix(np.add.reduceat(value, first) + sizes[i:j].astype(np.uint64) * U(_LENGTH))
         i = j
     return out
 
