@@ -4,12 +4,16 @@ Suffixes are sampled: of the 16-word prefixes inside each 50-word window the one
 with the least hash is the window's anchor, so equal windows have equal anchors
 at the same place. The corpus' suffixes at anchors are partitioned by that
 prefix. A prefix held by one document only is a leaf and goes no further. The
-suffixes under each other prefix are streamed to one task, in document order, and
-make a subtree: its root is the prefix, its nodes at depth 50 are the distinct
-windows around the anchor, and a node that two documents share is deep; windows
-below deep nodes, joined where they overlap, are the maximal repeats. Where too
-many suffixes share a prefix to be one group, the prefix is made longer: their
-windows are partitioned by all 50 words, with minima combined before the shuffle.
+others are streamed, with the words of their windows, to the task of their prefix,
+which builds two trees over whole groups: of the suffixes that begin at the anchor,
+and of the words before it read backwards. A tree is the sorted suffixes and the
+words that neighbours have in common; the runs that share a depth are its nodes.
+Windows are equal if they are under one node of each tree, at depths that add up to
+the window, so words decide and not hashes. Windows around one anchor overlap: what
+an earlier document has of them is one stretch, and stretches joined are the maximal
+repeats. Where too many suffixes share a prefix to be one group, the prefix is made
+longer: their windows are partitioned by all 50 words, with minima combined before
+the shuffle.
 """
 
 from __future__ import annotations
@@ -26,8 +30,10 @@ from . import common, textscan
 
 WINDOW = 50
 PREFIX = 16
-#: Suffixes under one prefix that make a group for one task, some 20 MB.
-GROUP = 100_000
+#: Suffixes under one prefix that make a group for one task, some 5 MB of words.
+GROUP = 10_000
+#: Suffixes over which trees are built at once; a group is never divided.
+TREE_ROWS = 4096
 #: Bits a shared prefix gets in the filter that is broadcast, and the filter's greatest size (32 MB).
 BITS_EACH, MOST_BITS = 16, 28
 U = np.uint64
@@ -74,73 +80,127 @@ def _filter(prefixes: DataFrame, count: int) -> tuple[int, bytes]:
     return bits, out.tobytes()
 
 
-_SUFFIXES = "prefix long, doc_id long, place long, first long, windows array<long>"
+_SUFFIXES = "prefix long, doc_id long, first long, lead int, n_windows int, words binary"
 
 
 def _suffixes(shared, window: int, prefix: int):
-    """The sampled suffixes whose prefix may be shared, each with the hashes of its windows in order."""
+    """The sampled suffixes whose prefix may be shared, each with the words of its windows.
+
+    `first` is the place of the first word in its document, `lead` the anchor's among the words.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, packed = shared.value
-        seen = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").view(bool)
+        packed = np.frombuffer(packed, np.uint8)
         for whole in batches:
             for batch in common.slices(whole):
-                _, _, bounds, h, at, anchor, short = _anchors(*common.text_bytes(batch.column("text")), window, prefix)
+                data, offsets = common.text_bytes(batch.column("text"))
+                starts, ends, bounds, _, at, anchor, short = _anchors(data, offsets, window, prefix)
                 if not len(at):
                     continue
-                keep = np.flatnonzero(seen[short[anchor] >> U(64 - bits)])
+                place = short[anchor] >> U(64 - bits)
+                keep = np.flatnonzero(packed[(place >> U(3)).astype(np.int64)] >> (place & U(7)).astype(np.uint8) & 1)
                 if not len(keep):
                     continue
-                full = textscan.runs(h, window)[at[keep]]
                 a, first = anchor[keep], at[keep]
                 cut = np.flatnonzero(np.diff(a) != 0) + 1  # windows of an anchor are consecutive
                 lead = np.concatenate([[0], cut])
-                row = np.searchsorted(bounds, a[lead], "right") - 1
-                lists = pa.ListArray.from_arrays(pa.array(np.append(lead, len(a)).astype(np.int32)), pa.array(textscan.signed(full)))
-                doc = np.asarray(batch.column("doc_id")).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(textscan.signed(short[a[lead]])), pa.array(doc[row]), pa.array(a[lead] - bounds[row]), pa.array(first[lead] - bounds[row]), lists], ["prefix", "doc_id", "place", "first", "windows"])
+                n = np.diff(np.append(lead, len(a)))
+                a, first = a[lead], first[lead]
+                row = np.searchsorted(bounds, a, "right") - 1
+                text, doc = data.tobytes(), np.asarray(batch.column("doc_id")).astype(np.int64)
+                spans = zip(starts[first].tolist(), ends[first + n + window - 2].tolist(), strict=True)
+                cols = [textscan.signed(short[a]), doc[row], first - bounds[row], (a - first).astype(np.int32), n.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([text[s:e] for s, e in spans], pa.binary())], ["prefix", "doc_id", "first", "lead", "n_windows", "words"])
 
     return emit
 
 
 class SubTree:
-    """Nodes at full depth under one prefix; suffixes come in ascending document order."""
-
-    def __init__(self):
-        self.least: dict[int, int] = {}
-
-    def add(self, doc: int, windows: list[int]) -> list[int]:
-        """Which of a suffix's windows an earlier document has."""
-        least = self.least
-        return [i for i, w in enumerate(windows) if least.setdefault(w, doc) < doc]
-
-
-def _intervals(first: int, hits: list[int], window: int) -> list[int]:
-    out: list[int] = []
-    for i in hits:
-        if out and first + i <= out[-1]:
-            out[-1] = first + i + window
-        else:
-            out += [first + i, first + i + window]
-    return out
+    """A suffix tree of rows of word numbers, in which a negative number ends a row: the rows in order and what neighbours share."""
+
+    def __init__(self, rows: np.ndarray):
+        n, self.depth = rows.shape
+        packed = np.ascontiguousarray(rows.astype(">i4")).view(np.dtype((np.void, 4 * max(self.depth, 1)))).ravel() if self.depth else np.zeros(n, "V1")
+        self.order = np.argsort(packed, kind="stable")
+        ordered = rows[self.order]
+        same = (ordered[1:] == ordered[:-1]) & (ordered[1:] >= 0)
+        self.common = np.where(same.all(1), self.depth, same.argmin(1)) if self.depth else np.zeros(max(n - 1, 0), np.int64)
+
+    def nodes(self, depth: int) -> np.ndarray:
+        """For each row the number of the node over it at a depth: rows with the same number share as many words."""
+        out = np.zeros(len(self.order), np.int64)
+        out[self.order[1:]] = np.cumsum(self.common < depth)
+        return out
+
+
+def _numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of texts as numbers, one text after the other, and the n+1 offsets."""
+    numbers: dict[bytes, int] = {}
+    lists = [t.split() for t in texts]
+    flat = [numbers.setdefault(w, len(numbers)) for own in lists for w in own]
+    return np.array(flat, np.int32), np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+
+
+def _repeated(doc: np.ndarray, lead: np.ndarray, n_windows: np.ndarray, texts: list[bytes], window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows with a window that a smaller document has, and the first and last such window of each."""
+    ids, bounds = _numbered(texts)
+    n, count = len(texts), np.diff(bounds)
+
+    def rows(start: np.ndarray, step: int, depth: int, left: np.ndarray) -> np.ndarray:
+        place = start[:, None] + step * np.arange(depth)
+        return np.where(np.arange(depth) < left[:, None], ids[np.clip(place, 0, max(len(ids) - 1, 0))], -1)
+
+    after = SubTree(rows(bounds[:-1] + lead, 1, window, count - lead))
+    before = SubTree(rows(bounds[:-1] + lead - 1, -1, window - prefix, lead))
+    low, high = np.full(n, window, np.int64), np.full(n, -1, np.int64)
+    for left in range(window - prefix + 1):  # the words of a window that stand before the anchor
+        own = np.flatnonzero((left <= lead) & (left > lead - n_windows))
+        if len(own) < 2:
+            continue
+        node = after.nodes(window - left)[own] * (n + 1) + before.nodes(left)[own]
+        order = np.lexsort((doc[own], node))
+        node, own = node[order], own[order]
+        new = np.concatenate([[True], node[1:] != node[:-1]])
+        least = doc[own][np.flatnonzero(new)][np.cumsum(new) - 1]
+        hit = own[doc[own] > least]
+        low[hit] = np.minimum(low[hit], lead[hit] - left)
+        high[hit] = np.maximum(high[hit], lead[hit] - left)
+    found = np.flatnonzero(high >= 0)
+    return found, low[found], high[found]
 
 
 _COVER = "doc_id long, spans array<long>"
 
 
-def _grow(window: int):
+def _grow(window: int, prefix: int):
+    def grown(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts)
+        doc, first, lead, n = (rows.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "first", "lead", "n_windows"))
+        at, low, high = _repeated(doc, lead, n, rows.column("words").to_pylist(), window, prefix)
+        spans = np.stack([first[at] + low, first[at] + high + window], 1).ravel()
+        return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * 2), pa.array(spans))], ["doc_id", "spans"])
+
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefix, tree = None, SubTree()
+        held, size = [], 0
         for batch in batches:
-            docs, spans = [], []
-            for p, doc, first, windows in zip(*(batch.column(c).to_pylist() for c in ("prefix", "doc_id", "first", "windows")), strict=True):
-                if p != prefix:
-                    prefix, tree = p, SubTree()
-                if hits := tree.add(doc, windows):
-                    docs.append(doc)
-                    spans.append(_intervals(first, hits, window))
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(spans, pa.list_(pa.int64()))], ["doc_id", "spans"])
+            start = 0
+            prefixes = batch.column("prefix").to_numpy()
+            while start < len(prefixes):
+                # The next place, from TREE_ROWS rows on, at which a group ends.
+                stop = min(len(prefixes), start + max(TREE_ROWS - size, 0))
+                last = prefixes[stop - 1] if stop > start else held[-1].column("prefix")[-1].as_py()
+                other = np.flatnonzero(prefixes[stop:] != last)
+                full = size + stop - start >= TREE_ROWS and len(other) > 0
+                stop = stop + int(other[0]) if full else len(prefixes)
+                if stop > start:
+                    held.append(batch.slice(start, stop - start))
+                size, start = size + stop - start, stop
+                if full:
+                    yield grown(held)
+                    held, size = [], 0
+        if held:
+            yield grown(held)
 
     return grow
 
@@ -180,12 +240,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group:
         suffixes = common.save(suffixes, "suffixes")
         cool, long_ = common.join_small(suffixes, hot, "prefix", "left_anti"), common.join_small(suffixes, hot, "prefix", "left_semi")
     n = common.shuffle_partitions(spark)
-    grown = cool.repartition(n, "prefix").sortWithinPartitions("prefix", "doc_id").mapInArrow(_grow(window), _COVER)
+    grown = cool.repartition(n, "prefix").sortWithinPartitions("prefix").mapInArrow(_grow(window, prefix), _COVER)
     if long_ is None:
         return grown
-    leaves = long_.select("doc_id", "first", F.posexplode("windows").alias("i", "w")).select("doc_id", "w", (F.col("first") + F.col("i")).alias("at"))
-    deep = leaves.groupBy("w").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("w", "low")
-    hits = leaves.join(deep, "w").where("doc_id > low")
+    text = F.array_join(F.slice("w", F.col("i") + 1, F.lit(window)), " ")
+    split = long_.select("doc_id", "first", F.split(F.decode("words", "UTF-8"), "[ \\t-\\r]+").alias("w"), F.explode(F.sequence(F.lit(0), F.col("n_windows") - 1)).alias("i"))
+    leaves = split.select("doc_id", (F.col("first") + F.col("i")).alias("at"), F.sha2(text, 256).alias("node"))
+    leaves = common.save(leaves, "leaves")
+    deep = leaves.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("node", "low")
+    hits = leaves.join(deep, "node").where("doc_id > low")
     return grown.unionByName(hits.select("doc_id", F.array("at", F.col("at") + window).alias("spans")))
 
 
