@@ -4,18 +4,21 @@ A document's text is cut into leaves where two words meet at a single space, whi
 is a pre-token boundary whatever stands around it. A segment tree holds the sums
 of the leaves' characters and tokens. An edit replaces the leaves that it touches
 and one leaf on either side, encodes that region only, and updates the sums above.
+Trees are kept as columns beside the text, so that a later round of edits encodes
+nothing but what it touches.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common, pii
 
@@ -54,6 +57,21 @@ class TokenTree:
         self.count, self.size, self.encoded = count, size, 0
         self._build(cut(text, size))
 
+    @classmethod
+    def restore(cls, text: str, chars: list[int], tokens: list[int], count: Callable[[str], int], size: int = LEAF) -> TokenTree:
+        """The tree that kept() described; nothing is encoded."""
+        tree, at, leaves = cls("", count, size), 0, []
+        for n in chars:
+            leaves.append(text[at : at + n])
+            at += n
+        tree._build(leaves, tokens)
+        return tree
+
+    def kept(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of the leaves with text."""
+        own = [i for i, x in enumerate(self.leaves) if x]
+        return [len(self.leaves[i]) for i in own], [self.tokens[self.width + i] for i in own]
+
     def _measure(self, leaf: str) -> int:
         self.encoded += len(leaf)
         return self.count(leaf)
@@ -126,15 +144,6 @@ class TokenTree:
             self._set(low + i, "".join(parts[i * share : (i + 1) * share]))
 
 
-def apply(text: str, edits: list[Edit], count: Callable[[str], int], size: int = LEAF) -> tuple[int, TokenTree]:
-    """Tokens before, and the tree after non-overlapping edits given in the positions of the text."""
-    tree = TokenTree(text, count, size)
-    before, tree.encoded = tree.total, 0
-    for start, end, new in sorted(edits, reverse=True):
-        tree.edit(start, end, new)
-    return before, tree
-
-
 def mask_entities(text: str) -> list[Edit]:
     """An edit for each e-mail address, IP address, card and phone number; of overlapping ones the first."""
     out: list[Edit] = []
@@ -144,40 +153,85 @@ def mask_entities(text: str) -> list[Edit]:
     return out
 
 
-_COUNTS = "doc_id long, n_tokens long, n_edits long, n_tokens_after long, n_chars_after long, chars_encoded_again long, edited_sha256 string"
+_TREES = "doc_id long, text string, n_tokens long, leaf_chars array<int>, leaf_tokens array<int>"
+_EDITED = f"{_TREES}, n_tokens_before long, n_edits long, chars_encoded_again long"
+_INTS = pa.list_(pa.int32())
+
+
+def _counter(path: str) -> Callable[[str], int]:
+    code = encoding(path)
+    return lambda x: len(code.encode_ordinary(x))
 
 
-def _counter(path: str, propose: Callable[[str], list[Edit]] | None, size: int):
+def _grower(path: str, size: int, extra: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoding(path)
+        count = _counter(path)
+        for whole in batches:
+            for batch in common.slices(whole):
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                trees = [TokenTree(t, count, size) for t in texts]
+                kept = list(zip(*(t.kept() for t in trees), strict=True)) or [[], []]
+                cols = [batch.column("doc_id"), pa.array(texts, pa.string()), pa.array([t.total for t in trees], pa.int64()), *(pa.array(list(k), _INTS) for k in kept)]
+                yield pa.RecordBatch.from_arrays([*cols, *(batch.column(c) for c in extra)], ["doc_id", "text", "n_tokens", "leaf_chars", "leaf_tokens", *extra])
+
+    return run
+
 
-        def count(x: str) -> int:
-            return len(code.encode_ordinary(x))
+def grow_trees(docs: DataFrame, path: str = BYTE_TOKENIZER, size: int = LEAF) -> DataFrame:
+    """doc_id, text, n_tokens, leaf_chars, leaf_tokens: the trees of whole texts, a row for each row of docs; no shuffle.
 
+    A null text counts as empty, and an empty one has no leaves. A column `edits` goes
+    along, other columns are ignored; an empty table gives no rows.
+    """
+    extra = [c for c in docs.columns if c == "edits"]
+    schema = StructType([*StructType.fromDDL(_TREES).fields, *(docs.schema[c] for c in extra)])
+    return docs.select("doc_id", "text", *extra).mapInArrow(_grower(path, size, extra), schema)
+
+
+def _editor(path: str, propose: Callable[[str], list[Edit]] | None, size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = _counter(path)
         for whole in batches:
             for batch in common.slices(whole):
                 rows = []
                 given = batch.column("edits").to_pylist() if propose is None else [None] * batch.num_rows
-                for doc, text, own in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), given, strict=True):
-                    text = text or ""
+                for doc, text, chars, tokens, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "leaf_chars", "leaf_tokens")), given, strict=True):
                     edits = propose(text) if propose else [(e["start"], e["end"], e["text"] or "") for e in own or [] if e and e["start"] is not None and e["end"] is not None]
-                    before, tree = apply(text, edits, count, size)
-                    after = tree.text
-                    rows.append((doc, before, len(edits), tree.total, len(after), tree.encoded, hashlib.sha256(after.encode()).hexdigest()))
-                names = [f.split()[0] for f in _COUNTS.split(", ")]
+                    tree = TokenTree.restore(text, chars, tokens, count, size)
+                    before = tree.total
+                    for start, end, new in sorted(edits, reverse=True):
+                        tree.edit(start, end, new)
+                    rows.append((doc, tree.text, tree.total, *tree.kept(), before, len(edits), tree.encoded))
+                names = [f.split()[0] for f in _EDITED.split(", ")]
+                kinds = [pa.int64(), pa.string(), pa.int64(), _INTS, _INTS, pa.int64(), pa.int64(), pa.int64()]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string() if n == "edited_sha256" else pa.int64()) for c, n in zip(cols, names, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names)
 
     return run
 
 
-def recount(docs: DataFrame, propose: Callable[[str], list[Edit]] | None = None, path: str = BYTE_TOKENIZER, size: int = LEAF) -> DataFrame:
-    """Token counts before and after edits, a row for each row of docs; no shuffle.
+def edit_trees(trees: DataFrame, propose: Callable[[str], list[Edit]] | None = None, path: str = BYTE_TOKENIZER, size: int = LEAF) -> DataFrame:
+    """Trees after edits, with the columns of grow_trees and n_tokens_before, n_edits, chars_encoded_again; no shuffle.
 
     Edits are proposed by a function of the text or, without one, come from a column
     `edits` of structs (start, end, text), in code points of the text, not
     overlapping. Positions past the text's end are clipped to it; edits with a null
-    position are left out. A null text counts as empty; other columns are ignored.
+    position are left out. Only leaves that an edit touches, and their neighbours, are
+    encoded, so the result can be edited again at the cost of the new edits.
+    """
+    columns = ["doc_id", "text", "leaf_chars", "leaf_tokens"]
+    return trees.select(*columns, *([] if propose else ["edits"])).mapInArrow(_editor(path, propose, size), _EDITED)
+
+
+def recount(docs: DataFrame, propose: Callable[[str], list[Edit]] | None = None, path: str = BYTE_TOKENIZER, size: int = LEAF) -> DataFrame:
+    """doc_id, n_tokens, n_edits, n_tokens_after, n_chars_after, chars_encoded_again, edited_sha256, a row for each row of docs.
+
+    Trees are grown and written to the shared folder, and the edits follow them (see
+    edit_trees). A null text counts as empty; rows that share a doc_id are each
+    counted; other columns are ignored.
     """
-    columns = ["doc_id", "text"] if propose else ["doc_id", "text", "edits"]
-    return docs.select(*columns).mapInArrow(_counter(path, propose, size), _COUNTS)
+    trees = common.save(grow_trees(docs.select("doc_id", "text", *([] if propose else ["edits"])), path, size), "trees")
+    after = edit_trees(trees, propose, path, size)
+    return after.select(
+        "doc_id", F.col("n_tokens_before").alias("n_tokens"), "n_edits", F.col("n_tokens").alias("n_tokens_after"), F.char_length("text").cast("long").alias("n_chars_after"), "chars_encoded_again", F.sha2(F.encode("text", "UTF-8"), 256).alias("edited_sha256")
+    )
