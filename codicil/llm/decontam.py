@@ -101,8 +101,8 @@ def _among(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return some[ok], place[ok]
 
 
-def _scan(batch: pa.RecordBatch):
-    data, offsets = common.text_bytes(batch.column("text"))
+def _scan(batch: pa.RecordBatch, text: str = "text"):
+    data, offsets = common.text_bytes(batch.column(text))
     starts, ends, bounds = textscan.words(data, offsets, textscan.NOT_ALNUM)
     return data, starts, ends, bounds, textscan.word_hashes(data, starts, ends, True)
 
@@ -124,16 +124,15 @@ def _counter(shingles: dict[int, np.ndarray]):
     return count
 
 
-_HITS = "row long, text string, n_words long, spans array<long>, items array<string>"
+def _matcher(shared, text: str, spans: str, items: str, n_words: str):
+    """Adds a block's hits to the columns `spans` and `items` of the rows; the other columns pass through."""
 
-
-def _matcher(shared):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe: Probe = shared.value
         for whole in batches:
-            for batch in common.slices(whole):
-                data, starts, ends, bounds, hashes = _scan(batch)
-                spans, items = batch.column("spans").to_pylist(), [set(x) for x in batch.column("items").to_pylist()]
+            for batch in common.slices(whole, text):
+                data, starts, ends, bounds, hashes = _scan(batch, text)
+                found_spans, found_items = batch.column(spans).to_pylist(), [set(x) for x in batch.column(items).to_pylist()]
                 for k, keys in probe.keys.items():
                     at = textscan.run_starts(bounds, k)
                     if not len(at):
@@ -150,12 +149,10 @@ def _matcher(shared):
                                 continue
                             found = b" ".join(textscan.LOWER[data[starts[j] : ends[j]]].tobytes() for j in range(s, e))
                             if found == probe.texts[w]:
-                                spans[row] += [s - int(bounds[row]), e - int(bounds[row])]
-                                items[row].update(probe.owners[w])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("row"), batch.column("text"), pa.array(np.diff(bounds)), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                    ["row", "text", "n_words", "spans", "items"],
-                )
+                                found_spans[row] += [s - int(bounds[row]), e - int(bounds[row])]
+                                found_items[row].update(probe.owners[w])
+                made = {n_words: pa.array(np.diff(bounds)), spans: pa.array(found_spans, pa.list_(pa.int64())), items: pa.array([sorted(x) for x in found_items], pa.list_(pa.string()))}
+                yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(n) for n in batch.schema.names], batch.schema.names)
 
     return match
 
@@ -180,7 +177,7 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((union, sum(union[1::2]) - sum(union[::2]), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), names))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
         kinds = [pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string())]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n_words"), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_words", "hit_spans", "n_hit", "n_items", "items_sha256", "items"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_words", "hit_spans", "n_hit", "n_items", "items_sha256", "items"])
 
 
 def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[object, bytes]]]:
@@ -196,6 +193,20 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[object, byt
     yield block
 
 
+def _matched(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, block_bytes: int, names: tuple[str, str, str]) -> DataFrame:
+    """docs and its hits, in columns of the names given: words, spans, items."""
+    n_words, spans, items = names
+    hits = docs.select("*", F.lit(0).cast("long").alias(n_words), F.expr(f"cast(array() AS array<bigint>) AS `{spans}`"), F.expr(f"cast(array() AS array<string>) AS `{items}`"))
+    schema = hits.schema
+    for block in _blocks(benchmark, block_bytes):
+        windows = Windows(block, window, shingle)
+        counts = docs.select("text").mapInArrow(_counter(windows.all_shingles()), "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
+        rarity = {(r["k"], r["h"] % (1 << 64)): r["n"] for r in counts.toLocalIterator()}
+        probe = docs.sparkSession.sparkContext.broadcast(_probe(windows, rarity))
+        hits = hits.mapInArrow(_matcher(probe, "text", spans, items, n_words), schema)
+    return hits
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, hit_spans, n_hit, n_items, items_sha256, items, contaminated.
 
@@ -208,21 +219,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     A block of the benchmark at a time is held and broadcast; each adds its hits to
     the rows as they pass, without a shuffle.
     """
-    spark = docs.sparkSession
-    keyed = docs.select(F.col("doc_id").alias("row"), "text")
-    hits = keyed.selectExpr("row", "text", "0L AS n_words", "cast(array() AS array<bigint>) AS spans", "cast(array() AS array<string>) AS items")
-    for block in _blocks(benchmark, block_bytes):
-        windows = Windows(block, window, shingle)
-        counts = keyed.select("text").mapInArrow(_counter(windows.all_shingles()), "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
-        rarity = {(r["k"], r["h"] % (1 << 64)): r["n"] for r in counts.toLocalIterator()}
-        hits = hits.mapInArrow(_matcher(spark.sparkContext.broadcast(_probe(windows, rarity))), _HITS)
+    hits = _matched(docs.select("doc_id", "text"), benchmark, window, shingle, block_bytes, ("n_words", "spans", "items")).drop("text")
     out = hits.mapInArrow(_summary, "doc_id long, n_words long, hit_spans array<long>, n_hit long, n_items long, items_sha256 string, items array<string>")
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, without contaminated documents (by doc_id)."""
-    bad = contamination(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    if common.small(bad := common.save(bad, "contaminated"), 500_000):
-        bad = F.broadcast(bad)
-    return docs.join(bad, docs["doc_id"] == F.col("_bad"), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, all columns unchanged, in which no window occurs.
+
+    Each row is judged by its own text in the pass that reads it, whatever its doc_id,
+    null and shared ones too; null and empty texts stay. No join, no shuffle.
+    """
+    have, names = {c.lower() for c in docs.columns}, []
+    for name in ("n_words", "hit_spans", "hit_items"):
+        while name in have:
+            name = f"_{name}"
+        names.append(name)
+    hits = _matched(docs, benchmark, window, shingle, block_bytes, tuple(names))
+    return hits.where(F.size(names[1]) == 0).select(docs.columns)
