@@ -25,21 +25,30 @@ class MediaError(ValueError):
 
 
 _TOKEN = re.compile(rb"(?:\s|#[^\r\n]*[\r\n])*([^\s#]+)")
+#: Digits of the greatest number that a header or a sample may have.
+_DIGITS = 9
+
+
+def _number(token: bytes) -> int:
+    digits = token.lstrip(b"0")
+    if not token.isdigit() or len(digits) > _DIGITS:
+        raise MediaError("bad Netpbm number")
+    return int(digits or b"0")
 
 
 def _header(data: bytes, at: int, count: int) -> tuple[list[int], int]:
     values = []
     for _ in range(count):
         m = _TOKEN.match(data, at)
-        if not m or not m[1].isdigit():
+        if not m:
             raise MediaError("bad Netpbm header")
-        values.append(int(m[1]))
+        values.append(_number(m[1]))
         at = m.end()
     return values, at
 
 
-def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 as uint8 (uint16 where the maximum is over 255): height x width, or x 3."""
+def _netpbm(data: bytes) -> tuple[np.ndarray, int]:
+    """Samples as they are stored, and the greatest one that the header allows (255 for bitmaps)."""
     kind = data[:2]
     if kind not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
         raise MediaError("not Netpbm")
@@ -52,21 +61,31 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     count = width * height * channels
     if kind in (b"P1", b"P2", b"P3"):
         body = re.sub(rb"#[^\r\n]*", b"", data[at:])
-        values = np.array(re.findall(rb"[01]", body) if bitmap else body.split(), np.int64)
+        tokens = re.findall(rb"[01]", body) if bitmap else body.split()
+        values = np.array([_number(t) for t in tokens[:count]], np.int64)
     elif kind == b"P4":
-        rows = np.frombuffer(data, np.uint8, offset=at + 1)
-        if len(rows) < height * (-(-width // 8)):
+        stride = -(-width // 8)
+        raster = data[at + 1 : at + 1 + height * stride]
+        if len(raster) < height * stride:
             raise MediaError("short Netpbm raster")
-        rows = rows[: height * (-(-width // 8))].reshape(height, -(-width // 8))
-        values = np.unpackbits(rows, axis=1)[:, :width].ravel() if width else rows.ravel()
+        values = np.unpackbits(np.frombuffer(raster, np.uint8).reshape(height, stride), axis=1)[:, :width].ravel()
     else:
         step = 2 if top > 255 else 1
-        body = data[at + 1 :]
+        body = data[at + 1 : at + 1 + count * step]
         values = np.frombuffer(body[: len(body) // step * step], ">u2" if step == 2 else np.uint8)
     if len(values) < count:
         raise MediaError("short Netpbm raster")
-    values = values[:count].reshape(shape)
-    return np.where(values, 0, 255).astype(np.uint8) if bitmap else values.astype(np.uint16 if top > 255 else np.uint8)
+    if count and values.max() > top:
+        raise MediaError("a Netpbm sample is over the maximum")
+    values = values.reshape(shape)
+    if bitmap:
+        return np.where(values, 0, 255).astype(np.uint8), 255
+    return values.astype(np.uint16 if top > 255 else np.uint8), top
+
+
+def decode_netpbm(data: bytes) -> np.ndarray:
+    """P1 to P6 as uint8 (uint16 where the maximum is over 255): height x width, or x 3."""
+    return _netpbm(data)[0]
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
@@ -76,7 +95,7 @@ def decode_bmp(data: bytes) -> np.ndarray:
     (start,) = struct.unpack_from("<I", data, 10)
     head, width, height, _, depth, packing = struct.unpack_from("<IiiHHI", data, 14)
     upward, height = height > 0, abs(height)
-    if packing or depth not in (1, 4, 8, 24, 32) or width <= 0:
+    if packing or depth not in (1, 4, 8, 24, 32) or width <= 0 or height == 0:
         raise MediaError("BMP form not supported")
     stride = -(-width * depth // 32) * 4
     if len(data) < start + stride * height:
@@ -87,15 +106,22 @@ def decode_bmp(data: bytes) -> np.ndarray:
         return np.ascontiguousarray(rows[:, : width * depth // 8].reshape(height, width, depth // 8)[:, :, 2::-1])
     colours = struct.unpack_from("<I", data, 46)[0] or 1 << depth
     palette = np.zeros((1 << depth, 4), np.uint8)
-    given = np.frombuffer(data, np.uint8, 4 * min(colours, 1 << depth), 14 + head).reshape(-1, 4)
+    given = data[14 + head : 14 + head + 4 * min(colours, 1 << depth)]
+    if len(given) < 4 * min(colours, 1 << depth):
+        raise MediaError("short BMP palette")
+    given = np.frombuffer(given, np.uint8).reshape(-1, 4)
     palette[: len(given)] = given
     bits = np.unpackbits(rows, axis=1).reshape(height, -1, depth)
     index = (bits << np.arange(depth - 1, -1, -1, dtype=np.uint8)).sum(2, dtype=np.int64)[:, :width]
     return np.ascontiguousarray(palette[index][:, :, 2::-1])
 
 
+def _image(data: bytes) -> tuple[np.ndarray, int]:
+    return (decode_bmp(data), 255) if data[:2] == b"BM" else _netpbm(data)
+
+
 def decode_image(data: bytes) -> np.ndarray:
-    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    return _image(data)[0]
 
 
 def encode_ppm(pixels: np.ndarray) -> bytes:
@@ -111,27 +137,49 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
     return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + rows.size, 0, 0, 54, 40, width, height, 1, 24, 0, rows.size, 2835, 2835, 0, 0) + rows.tobytes()
 
 
+#: Samples of the rows of which an integral image is held at once.
+_STRIP = 1 << 18
+
+
+def _integral_rows(grey: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows `at` (ascending) of the integral image, which is made in strips, each upon the last row of the one before."""
+    height, width, channels = grey.shape
+    out, carry = np.zeros((len(at), width + 1, channels)), np.zeros((width + 1, channels))
+    step = max(1, _STRIP // (width * channels))
+    for start in range(0, height, step):
+        strip = np.zeros((min(step, height - start) + 1, width + 1, channels))
+        strip[1:, 1:] = np.cumsum(np.cumsum(grey[start : start + step], 0, dtype=np.float64), 1)
+        strip += carry
+        own = np.flatnonzero((at >= start) & (at < start + len(strip)))
+        out[own] = strip[at[own] - start]
+        carry = strip[-1]
+    return out
+
+
 def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target pixel's area, from an integral image read between its grid points."""
+    """Mean over each target pixel's area: four corners of the integral image, which within a pixel is bilinear."""
     grey = pixels.reshape(pixels.shape[0], pixels.shape[1], -1)
     if not grey.size:
         return np.zeros((height, width, grey.shape[2]))
 
-    def along(x: np.ndarray, target: int) -> np.ndarray:
-        n = x.shape[0]
-        sums = np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, 0, dtype=np.float64)])
+    def grid(target: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         edge = np.arange(target + 1) * n / target
         low = np.minimum(edge.astype(np.int64), n - 1)
-        part = (edge - low).reshape(-1, *[1] * (x.ndim - 1))
-        at = sums[low] * (1 - part) + sums[low + 1] * part
-        return np.diff(at, axis=0) * (target / n)
+        return low, edge - low
 
-    return np.swapaxes(along(np.swapaxes(along(grey, height), 0, 1), width), 0, 1)
+    (row, down), (column, right) = grid(height, grey.shape[0]), grid(width, grey.shape[1])
+    wanted = np.unique(np.concatenate([row, row + 1]))
+    sums = _integral_rows(grey, wanted)
+    upper, lower = (sums[np.searchsorted(wanted, r)] for r in (row, row + 1))
+    lines = upper + (lower - upper) * down[:, None, None]
+    corners = lines[:, column] + (lines[:, column + 1] - lines[:, column]) * right[None, :, None]
+    area = corners[1:, 1:] - corners[:-1, 1:] - corners[1:, :-1] + corners[:-1, :-1]
+    return area * (height / grey.shape[0]) * (width / grey.shape[1])
 
 
-def thumbnail(pixels: np.ndarray) -> np.ndarray:
-    """Grey 8 x 9 tile."""
-    return np.rint(area_resize(pixels, *TILE).mean(2)).clip(0, 255).astype(np.uint8)
+def thumbnail(pixels: np.ndarray, top: int = 255) -> np.ndarray:
+    """Grey 8 x 9 tile of samples up to `top`."""
+    return np.rint(area_resize(pixels, *TILE).mean(2) * (255 / top)).clip(0, 255).astype(np.uint8)
 
 
 def difference_hash(tile: np.ndarray) -> str:
@@ -163,8 +211,9 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             media, tiles, sizes = [], [], []
             for value in batch.column("text").cast(pa.large_binary()):
                 text = value.as_py() or b""
-                source = encode_ppm(np.frombuffer(payload(text), np.uint8).reshape(-1, ROW_BYTES // 3, 3))
-                pixels = decode_image(source)
+                source = np.frombuffer(payload(text), np.uint8).reshape(-1, ROW_BYTES // 3, 3)
+                # By the text's length, so that both readers are used and equal texts are treated alike.
+                pixels = decode_image(encode_bmp(source) if len(source) % 2 else encode_ppm(source))
                 sizes.append(len(text))
                 media.append(to_npy(pixels))
                 tiles.append(to_npy(thumbnail(pixels)))
@@ -209,9 +258,10 @@ def _convert(tile: tuple[int, int]):
             for key, value in zip(batch.column("media_id"), batch.column("content"), strict=True):
                 data = value.as_py()
                 try:
-                    pixels = decode_image(data or b"")
-                    small = np.rint(area_resize(pixels, *tile)).astype(pixels.dtype)
-                    rows.append((key.as_py(), *pixels.shape[:2], to_npy(small.reshape(*tile, *pixels.shape[2:])), difference_hash(thumbnail(pixels)), None))
+                    pixels, top = _image(data or b"")
+                    full = np.iinfo(pixels.dtype).max
+                    small = np.rint(area_resize(pixels, *tile) * (full / top)).clip(0, full).astype(pixels.dtype)
+                    rows.append((key.as_py(), *pixels.shape[:2], to_npy(small.reshape(*tile, *pixels.shape[2:])), difference_hash(thumbnail(pixels, top)), None))
                 except MediaError as e:
                     rows.append((key.as_py(), None, None, None, None, str(e)))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string()]
@@ -224,6 +274,8 @@ def _convert(tile: tuple[int, int]):
 def tiles(media: DataFrame, height: int = 32, width: int = 32) -> DataFrame:
     """Images in a binary column (media_id long, content binary) to NPY tiles of one size with difference hashes.
 
-    Null or unreadable content gives a row with `error` set and nulls elsewhere.
+    Samples are scaled from the image's maximum to that of the tile's type. Null or
+    unreadable content gives a row with `error` set and nulls elsewhere; an image
+    without pixels a black tile. Repeated rows are kept, other columns ignored.
     """
     return media.select("media_id", "content").mapInArrow(_convert((height, width)), "media_id long, height long, width long, tile binary, dhash string, error string")
