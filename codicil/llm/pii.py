@@ -1,6 +1,7 @@
 """Personal data: patterns, and terms that by corpus statistics give the found entities away.
 
-Patterns find the protected entities. The words of a document that holds an entity
+Patterns find the protected entities, and the information that a token's characters
+carry finds secrets. The words of a document that holds an entity
 are candidate terms. Over the corpus, counted in whole documents, a term's pointwise mutual information with the entity,
 divided by the entity's information content, says what share of the entity the
 term discloses: PMI(t; e) / IC(e) = log(N n_te / n_t n_e) / log(N / n_e). Terms at
@@ -10,7 +11,9 @@ class (a number, an upper-case name) and removing the rest.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +23,11 @@ from pyspark.sql import functions as F
 
 from . import common, textscan
 
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "term", "secret")
+TERM, SECRET = 4, 5
 DISCLOSURE = 0.9
+#: Bits of information for each character from which a long token of letters and digits is a secret.
+SECRET_BITS = 3.0
 #: Documents in which a term must stand with the entity for its estimate to count.
 SUPPORT = 2
 _BITS = 22
@@ -32,6 +38,7 @@ _DIGIT = re.compile(r"[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}")
 _WORD = re.compile(r"[^ \t-\r]+")
 #: ASCII but letters, digits and the underscore, at either end of a word.
 _EDGES = re.compile(r"^[\x00-/:-@\[-^`{-\x7f]+|[\x00-/:-@\[-^`{-\x7f]+$")
@@ -64,7 +71,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(s, 0, e) for s, e in _emails(text)] if "@" in text else []
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             digits = re.sub("[ -]", "", m[0])
@@ -77,6 +84,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def secrets(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Long tokens of letters and digits, such as keys, whose characters carry much information each, outside the base spans (start, kind, end)."""
+    out, i, reach = [], 0, 0
+    for m in _SECRET.finditer(text):
+        token = m[0]
+        if not (_DIGIT.search(token) and any(c.isalpha() for c in token)):
+            continue
+        counts = Counter(token).values()
+        if sum(n * math.log2(len(token) / n) for n in counts) < SECRET_BITS * len(token):
+            continue
+        while i < len(base) and base[i][0] < m.end():
+            reach = max(reach, base[i][2])
+            i += 1
+        if reach <= m.start():
+            out.append((m.start(), SECRET, m.end()))
+    return out
+
+
 def _term(word: str) -> str:
     return _EDGES.sub("", word.lower())
 
@@ -107,7 +132,7 @@ def term_hash(terms: list[str]) -> np.ndarray:
     return textscan.word_hashes(buf, ends - lengths, ends, False) if terms else np.empty(0, np.uint64)
 
 
-_FOUND = "doc_id long, row string, n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:long,kind:int,end:long>>, entities array<string>, terms array<struct<h:long,term:string>>"
+_FOUND = "doc_id long, row string, n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:long,kind:int,end:long>>, secrets array<struct<start:long,kind:int,end:long>>, entities array<string>, terms array<struct<h:long,term:string>>"
 
 
 def _row() -> Column:
@@ -120,17 +145,18 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = pa.list_(pa.struct([("h", pa.int64()), ("term", pa.string())]))
     for whole in batches:
         for batch in common.slices(whole):
-            counts, base, entities, terms = [], [], [], []
+            counts, base, hidden, entities, terms = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 spans = base_spans(text) if text else []
                 own = sorted({t for t, _, _ in _outside(text, spans)}) if spans else []
                 hashes = textscan.signed(term_hash(own)).tolist() if own else []
                 counts.append([sum(k == i for _, k, _ in spans) for i in range(4)])
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
+                hidden.append([{"start": s, "kind": k, "end": e} for s, k, e in secrets(text, spans)] if text else [])
                 entities.append(sorted({f"{KINDS[k]}:{text[s:e].lower()}" for s, k, e in spans}))
                 terms.append([{"h": h, "term": t} for h, t in zip(hashes, own, strict=True)])
             n = np.array(counts, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *(pa.array(n[:, i]) for i in range(4)), pa.array(base, span), pa.array(entities, pa.list_(pa.string())), pa.array(terms, words)], ["doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", "base", "entities", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *(pa.array(n[:, i]) for i in range(4)), pa.array(base, span), pa.array(hidden, span), pa.array(entities, pa.list_(pa.string())), pa.array(terms, words)], ["doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", "base", "secrets", "entities", "terms"])
 
 
 def _marker(bitmap, bits: int):
@@ -256,7 +282,7 @@ def _joined(spans: str) -> str:
 
 
 def detect(docs: DataFrame, threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """Per row of docs: doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, base, spans, span_list.
+    """Per row of docs: doc_id, n_email, n_ip, n_card, n_phone, n_secret, n_term, n_private (all but terms), base_sha256, base, spans, span_list.
 
     Spans are kind:start:end in code points. Null texts have none. Rows that are the
     same in doc_id and text have the same spans; an empty table gives no rows. A
@@ -273,12 +299,13 @@ def _detect(docs: DataFrame, threshold: float = DISCLOSURE, support: int = SUPPO
     bitmap, bits = _bitmap(told.select("h"))
     places = docs.select("row", "text").mapInArrow(_marker(docs.sparkSession.sparkContext.broadcast(bitmap), bits), "row string, term string, start long, end long")
     places = common.join_small(places, told.select("term"), "term", "inner")
-    terms = common.save(places.groupBy("row").agg(F.collect_set(F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end")).alias("terms")), "pii-places")
+    terms = common.save(places.groupBy("row").agg(F.collect_set(F.struct("start", F.lit(TERM).alias("kind"), "end")).alias("terms")), "pii-places")
     none = F.expr("cast(array() AS array<struct<start:bigint,kind:int,end:bigint>>)")
     rows = common.join_small(found.drop("entities", "terms", "uid"), terms, "row", "left", 50_000).withColumn("terms", F.coalesce("terms", none))
-    rows = rows.withColumn("span_list", F.array_sort(F.concat("base", "terms"))).withColumn("n_term", F.size("terms").cast("long"))
+    rows = rows.withColumn("span_list", F.array_sort(F.concat("base", "secrets", "terms"))).withColumn("n_term", F.size("terms").cast("long")).withColumn("n_secret", F.size("secrets").cast("long"))
     joined = F.expr(_joined("base"))
-    return rows.select("row", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_term", F.sha2(joined, 256).alias("base_sha256"), joined.alias("base"), F.expr(_joined("span_list")).alias("spans"), "span_list")
+    private = F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone") + F.col("n_secret")
+    return rows.select("row", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_secret", "n_term", private.alias("n_private"), F.sha2(joined, 256).alias("base_sha256"), joined.alias("base"), F.expr(_joined("span_list")).alias("spans"), "span_list")
 
 
 def _rewrite(text: str, spans: list[dict]) -> str:
@@ -298,13 +325,16 @@ def _rewrite(text: str, spans: list[dict]) -> str:
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """docs with `text` sanitised, its other columns unchanged; each row by the spans of its own doc_id and text, null and shared ids too."""
-    spans = _detect(docs, **options).where("size(span_list) > 0").select(F.col("row").alias("_row"), F.col("span_list").alias("_spans")).dropDuplicates(["_row"])
-    joined = docs.withColumn("_key", _row()).join(spans, F.col("_key") == F.col("_row"), "left").drop("_key", "_row")
+    # Names longer than any of docs, so that they are no column's.
+    tag = max(map(len, docs.columns)) * "_" + "_"
+    key, row, held = (tag + x for x in ("key", "row", "spans"))
+    spans = _detect(docs, **options).where("size(span_list) > 0").select(F.col("row").alias(row), F.col("span_list").alias(held)).dropDuplicates([row])
+    joined = docs.withColumn(key, _row()).join(spans, F.col(key) == F.col(row), "left").drop(key, row)
     schema = docs.schema
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [_rewrite(t, s) if t and s else t for t, s in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
+            texts = [_rewrite(t, s) if t and s else t for t, s in zip(batch.column("text").to_pylist(), batch.column(held).to_pylist(), strict=True)]
             cols = [pa.array(texts, pa.string()) if f.name == "text" else batch.column(f.name) for f in schema]
             yield pa.RecordBatch.from_arrays(cols, [f.name for f in schema])
 
