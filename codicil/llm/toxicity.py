@@ -1,11 +1,11 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A lexicon transducer (a trie of words and word beginnings) turns a clause's words
-into symbols: insult, threat, target, negation, report. Three small transducers
-read the symbols: one marks insults within the reach of a negation, one those
-after a verb of reporting, one those that a target stands by. Their composition
-is built once; running it over a clause gives the clause's events, and weights
-learned from labels turn a document's events into a score.
+A lexicon transducer (words and word beginnings) turns a sentence into symbols:
+insult, threat, target, negation, report, clause end, quotation mark. Three small
+transducers read the symbols: one marks insults within the reach of a negation, one
+those in reported speech, with its verb before it or after, one those that a target
+stands by. The four are composed; running them over a sentence gives its events, and
+weights learned from labels turn a document's events into a score.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ from . import common
 
 #: Labelled rows that a fit reads at most, taken by a hash of their ids.
 FIT_ROWS = 8_000
-#: Lexicon entries kept at most, those seen in most toxic documents first.
-LEXICON = 2_000
 THRESHOLD = 0.7
 #: Probability that any entry of the lexicon is there by chance.
 CHANCE = 0.1
@@ -38,15 +36,20 @@ NEGATIONS = frozenset("not no never isn't aren't don't nobody neither nor nicht
 REPORTS = frozenset("said says say called calls quoted wrote claims claimed reported reportedly sagte sagt nannte schrieb behauptet dit disait appelé écrit affirme dijo dice llamó escribió afirma".split())
 THREATS = frozenset("kill murder hurt destroy beat shoot stab strangle töten umbringen ermorden verletzen tuer assassiner frapper détruire matar asesinar golpear destruir".split())
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "ITPNRo"
+INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, CLAUSE, QUOTE = SYMBOLS = "ITPNRo,q"
 EVENTS = ("insult", "insult_negated", "insult_reported", "insult_targeted", "threat", "threat_targeted", "threat_negated", "threat_reported")
 #: Weights before any label is seen; the fit is drawn to them.
 PRIOR = (2.0, 0.5, 1.0, 2.5, 0.5, 1.5, 0.1, 0.3)
 _NEGATION_REACH = 3
 _TARGET_REACH = 4
 
+#: Words that may stand between a quotation or clause and the verb after it that reports it.
+_REPORT_REACH = 3
+
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_CLAUSE = re.compile(r"[.!?;:,\n]")
+_MARK = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[,;:\"“”„«»]")
+#: A sentence ends at these, and at a quotation mark right after one only by what follows it.
+_SENTENCE = re.compile(r"[.!?\n]")
 
 
 @dataclass(frozen=True)
@@ -79,48 +82,102 @@ class Transducer:
 
 
 def _negation() -> Transducer:
+    """Reaches a few words on, within the clause."""
     arcs = {}
     for left in range(_NEGATION_REACH + 1):
-        for s in "ITPNRo":
-            arcs[left, s] = (_NEGATION_REACH if s == NEGATION else max(0, left - 1), ("negated",) if left and s in "IT" else ())
+        for s in SYMBOLS:
+            after = _NEGATION_REACH if s == NEGATION else 0 if s == CLAUSE else max(0, left - (s != QUOTE))
+            arcs[left, s] = (after, ("negated",) if left and s in "IT" else ())
     return Transducer(0, arcs)
 
 
 def _report() -> Transducer:
-    return Transducer(False, {(on, s): (on or s == REPORT, ("reported",) if on and s in "IT" else ()) for on in (False, True) for s in "ITPNRo"})
+    """Reported speech: the rest of a clause after the verb, a quotation or clause that the verb introduces, and those that it follows.
+
+    States: (quoted, reported, reach). `reach` is what is left of the words in which a
+    verb after a quotation or clause reports it, or, right after a verb, -1. A mark
+    "kept" ends what a verb may still report, "late" reports it.
+    """
+    start, arcs = (False, False, 0), {}
+    todo, seen = [start], {start}
+    while todo:
+        at = todo.pop()
+        quoted, reported, reach = at
+        for s in SYMBOLS:
+            marks: tuple[str, ...] = ()
+            if s == QUOTE:
+                # Opening takes the verb's report with it; closing leaves room for a verb.
+                after = (not quoted, reported and not quoted, 0 if not quoted or reported else _REPORT_REACH)
+                marks = () if quoted else ("kept",)
+            elif s == CLAUSE and quoted:
+                after = at
+            elif s == CLAUSE:
+                # Right after the verb what it reports begins; else a verb may come.
+                after = (False, reach == -1, 0 if reach == -1 else _REPORT_REACH)
+            elif s == REPORT and not quoted:
+                marks = ("late",) if reach > 0 else ()
+                after = (False, True, -1)
+            elif s in "IT" and not quoted and reach > 0:
+                marks, after = ("kept",), (False, reported, 0)
+            else:
+                after = (quoted, reported, reach if quoted else max(0, reach - 1))
+            if s in "IT" and reported:
+                marks += ("reported",)
+            arcs[at, s] = (after, marks)
+            if after not in seen:
+                seen.add(after)
+                todo.append(after)
+    return Transducer(start, arcs)
 
 
 def _target() -> Transducer:
-    """Keeps how far back the last target and the last untargeted insult or threat are."""
-    arcs = {}
+    """Keeps how far back the last target and the last untargeted insult or threat are, within the clause."""
+    start, arcs = (0, "", 0), {}
     for near in range(_TARGET_REACH + 1):
         for wait in ("", "I", "T"):
             for age in range(_TARGET_REACH + 1) if wait else (0,):
-                for s in "ITPNRo":
+                for s in SYMBOLS:
                     marks, n, w, a = (), max(0, near - 1), wait, age - 1 if wait else 0
                     if s == TARGET:
                         marks, n, w, a = ((f"late:{wait}",) if wait else ()), _TARGET_REACH, "", 0
                     elif s in "IT":
                         marks, w, a = (("targeted",), "", 0) if near else ((), s, _TARGET_REACH)
+                    elif s == CLAUSE:
+                        n, w, a = start
+                    elif s == QUOTE:
+                        n, w, a = near, wait, age
                     elif wait and a < 0:
                         w, a = "", 0
                     arcs[(near, wait, age), s] = ((n, w, a), marks)
-    return Transducer((0, "", 0), arcs)
+    return Transducer(start, arcs)
 
 
 GRAMMAR = _negation().compose(_report()).compose(_target())
 
 
 def clause_events(symbols: str) -> Counter:
-    """What the grammar finds in a clause given as symbols."""
+    """What the grammar finds in a sentence given as symbols."""
     out: Counter = Counter()
+    waiting: list[str] = []  # of the insults and threats that a verb may still report
     for s, marks in GRAMMAR.run(symbols):
         for m in marks:
+            if m == "late":
+                for name in waiting:
+                    out[name] -= 1
+                    out[f"{name}_reported"] += 1
+            if m in ("late", "kept"):
+                waiting = []
             if m.startswith("late:"):
                 out["insult_targeted" if m[5:] == INSULT else "threat_targeted"] += 1
         if s in "IT":
             name = "insult" if s == INSULT else "threat"
-            out[f"{name}_negated" if "negated" in marks else f"{name}_reported" if "reported" in marks else name] += 1
+            if "negated" in marks:
+                out[f"{name}_negated"] += 1
+            elif "reported" in marks:
+                out[f"{name}_reported"] += 1
+            else:
+                out[name] += 1
+                waiting.append(name)
             if "targeted" in marks:
                 out[f"{name}_targeted"] += 1
     return out
@@ -146,13 +203,25 @@ class Model:
                 return kind, 0.0
         return OTHER, 0.0
 
+    def read(self, sentence: str) -> tuple[str, float]:
+        """The lexicon transducer: a sentence's symbols, and the greatest weight met."""
+        out, most = [], 0.0
+        for mark in _MARK.findall(sentence):
+            if not mark[0].isalpha():
+                out.append(CLAUSE if mark in ",;:" else QUOTE)
+                continue
+            symbol, weight = self.symbol(mark)
+            out.append(symbol)
+            most = max(most, weight)
+        return "".join(out), most
+
     def score(self, events: np.ndarray) -> float:
         x = self.bias + float(np.dot(self.weights, events[:-1])) + self.strength * events[-1]
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
 
 
 class Reader:
-    """Finds the clauses of a text that hold an insult or threat and reads them."""
+    """Finds the sentences of a text that hold an insult or threat and reads them."""
 
     def __init__(self, model: Model):
         import ahocorasick
@@ -173,19 +242,28 @@ class Reader:
         for end, size in self.find.iter(low):
             if end < done or (end >= size and low[end - size].isalpha()):
                 continue
-            start, stop = _clause_start(low, end), _CLAUSE.search(low, end)
-            done = stop.start() if stop else len(low)
-            marks = [self.model.symbol(w) for w in _WORD.findall(low, start, done)]
-            most = max([most, *(x for _, x in marks)])
-            total += clause_events("".join(s for s, _ in marks))
+            start = _sentence_start(low, max(0, done), end)
+            done = _sentence_end(low, end)
+            symbols, weight = self.model.read(low[start:done])
+            most = max(most, weight)
+            total += clause_events(symbols)
         for i, name in enumerate(EVENTS):
             out[i] = math.log1p(total[name])
         out[-1] = most
         return out
 
 
-def _clause_start(text: str, end: int) -> int:
-    return 1 + max(text.rfind(c, 0, end) for c in ".!?;:,\n")
+def _sentence_start(text: str, low: int, end: int) -> int:
+    return max(low, *(1 + text.rfind(c, low, end) for c in ".!?\n"))
+
+
+def _sentence_end(text: str, at: int) -> int:
+    """A point or mark before a closing quotation mark doesn't end the sentence if a small letter or comma follows."""
+    while stop := _SENTENCE.search(text, at):
+        at = stop.end()
+        if text[at : at + 1] not in ('"', "”", "»") or not (text[at + 1 : at + 2] == "," or text[at + 2 : at + 3].isalpha()):
+            return stop.start()
+    return len(text)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -198,7 +276,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in common.slices(whole)):
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             words = set(_WORD.findall((text or "").lower()))
-            for key in {f"w{w}" for w in words if len(w) <= 40} | {f"s{w[:n]}" for w in words for n in _STEMS if len(w) > n}:
+            for key in {f"w{w}" for w in words} | {f"s{w[:n]}" for w in words for n in _STEMS if len(w) > n}:
                 counts[key][0 if toxic == 1 else 1] += 1
     items = list(counts.items())
     for i in range(0, len(items), 50_000):
@@ -264,7 +342,7 @@ def _reading(shared):
     return read
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, lexicon: int = LEXICON) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Learn lexicon and weights from at most `rows` labelled documents that aren't held out.
 
     Rows with a null doc_id or label are left out; of labels that share a doc_id any
@@ -284,8 +362,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, lexicon: int =
     share, both = n[True] / (n[True] + n[False]), F.col("toxic") + F.col("other")
     odds = F.lit(0.0) + F.col("toxic") * math.log(1 / share) - F.col("other") * F.log(both.cast("double"))
     telling = keys.where((F.col("toxic") >= 9 * F.col("other")) & (odds >= math.log(keys.count() / CHANCE)))
-    top = telling.orderBy(F.desc("toxic"), "key").limit(lexicon).collect()
-    words, stems = _lexicon([(r["key"], r["toxic"], r["other"]) for r in top], n[True], n[False])
+    # In at least log(keys / CHANCE) / log(1 / share) of the sample's toxic documents each: bounded with the sample.
+    top = sorted((r["key"], r["toxic"], r["other"]) for r in telling.toLocalIterator())
+    words, stems = _lexicon(top, n[True], n[False])
     model = Model(words, stems)
     seen = sample.mapInArrow(_reading(spark.sparkContext.broadcast(model)), "toxic int, events array<double>").groupBy("toxic", "events").count().collect()
     x = np.array([r["events"] for r in seen for _ in range(r["count"])])
