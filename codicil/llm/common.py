@@ -22,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by all executors: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder shared by all executors: spark.checkpoint.dir, or in local mode one of our own where that is unset."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="codicil-"))
     return sc.getCheckpointDir().rstrip("/")
 

@@ -9,6 +9,10 @@ from codicil.llm import decontam, media_tiles, near_dedup, pii, queries, substri
 
 LONG = " ".join(f"word{i % 97}x{i % 13}" for i in range(3000))
 BASE = [f"Tok{i}" for i in range(120)]
+THUE = "a"
+while len(THUE) < 2048:
+    THUE += THUE.translate({97: 98, 98: 97})
+OTHER = THUE.translate({97: 98, 98: 97})
 AWKWARD = [
     (5, None),
     (1, ""),
@@ -28,6 +32,11 @@ AWKWARD = [
     (21, " ".join(BASE)),
     (21, " ".join(BASE)),
     (-3, " ".join(BASE[:55])),
+    (30, THUE),
+    (31, OTHER),
+    (32, " ".join([*BASE[60:85], THUE, *BASE[85:110]]).replace("Tok", "tok")),
+    (33, " ".join([*BASE[60:85], OTHER, *BASE[85:110]]).replace("Tok", "tok")),
+    (34, "0" * 5000 + "1.1.1.1 and " + "9" * 5000 + ".1.1.1"),
 ]
 ITEMS = [(1, "Tok1 tok2, tok3 tok4"), (2, " ".join(BASE[30:50])), (3, None), (4, ""), (5, "ONE, two... three"), (None, "no id at ALL but words"), (6, "café never here")]
 
@@ -65,7 +74,7 @@ def test_op1(spark, sf_dir, kind):
 @kinds
 def test_op2(spark, sf_dir, kind):
     docs, rows, _, _ = case(spark, sf_dir, kind)
-    got = media_tiles.media_features(media_tiles.store_text_media(docs)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32").collect()
+    got = media_tiles.media_features(media_tiles.store_text_media(docs)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature").collect()
     same(got, brute.op2(rows))
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codicil.llm import decontam, edit_counts, media_tiles, mixing, pii, tokens_wavelet, toxicity
+from codicil.llm import decontam, edit_counts, media_tiles, mixing, near_dedup, pii, substring, tokens_wavelet, toxicity
 
 
 def test_wavelet_access_rank_select():
@@ -31,10 +31,20 @@ def test_wavelet_access_rank_select():
 
 
 def test_word_cache_is_the_library():
-    cache = tokens_wavelet.WordCache(tokens_wavelet.WORD_TOKENIZER, limit=50, keep=10)
+    cache = tokens_wavelet.WordCache(tokens_wavelet.WORD_TOKENIZER, limit=20_000)
     texts = ["Hello, world!! don't we'll x's", "ÉCOLE Œuvre straße İx ﬁn é́a ñandú,", "a b c\x1cd 12 345abc <|endoftext|>", "日本語 テキスト mixed٣", "", " ".join(f"Wörd{i}x. plain{i}" for i in range(300))]
     for t in texts * 2:
         assert cache.encode(t.encode()).tolist() == cache.tokenizer.encode(t, add_special_tokens=False).ids
+        held = sum(len(k) + len(v) + cache.ENTRY for own in (cache.known, cache.letters) for k, v in own.items())
+        assert cache.held == held <= 20_000
+
+
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+
+    cache = tokens_wavelet.WordCache(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "Two  spaces and\nlines, which this one keeps"
+    assert not cache.by_words and cache.encode(text.encode()).tolist() == cache.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def _bmp(pixels, depth, palette=()):
@@ -62,7 +72,9 @@ def test_media_decoding():
         palette = [(i, 2 * i % 256, 3 * i % 256) for i in range(min(1 << depth, 200))]
         index %= len(palette)
         assert media_tiles.decode_bmp(_bmp(index, depth, palette)).tolist() == [[list(palette[i]) for i in row] for row in index]
-    for bad in (b"", b"P6 9 9 255\n", b"BM", b"P7", media_tiles.encode_bmp(rgb)[:60], b"P5 x"):
+    lost = bytearray(_bmp(np.zeros((2, 2), int), 8, [(1, 2, 3)]))
+    struct.pack_into("<I", lost, 14, 10**6)
+    for bad in (b"", b"P6 9 9 255\n", b"BM", b"P7", media_tiles.encode_bmp(rgb)[:60], b"P5 x", b"P4 1 1", b"P2 1 1 9 x", b"P3 1 1 9 1 2 -3", b"P2 1 1 9 99999999999999999999999", b"P2 1 1 9 10", b"P5 1 1 9\n\x0a", b"P5 " + b"1" * 5000 + b" 1 255\n", bytes(lost)):
         with pytest.raises(media_tiles.MediaError):
             media_tiles.decode_image(bad)
 
@@ -72,6 +84,14 @@ def test_area_resize_is_the_mean_over_areas():
     small = media_tiles.area_resize(x, 3, 3)
     assert np.allclose(small[:, :, 0], x[:, :, 0].reshape(3, 2, 3, 3).mean((1, 3)))
     assert np.allclose(media_tiles.area_resize(np.full((5, 7, 3), 9.0), 4, 11), 9)
+    for h, w, th, tw in ((1, 64, 8, 9), (7, 5, 3, 11), (9000, 64, 8, 9)):
+        x = np.random.default_rng(h).integers(0, 256, (h, w, 3)).astype(np.uint8)
+        fine = np.zeros((th, tw, 3))
+        for i in range(th):
+            for j in range(tw):
+                part = [np.clip(np.minimum(np.arange(1, n + 1), (k + 1) * n / t) - np.maximum(np.arange(n), k * n / t), 0, None) * t / n for k, n, t in ((i, h, th), (j, w, tw))]
+                fine[i, j] = np.einsum("i,j,ijc->c", *part, x.astype(float))
+        assert np.allclose(media_tiles.area_resize(x, th, tw), fine)
     assert media_tiles.difference_hash(np.tile(np.arange(9, dtype=np.uint8), (8, 1))) == "ff" * 8
 
 
@@ -81,6 +101,9 @@ def test_tiles_with_unreadable_media(spark):
     got = {r["media_id"]: r for r in media_tiles.tiles(rows, 4, 4).collect()}
     assert (media_tiles.from_npy(bytes(got[1]["tile"])) == 77).all() and got[1]["error"] is None
     assert got[2]["error"] and got[3]["error"] and got[2]["tile"] is None
+    scaled = spark.createDataFrame([(1, bytearray(b"P2 2 1 9 0 9")), (2, bytearray(b"P4 1 1")), (3, bytearray(b"P5 2 1 1000\n\x00\x00\x03\xe8"))], "media_id long, content binary")
+    got = {r["media_id"]: r for r in media_tiles.tiles(scaled, 1, 2).collect()}
+    assert media_tiles.from_npy(bytes(got[1]["tile"])).tolist() == [[0, 255]] and got[2]["error"] and media_tiles.from_npy(bytes(got[3]["tile"])).tolist() == [[0, 65535]]
 
 
 def test_edits_follow_whole_encoding():
@@ -112,13 +135,18 @@ def test_recount_with_given_edits(spark):
 
 def test_mixing_edges(spark):
     rows = [(i, "a" if i % 3 else None, 10, "t") for i in range(900)] + [(1000 + i, "b", 1, None) for i in range(30)] + [(None, "b", None, "n")]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, n_chars long, text string").withColumn("rate", F.lit(1)).withColumn("_n", F.lit("kept"))
-    docs = docs.drop("_n")
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n_chars long, text string")
+    for name in ("rate", "_n", "n", "_part", "part", "_source", "own_source", "n_copies", "copy", "key"):
+        docs = docs.withColumn(name, F.lit(f"kept {name}"))
     out = mixing.mix(docs, {"a": 1.0, "b": 2.0, "": 0.0})
     got = {r["source"]: r["size"] for r in out.groupBy("source").agg(F.sum("n_chars").alias("size")).collect()}
     total = 9030
     assert None not in got and abs(got["a"] - total / 3) < 600 and abs(got["b"] - total * 2 / 3) < 900
-    assert [c for c in out.columns if c in docs.columns] == docs.columns
+    assert out.columns == [*docs.columns, "mix_rate", "mix_copy", "mix_key"] and out.where("_n = 'kept _n' AND _part = 'kept _part' AND _source = 'kept _source'").count() == out.count() > 0
+    with pytest.raises(ValueError):
+        mixing.mix(out)
+    back = mixing.rearrange(out.drop("mix_rate", "mix_copy", "mix_key").repartition(5))
+    assert back.columns == docs.columns and [r["doc_id"] for r in back.collect()] == [r["doc_id"] for r in out.collect()]
     keys = [r["mix_key"] for r in out.collect()]
     assert keys == sorted(keys)
     assert mixing.mix(docs, {}).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
@@ -192,5 +220,121 @@ def test_toxicity_without_labels(spark):
 def test_clean_keeps_columns(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j k", 1), (None, "a b c d e f g h i j k", 2), (2, "other", 3)], "doc_id long, text string, _bad int")
     items = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
-    kept = decontam.clean(docs.withColumnRenamed("_bad", "extra"), items)
-    assert kept.columns == ["doc_id", "text", "extra"] and sorted(r["extra"] for r in kept.collect()) == [2, 3]
+    kept = decontam.clean(docs, items)
+    assert kept.columns == ["doc_id", "text", "_bad"] and [r["_bad"] for r in kept.collect()] == [3]
+    many = docs.selectExpr("*", "1 AS n_words", "2 AS hit_spans", "3 AS hit_items", "map('a', 1) AS m")
+    again = decontam.clean(many, items).collect()
+    assert [tuple(r) for r in again] == [(2, "other", 3, 1, 2, 3, {"a": 1})]
+
+
+def test_keep_one_of_each_group(spark):
+    base = [f"word{i}" for i in range(60)]
+    near = " ".join(["other", *base[1:]])
+    text = " ".join(base)
+    rows = [(5, text, 1), (5, text, 2), (3, near, 3), (None, text, 4), (None, "alone and without an id at all", 5), (7, None, 6), (7, "", 7), (8, "short", 8), (9, "SHORT", 9), (3, "same id, another text of its own", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone int")
+    for frame in (docs, docs.selectExpr("*", "1 AS t1", "2 AS id", "3 AS label", "4 AS n")):
+        kept = near_dedup.keep_one(frame)
+        assert kept.columns == frame.columns and sorted(r["_gone"] for r in kept.collect()) == [3, 5, 6, 7, 8, 10]
+    twice = spark.createDataFrame([(1, text, 1), (1, text, 2), (1, text, 3), (2, text, 4)], "doc_id long, text string, _gone int")
+    assert [r["doc_id"] for r in near_dedup.keep_one(twice).collect()] == [1]
+    assert near_dedup.keep_one(docs.limit(0)).count() == 0
+
+
+def test_reported_speech():
+    reader = toxicity.Reader(toxicity.Model({"idiot": 5.0}))
+    place = {e: i for i, e in enumerate(toxicity.EVENTS)}
+    reported = ['he said: "you are an idiot"', "he said, you are an idiot", "he said you are an idiot", '"you are an idiot", he said', '"You are an idiot!" he said.', "you idiot, he said.", "Er sagte: „du idiot“"]
+    plain = ["You are an idiot.", "he said hello, you are an idiot", 'she said "hello". you idiot', "you are not nice, you idiot", '"hello" you idiot. he said']
+    for t in reported:
+        assert reader.events(t)[place["insult_reported"]] > 0 and reader.events(t)[place["insult"]] == 0, t
+    for t in plain:
+        assert reader.events(t)[place["insult"]] > 0 and reader.events(t)[place["insult_reported"]] == 0, t
+
+
+def test_kept_trees_encode_only_what_changes(spark):
+    code = edit_counts.encoding()
+    text = " ".join(f"plain words number {i}" for i in range(3000))
+    rows = [(1, text, [(50_000, 50_005, "new")]), (1, text, []), (2, None, [(0, 0, "start")]), (None, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start:long,end:long,text:string>>").withColumn("n_tokens", F.lit("clash"))
+    first = edit_counts.edit_trees(edit_counts.grow_trees(docs))
+    second = edit_counts.edit_trees(first.withColumn("edits", F.expr("array(struct(cast(9 AS bigint) AS start, cast(12 AS bigint) AS `end`, 'x' AS text))")))
+    for r in [*first.collect(), *second.collect()]:
+        assert r["n_tokens"] == len(code.encode_ordinary(r["text"])) and sum(r["leaf_chars"]) == len(r["text"]) and sum(r["leaf_tokens"]) == r["n_tokens"]
+        assert r["chars_encoded_again"] < 6 * edit_counts.LEAF
+
+
+def test_masking_edits_on_the_table(spark, sf_dir):
+    code, rows = edit_counts.encoding(), []
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    for d, t in docs.collect():
+        t, after, at, n = t or "", [], 0, 0
+        for s, kind, e in pii.base_spans(t):
+            if s >= at:
+                after += [t[at:s], f"<{pii.KINDS[kind]}>"]
+                at, n = e, n + 1
+        after = "".join(after) + t[at:]
+        rows.append((d, len(code.encode_ordinary(t)), n, len(code.encode_ordinary(after)), len(after)))
+    got = edit_counts.recount(docs, edit_counts.mask_entities).select("doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_chars_after").collect()
+    assert sorted(map(tuple, got)) == sorted(rows)
+
+
+def test_suffix_trees_against_all_windows():
+    r = random.Random(6)
+    base = [f"w{r.randrange(30)}" for _ in range(400)]
+    texts, doc, first, lead, n = [], [], [], [], []
+    anchor = base[100:108]
+    for d in range(40):
+        own = list(base)
+        for _ in range(r.randrange(0, 5)):
+            own[r.choice([i for i in range(70, 140) if not 100 <= i < 108])] = f"x{r.randrange(5)}"
+        start = r.randrange(88, 101)
+        stop = r.randrange(120, 140)
+        texts.append(" ".join(own[start:stop]).encode())
+        doc.append(r.randrange(12))
+        first.append(start)
+        lead.append(100 - start)
+        n.append(min(100 - start, stop - start - 20) + 1 if stop - start >= 20 else 0)
+    doc, lead, n = np.array(doc), np.array(lead), np.array(n)
+    assert anchor == texts[0].decode().split()[lead[0] : lead[0] + 8]
+    found, low, high = substring._repeated(doc, lead, n, texts, 20, 8)
+    got = {int(i): (int(a), int(b)) for i, a, b in zip(found, low, high, strict=True)}
+    words = [t.split() for t in texts]
+    least = {}
+    windows = [(i, s, (int(lead[i]) - s, tuple(words[i][s : s + 20]))) for i in range(40) for s in range(n[i])]
+    for i, _, w in windows:
+        least[w] = min(least.get(w, 99), doc[i])
+    want = {}
+    for i, s, w in windows:
+        if least[w] < doc[i]:
+            a, b = want.get(i, (s, s))
+            want[i] = (min(a, s), max(b, s))
+    assert got == want and len(want) > 5
+
+
+def test_nodes_are_common_prefixes():
+    r = np.random.default_rng(4)
+    rows = r.integers(0, 2, (60, 7)).astype(np.int32)
+    rows[rng_ends := r.integers(0, 8, 60) <= 2, 5:] = -1
+    tree = substring.SubTree(rows)
+    for depth in range(8):
+        node = tree.nodes(depth)
+        for i in range(60):
+            for j in range(60):
+                same = (rows[i, :depth] == rows[j, :depth]).all() and (rows[i, :depth] >= 0).all()
+                assert (node[i] == node[j]) == bool(same or i == j), (depth, i, j)
+    assert rng_ends.any()
+
+
+def test_very_long_numbers_are_no_crash():
+    assert pii.base_spans("0" * 5000 + "1.1.1.1") == [(0, 1, 5007)] and pii.base_spans("9" * 5000 + ".1.1.1") == []
+
+
+def test_secrets(spark):
+    key = "a7898f631d0c339a0d2af2f50c7613fcfdcec734"
+    rows = [(1, f'key = "{key}" and {"ab1" * 12} and {"x" * 50} and longword{"y" * 30}'), (2, f"mail {key}@example.org"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.detect(docs).collect()}
+    assert got[1]["spans"] == f"secret:7:{7 + len(key)}" and got[1]["n_private"] == 1 and got[1]["base"] == ""
+    assert got[2]["n_secret"] == 0 and got[2]["n_email"] == 1 and got[3]["n_private"] == 0
+    assert {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}[1].startswith('key = "<SECRET>" and ab1ab1')
