@@ -8,28 +8,47 @@ from codicil.llm import common, decontam, mixing, near_dedup, tokens_wavelet, to
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under the threshold."""
+    """Documents that score under the threshold.
+
+    Each row is judged by its own text, whatever its doc_id; a null or empty text has no
+    event and stays. An empty table gives no rows; without labels of both kinds the
+    grammar's prior weights judge.
+    """
     return toxicity.keep_clean(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One row of each group of near duplicates: the one with the smallest doc_id, of several the one with the smallest text hash.
+
+    Rows without words (null or empty texts) are duplicates of nothing and stay. A null
+    doc_id comes after all others. An empty table gives no rows.
+    """
     return near_dedup.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark window occurs."""
+    """Rows in which no benchmark window occurs, each judged by its own text, whatever its doc_id.
+
+    Null and empty texts have no words and stay; an empty benchmark removes nothing.
+    """
     return decontam.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at equal weight: each document as many times as drawn, in global random order."""
+    """Sources at equal weight: each row as many times as drawn, in global random order.
+
+    A null source is a source of its own; sources without characters give no rows. Rows
+    that share a doc_id are drawn alike, and a null one as an empty id.
+    """
     return mixing.mix(docs).select(docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Wavelet shards, and the index read back from them; copies of a document follow each other."""
-    return tokens_wavelet.encode_corpus(docs).select("doc_id", "start", "n_tokens", "ids_crc32")
+    """Wavelet shards in the mixture's global order, and the index read back from them: doc_id, start, n_tokens, ids_crc32.
+
+    Null and empty texts are a document of the end id alone; an empty table gives no rows.
+    """
+    return tokens_wavelet.encode_corpus(mixing.rearrange(docs), arranged=True).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 STAGES = [
