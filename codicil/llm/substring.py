@@ -19,6 +19,7 @@ the shuffle.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,8 @@ from . import common, textscan
 
 WINDOW = 50
 PREFIX = 16
-#: Suffixes under one prefix that make a group for one task, some 5 MB of words.
-GROUP = 10_000
+#: Suffixes under one prefix that make a group for one task: some 50 MB of words, and as much again for each tree.
+GROUP = 100_000
 #: Suffixes over which trees are built at once; a group is never divided.
 TREE_ROWS = 4096
 #: Bits a shared prefix gets in the filter that is broadcast, and the filter's greatest size (32 MB).
@@ -135,11 +136,13 @@ class SubTree:
 
 
 def _numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The words of texts as numbers, one text after the other, and the n+1 offsets."""
+    """The words of texts as numbers, one text after the other, and the n+1 offsets. The words of one text are held at a time."""
     numbers: dict[bytes, int] = {}
-    lists = [t.split() for t in texts]
-    flat = [numbers.setdefault(w, len(numbers)) for own in lists for w in own]
-    return np.array(flat, np.int32), np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+    flat, ends = array("i"), [0]
+    for t in texts:
+        flat.extend([numbers.setdefault(w, len(numbers)) for w in t.split()])
+        ends.append(len(flat))
+    return np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32), np.array(ends, np.int64)
 
 
 def _repeated(doc: np.ndarray, lead: np.ndarray, n_windows: np.ndarray, texts: list[bytes], window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
