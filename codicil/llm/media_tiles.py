@@ -144,11 +144,12 @@ _STRIP = 1 << 18
 def _integral_rows(grey: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Rows `at` (ascending) of the integral image, which is made in strips, each upon the last row of the one before."""
     height, width, channels = grey.shape
-    out, carry = np.zeros((len(at), width + 1, channels)), np.zeros((width + 1, channels))
+    kind = np.int64 if grey.dtype.kind in "iu" else np.float64
+    out, carry = np.zeros((len(at), width + 1, channels), kind), np.zeros((width + 1, channels), kind)
     step = max(1, _STRIP // (width * channels))
     for start in range(0, height, step):
-        strip = np.zeros((min(step, height - start) + 1, width + 1, channels))
-        strip[1:, 1:] = np.cumsum(np.cumsum(grey[start : start + step], 0, dtype=np.float64), 1)
+        strip = np.zeros((min(step, height - start) + 1, width + 1, channels), kind)
+        strip[1:, 1:] = np.cumsum(np.cumsum(grey[start : start + step], 0, dtype=kind), 1)
         strip += carry
         own = np.flatnonzero((at >= start) & (at < start + len(strip)))
         out[own] = strip[at[own] - start]
@@ -156,30 +157,37 @@ def _integral_rows(grey: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target pixel's area: four corners of the integral image, which within a pixel is bilinear."""
-    grey = pixels.reshape(pixels.shape[0], pixels.shape[1], -1)
-    if not grey.size:
-        return np.zeros((height, width, grey.shape[2]))
+def _areas(grey: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Sums over each target pixel's area, height x width times as great: four corners of the integral image, which within a pixel is bilinear."""
 
     def grid(target: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        edge = np.arange(target + 1) * n / target
-        low = np.minimum(edge.astype(np.int64), n - 1)
-        return low, edge - low
+        edge = np.arange(target + 1) * n
+        low = np.minimum(edge // target, n - 1)
+        return low, edge - low * target
 
     (row, down), (column, right) = grid(height, grey.shape[0]), grid(width, grey.shape[1])
     wanted = np.unique(np.concatenate([row, row + 1]))
     sums = _integral_rows(grey, wanted)
     upper, lower = (sums[np.searchsorted(wanted, r)] for r in (row, row + 1))
-    lines = upper + (lower - upper) * down[:, None, None]
-    corners = lines[:, column] + (lines[:, column + 1] - lines[:, column]) * right[None, :, None]
-    area = corners[1:, 1:] - corners[:-1, 1:] - corners[1:, :-1] + corners[:-1, :-1]
-    return area * (height / grey.shape[0]) * (width / grey.shape[1])
+    lines = upper * height + (lower - upper) * down[:, None, None]
+    corners = lines[:, column] * width + (lines[:, column + 1] - lines[:, column]) * right[None, :, None]
+    return corners[1:, 1:] - corners[:-1, 1:] - corners[1:, :-1] + corners[:-1, :-1]
+
+
+def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean over each target pixel's area; of whole numbers the areas are exact."""
+    grey = pixels.reshape(pixels.shape[0], pixels.shape[1], -1)
+    if not grey.size:
+        return np.zeros((height, width, grey.shape[2]))
+    return _areas(grey, height, width) / (grey.shape[0] * grey.shape[1])
 
 
 def thumbnail(pixels: np.ndarray, top: int = 255) -> np.ndarray:
-    """Grey 8 x 9 tile of samples up to `top`."""
-    return np.rint(area_resize(pixels, *TILE).mean(2) * (255 / top)).clip(0, 255).astype(np.uint8)
+    """Grey 8 x 9 tile of samples up to `top`, rounded from exact fractions."""
+    grey = pixels.reshape(pixels.shape[0], pixels.shape[1], -1)
+    if not grey.size:
+        return np.zeros(TILE, np.uint8)
+    return np.rint(_areas(grey, *TILE).sum(2) * 255 / (top * grey.size)).clip(0, 255).astype(np.uint8)
 
 
 def difference_hash(tile: np.ndarray) -> str:
