@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import zlib
 from collections import defaultdict
 from fractions import Fraction
@@ -11,6 +12,7 @@ from fractions import Fraction
 import public_tokenizers
 from tokenizers import Tokenizer
 
+sys.set_int_max_str_digits(0)  # parts of addresses may be of any length
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
