@@ -24,9 +24,18 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def op1(docs):
+def mixture_order(docs, seed=17):
+    """The global order of a mixture, by a hash of the id and the copy's number."""
+    seen, keyed = defaultdict(int), []
+    for doc, text in docs:
+        seen[doc, text] += 1
+        keyed.append((hashlib.md5(f"order {seed}|{doc}|{seen[doc, text]}".encode()).hexdigest(), doc, text))
+    return [(doc, text) for _, doc, text in sorted(keyed, key=lambda k: k[:2])]
+
+
+def op1(docs, by_id=True):
     tokenizer, out, start = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), [], 0
-    for doc, text in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+    for doc, text in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())) if by_id else docs:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
         out.append((doc, start, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
         start += len(ids)
