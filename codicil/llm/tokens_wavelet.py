@@ -61,7 +61,7 @@ class WordCache:
     #: Words of a text that are looked up at once.
     PART = 1 << 16
 
-    def __init__(self, path: str, limit: int = 64 << 20):
+    def __init__(self, path: str, limit: int = 128 << 20):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -70,7 +70,6 @@ class WordCache:
         self.by_words = (form["normalizer"], form["pre_tokenizer"]) == _BY_WORDS and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in form["added_tokens"])
         self.limit, self.held = limit, 0
         self.known: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {}
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         latin = [chr(c) for c in (*range(0x61, 0x7B), *range(0xC0, 0x100))]
         self.mapped = {ord(c): level.pre_tokenize_str(c)[0][0] for c in latin}
@@ -78,18 +77,17 @@ class WordCache:
     def _whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _keep(self, cache: dict, key, value: bytes) -> bytes:
-        cache[key] = value
-        self.held += len(key) + len(value) + self.ENTRY
-        return value
+    def _keep(self, word: bytes, ids: bytes) -> bytes:
+        self.known[word] = ids
+        self.held += len(word) + len(ids) + self.ENTRY
+        return ids
 
     def _run(self, run: str) -> bytes:
+        """A run of letters, which is kept as the word that it is in lower case."""
         run = run.lower()
-        found = self.letters.get(run)
-        if found is None:
-            ids = [t.id for t in self.tokenizer.model.tokenize(run.translate(self.mapped))]
-            found = self._keep(self.letters, run, np.array(ids, self.kind).tobytes())
-        return found
+        word = run.encode()
+        found = self.known.get(word)
+        return self._keep(word, np.array([t.id for t in self.tokenizer.model.tokenize(run.translate(self.mapped))], self.kind).tobytes()) if found is None else found
 
     def _new(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
@@ -99,22 +97,17 @@ class WordCache:
         return self._whole(text)
 
     def _tail(self, tail: str) -> bytes:
-        found = self.letters.get(tail)
-        if found is None:
-            found = self._keep(self.letters, tail, self._whole(tail))
-        return found
+        word = tail.encode()
+        found = self.known.get(word)
+        return self._keep(word, self._whole(tail)) if found is None else found
 
     def _shrink(self) -> None:
-        """Keep the first entries, up to a quarter of the bytes: the first to come are the frequent ones."""
-        self.held = 0
-        for name in ("known", "letters"):
-            old, kept = getattr(self, name), {}
-            upto = self.held + self.limit // 8
-            setattr(self, name, kept)
-            for k, v in old.items():
-                if self.held >= upto:
-                    break
-                self._keep(kept, k, v)
+        """Keep the first entries, up to half of the bytes: the first to come are the frequent ones."""
+        old, self.known, self.held = self.known, {}, 0
+        for word, ids in old.items():
+            if self.held >= self.limit // 2:
+                break
+            self._keep(word, ids)
 
     def encode(self, text: bytes) -> np.ndarray:
         if not self.by_words:
@@ -123,7 +116,9 @@ class WordCache:
         for i in range(0, len(words), self.PART):
             part, known = words[i : i + self.PART], self.known
             for w in set(part).difference(known):
-                self._keep(known, w, self._new(w))
+                ids = known.get(w) or self._new(w)
+                if w not in known:  # a run of letters keeps itself
+                    self._keep(w, ids)
             out.append(b"".join(map(known.__getitem__, part)))
             if self.held > self.limit:
                 self._shrink()
