@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, edit_counts, fuzzy_lines, media_tiles, mixing, near_dedup, pii, substring, tokens_wavelet, toxicity
+from . import collocations, decontam, edit_counts, fuzzy_lines, media_tiles, mixing, near_dedup, pii, substring, tokens_wavelet, toxicity, yinyang
 from .common import table
 
 
@@ -54,10 +54,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_wavelet, op2_media_tiles, op3_near_dedup, op4_suffix_trees, op5_edit_counts, op6_fuzzy_lines, op7_decontaminate, op8_poisson_mix, op9_pii, op10_toxicity)}
+def op11_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_wavelet, op2_media_tiles, op3_near_dedup, op4_suffix_trees, op5_edit_counts, op6_fuzzy_lines, op7_decontaminate, op8_poisson_mix, op9_pii, op10_toxicity, op11_yinyang_clusters, op12_collocations)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_DISTANCE = "list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
+
+def _round(i: int) -> str:
+    """Assignment to the centroids of round i, and the centroids of the next."""
+    return f"""
+        a{i} AS MATERIALIZED (SELECT u, vec_id, v, min((d, j)) AS best FROM (SELECT u, vec_id, v, j, {_DISTANCE} AS d FROM v, c{i}) GROUP BY u, vec_id, v),
+        s{i} AS (SELECT j, p, sum(x)::HUGEINT AS s, count(*) AS n FROM (SELECT best[2] AS j, unnest(v) AS x, unnest(range(0, 64)) AS p FROM a{i}) GROUP BY j, p),
+        m{i} AS (SELECT j, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY p) AS m FROM s{i} GROUP BY j),
+        c{i + 1} AS MATERIALIZED (SELECT c{i}.j, coalesce(m, c) AS c FROM c{i} LEFT JOIN m{i} ON m{i}.j = c{i}.j),"""
+
 
 ORACLES: dict[str, str] = {
     "op4_suffix_trees": r"""
@@ -90,4 +109,26 @@ ORACLES: dict[str, str] = {
             FROM (SELECT doc_id, documents.source AS source, text, unnest(range(1, parts + 1)) AS i FROM documents JOIN q ON documents.source = q.source)),
         n AS (SELECT doc_id, u.source AS source, text, count(*) AS n FROM u JOIN c ON u.source = c.source AND c.cdf <= u.u GROUP BY doc_id, u.source, text)
         SELECT doc_id, source, mix_copy, md5('order 17|' || doc_id || '|' || mix_copy) AS mix_key, md5(text) AS text_md5 FROM (SELECT doc_id, source, text, unnest(range(1, n + 1)) AS mix_copy FROM n)""",
+    "op11_yinyang_clusters": f"""
+        WITH v AS MATERIALIZED (SELECT row_number() OVER () AS u, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS j, v AS c FROM (SELECT sha256('2:' || vec_id) AS h, v FROM v ORDER BY h, v LIMIT 40)),
+        {"".join(_round(i) for i in range(6))}
+        f AS (SELECT vec_id, best[2] AS j, best[1] AS d FROM a5)
+        SELECT vec_id, CAST(f.j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY f.j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+            sha256(array_to_string(c, ',')) AS centroid_sha256 FROM f JOIN c5 ON c5.j = f.j""",
+    "op12_collocations": rf"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOW}, '[.,;:!?\n\v\f\r]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS ws FROM p),
+        g AS ({" UNION ALL ".join(f"SELECT lang, unnest(list_transform(range(1, greatest(len(ws) - {k - 1}, 0) + 1), lambda i: ws[i : i + {k - 1}])) AS g FROM w" for k in range(1, 6))}),
+        f AS MATERIALIZED (SELECT lang, g, count(*) AS f FROM g GROUP BY lang, g HAVING count(*) >= 100),
+        n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+        cand AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1),
+        inside AS (SELECT DISTINCT x.lang, x.sub AS g, x.a FROM (SELECT lang, a, unnest([g[1 : len(g) - 1], g[2 : len(g)]]) AS sub FROM cand) x),
+        kept AS (SELECT * FROM cand ANTI JOIN inside USING (lang, g, a)),
+        cut AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM kept),
+        scored AS (SELECT cut.lang, cut.g, a, k, x.f AS l, y.f AS r, n, CAST(CAST(1000 AS HUGEINT) * a * n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+            FROM cut JOIN f x ON x.lang = cut.lang AND x.g = cut.g[1 : k] JOIN f y ON y.lang = cut.lang AND y.g = cut.g[k + 1 : len(cut.g)] JOIN n ON n.lang = cut.lang),
+        least AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM least QUALIFY rank <= 2000""",
 }
