@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontam, edit_counts, fuzzy_lines, media_tiles, mixing, near_dedup, pii, substring, tokens_wavelet, toxicity, yinyang
+from . import collocations, decontam, edit_counts, fuzzy_lines, main_text, media_tiles, mixing, near_dedup, pii, substring, tokens_wavelet, toxicity, yinyang
 from .common import table
 
 
@@ -62,7 +62,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_wavelet, op2_media_tiles, op3_near_dedup, op4_suffix_trees, op5_edit_counts, op6_fuzzy_lines, op7_decontaminate, op8_poisson_mix, op9_pii, op10_toxicity, op11_yinyang_clusters, op12_collocations)}
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_wavelet, op2_media_tiles, op3_near_dedup, op4_suffix_trees, op5_edit_counts, op6_fuzzy_lines, op7_decontaminate, op8_poisson_mix, op9_pii, op10_toxicity, op11_yinyang_clusters, op12_collocations, op13_main_text)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
