@@ -53,6 +53,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--dump-meta", action="store_true", help="print the container's structure; convert nothing")
     p.add_argument("--no-verify", action="store_true", help="leave the self-check out")
     p.add_argument("--force-mode", type=_mode, metavar="MODE", help="none, ofb or cfb64, whatever the file says")
+    p.add_argument("--bounds", choices=["keyword", "length"], default="keyword", help="find payloads by keywords alone, or by declared lengths and what inflates too")
     p.add_argument("--strict-exit", action="store_true", help="exit with 1 if any file failed")
     p.add_argument("-V", "--version", action="version", version="codicil 0.1")
     return p
@@ -115,7 +116,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             _say(f"codicil: {paths[r['path']]}: {r['output']} exists already; --force overwrites", True)
             codes.append(report.FAILED)
     todo = planned if args.force else planned.join(there_already.select("path"), "path", "left_anti")
-    done = files.with_size_errors(convert.convert(found, args.force_mode, not args.no_verify)).join(F.broadcast(todo), "path").persist()
+    done = files.with_size_errors(convert.convert(found, args.force_mode, not args.no_verify, bounds=args.bounds)).join(F.broadcast(todo), "path").persist()
     sink.write_documents(done, True)
     rows = done.select("path", "output", "code", "error", "complaints", F.when(F.col("error").isNull(), report.summary(F.col("path"), F.col("output"))).alias("summary"), F.when(F.col("error").isNull(), report.detail(max(1, args.verbose))).alias("detail"))
     for r in rows.toLocalIterator():

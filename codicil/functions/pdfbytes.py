@@ -17,6 +17,7 @@ _HEADER = re.compile(rb"(?<![0-9])([0-9]+)" + SPACE + rb"+([0-9]+)" + SPACE + rb
 _SKIP = re.compile(SPACE + rb"*")
 _NUMBER = re.compile(rb"[0-9]+")
 _LINE_ENDS = re.compile(rb"[\r\n]*")
+_CLOSING = re.compile(rb"[\r\n]{0,2}(endstream)")
 _LENGTH = re.compile(rb"/Length" + SPACE + rb"*([0-9]+)")
 _REST = re.compile(SPACE + rb"*([0-9]+)" + SPACE + rb"*R")
 
@@ -54,10 +55,45 @@ def payload_ranges(pdf: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
+def starts(pdf: bytes, keyword: int, end: int) -> tuple[int, int, list[int]]:
+    """Where a payload may begin: after all line ends (the scan's rule), after the one line end that the PDF standard has, and all of them, 0, 1 and 2 bytes on included."""
+    first = keyword + len(OPEN)
+    last = min(_LINE_ENDS.match(pdf, first).end(), end)
+    one = min(first + (2 if pdf[first : first + 2] == b"\r\n" else 1 if pdf[first : first + 1] in (b"\r", b"\n") else 0), last)
+    return last, one, list(dict.fromkeys([last, one, *(first + k for k in (2, 1, 0) if first + k <= last)]))
+
+
+def ranges_by_length(pdf: bytes, declared: dict[int, int]) -> list[tuple[int, int, int]]:
+    """payload_ranges, but a payload ends at the closing keyword that its declared length leads to, where it leads to one.
+
+    declared has lengths by the place of the opening keyword. Keywords inside such a payload are its bytes.
+    """
+    out, at = [], pdf.find(OPEN)
+    while at >= 0:
+        if pdf[at - 1 : at] == b"d":
+            at = pdf.find(OPEN, at + len(OPEN))
+            continue
+        end = pdf.find(CLOSE, at)
+        if end < 0:
+            break
+        length = declared.get(at)
+        if length is not None and length < len(pdf):
+            _, one, places = starts(pdf, at, len(pdf))
+            for start in dict.fromkeys([one, *places]):
+                m = _CLOSING.match(pdf, start + length)
+                if m:
+                    end = m.start(1)
+                    break
+        start = _LINE_ENDS.match(pdf, at + len(OPEN)).end()
+        out.append((at, min(start, end), end))
+        at = pdf.find(OPEN, end + len(CLOSE))
+    return out
+
+
 def object_headers(pdf: bytes) -> list[tuple[int, int, int]]:
     """(end, number, generation) of each `N G obj`, payload bytes included."""
-    found = ((m.end(), int(m[1]), int(m[2])) for m in _HEADER.finditer(pdf) if len(m[1]) < 4000 and len(m[2]) < 4000)
-    return [h for h in found if h[1] < 1 << 32 and h[2] < 1 << 16]
+    found = ((m.end(), _number(m[1], 32), _number(m[2], 16)) for m in _HEADER.finditer(pdf))
+    return [h for h in found if h[1] is not None and h[2] is not None]
 
 
 def live_headers(pdf: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -73,7 +109,30 @@ def live_headers(pdf: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, i
 
 def scan(pdf: bytes) -> list[Payload]:
     """Payloads with the last live header at or before each one's keyword."""
-    ranges = payload_ranges(pdf)
+    return attributed(pdf, payload_ranges(pdf))
+
+
+def scan_by_length(pdf: bytes, exact_name: bool = False) -> list[Payload]:
+    """The same with ends by declared lengths, until these find no more keywords inside payloads."""
+    found = scan(pdf)
+    while True:
+        objects = first_objects(pdf, found)
+        lengths = {p.dict_end: declared_length(pdf, p, objects, exact_name) for p in found}
+        again = attributed(pdf, ranges_by_length(pdf, {k: n for k, n in lengths.items() if n is not None}))
+        if len(again) >= len(found):
+            return again
+        found = again
+
+
+def admitted(pdf: bytes, payload: Payload, declared: int | None) -> list[int]:
+    """Starts that the declared length admits, up to two bytes of line ends at the end being no part of it; all where it admits none."""
+    last, _, places = starts(pdf, payload.dict_end, payload.end)
+    fit = [s for s in places if declared is not None and 0 <= payload.end - s - declared <= 2]
+    return fit or places
+
+
+def attributed(pdf: bytes, ranges: list[tuple[int, int, int]]) -> list[Payload]:
+    """Payloads of the ranges, each with the last live header at or before its keyword."""
     headers = live_headers(pdf, [(s, e) for _, s, e in ranges])
     ends, out = [h[0] for h in headers], []
     for i, (keyword, start, end) in enumerate(ranges):
@@ -98,17 +157,24 @@ def declared_length(pdf: bytes, payload: Payload, objects: dict[tuple[int, int],
         if not exact_name or not (pdf[at : at + 1].isalnum() and at < payload.dict_end):
             break
     m = _LENGTH.match(pdf, k)
-    if not m or len(m[1]) > 20 or int(m[1]) >= 1 << 64:
+    first = _number(m[1], 64) if m else None
+    if first is None:
         return None
-    first = int(m[1])
     rest = _REST.match(pdf, m.end())
-    if rest and len(rest[1]) <= 20 and first < 1 << 32 and int(rest[1]) < 1 << 16:
-        header = objects.get((first, int(rest[1])))
+    generation = _number(rest[1], 16) if rest else None
+    if generation is not None and first < 1 << 32:
+        header = objects.get((first, generation))
         value = _NUMBER.match(pdf, _SKIP.match(pdf, header).end()) if header is not None else None
-        return int(value[0]) if value and len(value[0]) <= 20 and int(value[0]) < 1 << 64 else None
+        return _number(value[0], 64) if value else None
     return first
 
 
+def _number(digits: bytes, bits: int) -> int | None:
+    """A decimal number of any length, if it fits into so many bits."""
+    digits = digits.lstrip(b"0") or b"0"
+    return int(digits) if len(digits) <= 20 and int(digits) < 1 << bits else None
+
+
 def first_objects(pdf: bytes, payloads: list[Payload]) -> dict[tuple[int, int], int]:
     out: dict[tuple[int, int], int] = {}
     for end, number, generation in live_headers(pdf, [(p.start, p.end) for p in payloads]):
@@ -148,10 +214,17 @@ _OBJECT = re.compile(rb"(?<![0-9])([0-9]+)\s+([0-9]+)\s+obj\b")
 
 def object_streams(pdf: bytes) -> list[tuple[int, int, int, bytes]]:
     """(number, start, size, dictionary) by another rule: from object headers on, passing over objects that end before a stream."""
-    out = []
+    out, keyword, closed = [], -1, -1
     for m in _OBJECT.finditer(pdf):
-        keyword, closed = pdf.find(OPEN, m.end()), pdf.find(b"endobj", m.end())
-        if keyword < 0 or 0 <= closed < keyword:
+        # Both places only move on, so the document is read once.
+        if keyword < m.end():
+            keyword = pdf.find(OPEN, m.end())
+            if keyword < 0:
+                break
+        if 0 <= closed < m.end() or closed < 0:
+            closed = pdf.find(b"endobj", m.end())
+            closed = closed if closed >= 0 else len(pdf)
+        if closed < keyword:
             continue
         start = _LINE_ENDS.match(pdf, keyword + len(OPEN)).end()
         out.append((int(m[1]), start, pdf.find(CLOSE, start) - start, pdf[m.end() : keyword]))

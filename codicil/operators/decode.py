@@ -9,7 +9,7 @@ Python once and come back once. Rows that have an error already send no bytes.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -122,7 +122,7 @@ def choose(strategy: str | Factory | None, algorithm: int, blob: bytes | None) -
         raise Refusal("BAD_KEY_LENGTH", str(e)) from e
 
 
-PAYLOAD = "struct<idx:int,start:bigint,end:bigint,dict_start:bigint,dict_end:bigint,number:bigint,generation:int,flate:boolean>"
+PAYLOAD = "struct<idx:int,start:bigint,end:bigint,dict_start:bigint,dict_end:bigint,number:bigint,generation:int,flate:boolean,boundary:string>"
 CHECK = (
     "struct<pdf_header:boolean,eof:boolean,unlocked:boolean,flate_streams:int,flate_ok:int,inflated_bytes:bigint,bad_total:int,"
     "bad:array<struct<idx:int,number:bigint,generation:int,start:bigint,len:bigint,reason:string>>,mismatch_total:int,"
@@ -141,14 +141,21 @@ def _arrow(ddl: str) -> pa.DataType:
     return to_arrow_type(_parse_datatype_string(ddl))
 
 
-def check(pdf: bytes, payloads: list[pdfbytes.Payload], exact_name: bool = False) -> dict:
-    """What holds of a recovered document, whatever was done to it."""
+Verdict = tuple[int, str | None]
+
+
+def is_flate(pdf: bytes, p: pdfbytes.Payload) -> bool:
+    return p.size > 0 and b"/FlateDecode" in pdf[p.dict_start : p.dict_end]
+
+
+def check(pdf: bytes, payloads: list[pdfbytes.Payload], exact_name: bool = False, verdicts: dict[int, Verdict] | None = None) -> dict:
+    """What holds of a recovered document, whatever was done to it. verdicts has what is known of payloads by their number."""
     from decimal import Decimal
 
-    flate = [p for p in payloads if p.size and b"/FlateDecode" in pdf[p.dict_start : p.dict_end]]
+    flate = [p for p in payloads if is_flate(pdf, p)]
     bad, total, good = [], 0, 0
     for p in flate:
-        size, reason = kernels.inflate(pdf[p.start : p.end])
+        size, reason = (verdicts or {}).get(p.idx) or kernels.inflate(pdf[p.start : p.end])
         if reason is None:
             good, total = good + 1, total + size
         else:
@@ -171,6 +178,9 @@ class _File:
     key: bytes
     source: str
     payloads: list[pdfbytes.Payload]
+    #: Which rule chose a payload's start, by its number, where it was not the scan's; and what inflating said.
+    boundaries: dict[int, str] = field(default_factory=dict)
+    verdicts: dict[int, Verdict] = field(default_factory=dict)
 
     @property
     def full(self) -> list[pdfbytes.Payload]:
@@ -180,16 +190,62 @@ class _File:
         return [self.plain[p.start : p.end] for p in self.full]
 
 
-def _opened(plain: bytes, blob: bytes | None, algorithm: int, strategy: str | Factory | None) -> _File:
+#: How a payload's bounds are found: by keywords alone, or by /Length and by what inflates too.
+BOUNDS = ("keyword", "length")
+
+
+def _opened(plain: bytes, blob: bytes | None, algorithm: int, strategy: str | Factory | None, bounds: str, exact_name: bool) -> _File:
     if not plain.startswith(b"%PDF-"):
         raise Refusal("BODY_LAYER_FAILED", f"the body does not begin with `%PDF-` but with bytes {plain[:8].hex()}: another section holds its key, or the cipher is another")
     run, file_key, source = choose(strategy, algorithm, blob)
-    return _File(plain, run, file_key, source, pdfbytes.scan(plain))
+    if bounds == "keyword":
+        return _File(plain, run, file_key, source, pdfbytes.scan(plain))
+    f = _File(plain, run, file_key, source, pdfbytes.scan_by_length(plain, exact_name))
+    objects = pdfbytes.first_objects(plain, f.payloads)
+    for i, p in enumerate(f.payloads):
+        if not is_flate(plain, p):
+            # Nothing but the length can tell: the standard's one line end, if the length admits it.
+            _, one, _ = pdfbytes.starts(plain, p.dict_end, p.end)
+            fit = pdfbytes.admitted(plain, p, pdfbytes.declared_length(plain, p, objects, exact_name))
+            start = one if one in fit else fit[0]
+            if start != p.start and len(fit) < len(pdfbytes.starts(plain, p.dict_end, p.end)[2]):
+                f.payloads[i], f.boundaries[p.idx] = replace(p, start=start), "length"
+    return f
+
+
+def _info(f: _File, p: pdfbytes.Payload) -> StreamInfo:
+    return StreamInfo(p.idx, p.start, p.size, p.number, p.generation, f.plain[p.dict_start : p.dict_end], f.key)
 
 
 def _by_itself(f: _File) -> list[bytes]:
-    infos = [StreamInfo(p.idx, p.start, p.size, p.number, p.generation, f.plain[p.dict_start : p.dict_end], f.key) for p in f.full]
-    return f.run.decrypt_all(infos, f.cut())
+    return f.run.decrypt_all([_info(f, p) for p in f.full], f.cut())
+
+
+def _resolved(f: _File, decoded: list[bytes], exact_name: bool) -> list[bytes]:
+    """Payloads that don't inflate from the scan's start, from another start that their length admits and that inflates.
+
+    Most files have none, and cost nothing but the verdicts, which the self-check takes over.
+    """
+    out, objects, place = list(decoded), None, {p.idx: i for i, p in enumerate(f.payloads)}
+    for k, p in enumerate(f.full):
+        if not is_flate(f.plain, p):
+            continue
+        f.verdicts[p.idx] = kernels.inflate(out[k])
+        if f.verdicts[p.idx][1] is None:
+            continue
+        objects = pdfbytes.first_objects(f.plain, f.payloads) if objects is None else objects
+        fit = pdfbytes.admitted(f.plain, p, pdfbytes.declared_length(f.plain, p, objects, exact_name))
+        for start in fit:
+            if start == p.start:
+                continue
+            other = replace(p, start=start)
+            plain = f.run.decrypt(_info(f, other), f.plain[start : p.end])
+            verdict = kernels.inflate(plain)
+            if verdict[1] is None:
+                out[k], f.verdicts[p.idx], f.payloads[place[p.idx]] = plain, verdict, other
+                f.boundaries[p.idx] = "length" if len(fit) == 1 else "inflate"
+                break
+    return out
 
 
 def _finished(f: _File, decoded: list[bytes], forced: bool, verify: bool, exact_name: bool) -> dict:
@@ -201,26 +257,26 @@ def _finished(f: _File, decoded: list[bytes], forced: bool, verify: bool, exact_
     kind, at, size = pdfbytes.unlock(pdf)
     out = bytes(pdf)
     streams = [
-        {"idx": p.idx, "start": p.start, "end": p.end, "dict_start": p.dict_start, "dict_end": p.dict_end, "number": p.number, "generation": p.generation, "flate": b"/FlateDecode" in out[p.dict_start : p.dict_end]}
+        {"idx": p.idx, "start": p.start, "end": p.end, "dict_start": p.dict_start, "dict_end": p.dict_end, "number": p.number, "generation": p.generation, "flate": b"/FlateDecode" in out[p.dict_start : p.dict_end], "boundary": f.boundaries.get(p.idx, "keyword")}
         for p in f.payloads
     ]
     return {
         "pdf": out, "code": None, "message": None, "cause": None, "strategy": f.run.name, "forced": forced, "key_source": f.source, "key_len": len(f.key), "streams": streams,
-        "stream_bytes": sum(p.size for p in f.payloads), "encrypt": {"kind": kind, "at": at, "len": size}, "check": check(out, f.payloads, exact_name) if verify else None,
+        "stream_bytes": sum(p.size for p in f.payloads), "encrypt": {"kind": kind, "at": at, "len": size}, "check": check(out, f.payloads, exact_name, f.verdicts) if verify else None,
     }
 
 
 Given = tuple[bytes, bytes, bytes | None, int]
 
 
-def decode_bodies(files: list[Given], strategy: str | Factory | None = None, verify: bool = True, exact_name: bool = False) -> list[dict | Refusal]:
+def decode_bodies(files: list[Given], strategy: str | Factory | None = None, verify: bool = True, exact_name: bool = False, bounds: str = "keyword") -> list[dict | Refusal]:
     """The pass over files (body, body key, key blob, algorithm id), each with its own keys, whose bytes are worked on together."""
     out: list = [None if len(key) == 16 else Refusal("BAD_KEY_LENGTH", f"body key of {len(key)} bytes, not 16") for _, key, _, _ in files]
     fit = [i for i, o in enumerate(out) if o is None]
     opened: dict[int, _File] = {}
     for i, plain in zip(fit, kernels.apply_bodies([files[i][1] for i in fit], [files[i][0] for i in fit]), strict=True):
         try:
-            opened[i] = _opened(plain, files[i][2], files[i][3], strategy)
+            opened[i] = _opened(plain, files[i][2], files[i][3], strategy, bounds, exact_name)
         except Refusal as e:
             out[i] = e
     decoded: dict[int, list[bytes]] = {}
@@ -237,15 +293,16 @@ def decode_bodies(files: list[Given], strategy: str | Factory | None = None, ver
         decoded.update((i, [next(made) for _ in parts]) for i, parts in zip(own, cut, strict=True))
     for i, f in opened.items():
         try:
-            out[i] = _finished(f, decoded.pop(i), isinstance(strategy, str), verify, exact_name)
+            own = decoded.pop(i)
+            out[i] = _finished(f, own if bounds == "keyword" else _resolved(f, own, exact_name), isinstance(strategy, str), verify, exact_name)
         except Refusal as e:
             out[i] = e
     return out
 
 
-def decode_body(body: bytes, key: bytes, blob: bytes | None, algorithm: int, strategy: str | Factory | None = None, verify: bool = True, exact_name: bool = False) -> dict:
+def decode_body(body: bytes, key: bytes, blob: bytes | None, algorithm: int, strategy: str | Factory | None = None, verify: bool = True, exact_name: bool = False, bounds: str = "keyword") -> dict:
     """One file's pass, as a plain function."""
-    (found,) = decode_bodies([(body, key, blob, algorithm)], strategy, verify, exact_name)
+    (found,) = decode_bodies([(body, key, blob, algorithm)], strategy, verify, exact_name, bounds)
     if isinstance(found, Refusal):
         raise found
     return found
@@ -255,7 +312,7 @@ def decode_body(body: bytes, key: bytes, blob: bytes | None, algorithm: int, str
 TOGETHER = 16 << 20
 
 
-def _udf(strategy: str | Factory | None, verify: bool, exact_name: bool):
+def _udf(strategy: str | Factory | None, verify: bool, exact_name: bool, bounds: str):
     kind = _arrow(DECODED)
 
     def refused(e: Refusal) -> dict:
@@ -268,7 +325,7 @@ def _udf(strategy: str | Factory | None, verify: bool, exact_name: bool):
 
         def flush() -> None:
             given = [(body[i].as_py(), key[i].as_py() or b"", blob[i].as_py(), algorithm[i].as_py() or 0) for i in part]
-            for i, found in zip(part, decode_bodies(given, strategy, verify, exact_name), strict=True):
+            for i, found in zip(part, decode_bodies(given, strategy, verify, exact_name, bounds), strict=True):
                 rows[i] = refused(found) if isinstance(found, Refusal) else found
 
         for i, b in enumerate(body):
@@ -302,14 +359,23 @@ def first_layer(resolved: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumn("key", cut("body_key")).withColumn("body", F.arrow_udf(strip, "binary").asNondeterministic()(cut("body"), cut("body_key")))
 
 
-def decode(resolved: DataFrame, strategy: str | Factory | None = None, verify: bool = True, exact_name: bool = False, content: str = "content") -> DataFrame:
-    """Adds algorithm_id and `decoded` to resolved containers and moves its error to `error`."""
+def decode(resolved: DataFrame, strategy: str | Factory | None = None, verify: bool = True, exact_name: bool = False, content: str = "content", bounds: str = "keyword") -> DataFrame:
+    """Adds algorithm_id and `decoded` to resolved containers and moves its error to `error`.
+
+    bounds="keyword": a payload begins after all line ends that follow its keyword, and
+    ends at the next closing one. bounds="length": it ends where its declared length
+    leads to a closing keyword; if it does not inflate, it begins at the other line end
+    that its length admits and from which it inflates. `decoded.streams.boundary` names
+    the rule that chose a start: keyword, length or inflate.
+    """
+    if bounds not in BOUNDS:
+        raise ValueError(f"bounds is one of {', '.join(BOUNDS)}")
     if isinstance(strategy, str) and strategy not in STRATEGIES:
         raise ValueError(f"strategy is one of {', '.join(STRATEGIES)}, a callable or None")
     c = F.when(F.col("error").isNull(), F.col(content))
     cut = lambda role: piece(c, F.col(f"{role}.offset"), F.col(f"{role}.len"))
     algorithm: Column = F.coalesce(le_uint(cut("algorithm")), F.lit(0))
     df = resolved.withColumn("algorithm_id", F.when(F.col("error").isNull(), algorithm))
-    df = df.withColumn("decoded", _udf(strategy, verify, exact_name)(cut("body"), cut("body_key"), cut("key_blob"), F.col("algorithm_id")))
+    df = df.withColumn("decoded", _udf(strategy, verify, exact_name, bounds)(cut("body"), cut("body_key"), cut("key_blob"), F.col("algorithm_id")))
     failed = F.when(F.col("decoded.code").isNotNull(), F.struct(F.col("decoded.code").alias("code"), F.col("decoded.message").alias("message")))
     return df.withColumn("error", F.coalesce(F.col("error"), failed))

@@ -15,14 +15,14 @@ def inspect(files: DataFrame) -> DataFrame:
     return roles.resolve(sections.parse(files))
 
 
-def convert(files: DataFrame, strategy: str | decode.Factory | None = None, verify: bool = True, exact_name: bool = False) -> DataFrame:
+def convert(files: DataFrame, strategy: str | decode.Factory | None = None, verify: bool = True, exact_name: bool = False, bounds: str = "keyword") -> DataFrame:
     """files (path, content, ...) with report columns and `decoded.pdf`; a file that can't be read has `error` instead.
 
     strategy: None follows each file's algorithm id; "none", "ofb" or "cfb64" forces a
     mode; a callable makes a decode.Strategy of the file key. verify=False leaves the
-    self-check out. exact_name reads /Length only where the name ends there.
+    self-check out. exact_name reads /Length only where the name ends there. bounds: how payloads' bounds are found, see decode.decode.
     """
-    return report.with_report(decode.decode(inspect(files), strategy, verify, exact_name))
+    return report.with_report(decode.decode(inspect(files), strategy, verify, exact_name, bounds=bounds))
 
 
 def conversion_report(converted: DataFrame, *keys: str) -> DataFrame:
@@ -71,7 +71,7 @@ def inflated(data: Column, limit: int = LARGEST) -> Column:
 
 
 def payloads(converted: DataFrame, *keys: str, inflate: bool = True, limit: int = LARGEST) -> DataFrame:
-    """One row a payload: keys, idx, number, generation, flate, raw, data, reason.
+    """One row a payload: keys, idx, number, generation, flate, boundary, raw, data, reason.
 
     data is the inflated payload, null where that fails; `reason` says why, and tells a
     payload of over `limit` bytes, by default what a row can hold, from one that does
@@ -79,5 +79,5 @@ def payloads(converted: DataFrame, *keys: str, inflate: bool = True, limit: int
     """
     names = [k.split(".")[-1] for k in keys]
     rows = converted.select(*keys, F.col("decoded.pdf").alias("_pdf"), F.explode("decoded.streams").alias("_s"))
-    rows = rows.select(*names, "_s.idx", "_s.number", "_s.generation", "_s.flate", piece(F.col("_pdf"), F.col("_s.start"), F.col("_s.end") - F.col("_s.start")).alias("raw"))
+    rows = rows.select(*names, "_s.idx", "_s.number", "_s.generation", "_s.flate", "_s.boundary", piece(F.col("_pdf"), F.col("_s.start"), F.col("_s.end") - F.col("_s.start")).alias("raw"))
     return rows.withColumn("_i", inflated(F.when(F.col("flate"), F.col("raw")), limit)).select("*", "_i.data", "_i.reason").drop("_i") if inflate else rows

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codicil import queries_files, synth
+from codicil import queries_files, queries_more, synth
 from codicil.functions import bytesx
 from codicil.operators import evidence, idioms, report, roles, sections, streams
 from codicil.plans import convert as plan
@@ -211,7 +211,7 @@ QUERIES = {
     "sections": section_rows, "roles_scrambled": roles_scrambled, "roles_ranked": roles_ranked, "streams": conversation_payloads, "payload_attribution": payload_attribution,
     "verify_counts": verify_counts, "wrong_mode_detected": wrong_mode_detected, "mode_sweep": mode_sweep, "status_by_source": status_by_source, "length_mismatch": length_mismatch, "encrypt_patch": encrypt_patch,
     "digest": digest, "hex_round_trip": hex_round_trip, "output_plan": output_plan, "asof_events": asof_events, "interval_anti": interval_anti, "first_match_join": first_match_join, "semi_join_keys": semi_join_keys,
-    "repeated_texts": repeated_texts, "argmax_last": argmax_last, "adjacent_status": adjacent_status, "first_five": first_five, "conditional_counts": conditional_counts, "classified": classified, "pivot_counts": pivot_counts, **queries_files.QUERIES,
+    "repeated_texts": repeated_texts, "argmax_last": argmax_last, "adjacent_status": adjacent_status, "first_five": first_five, "conditional_counts": conditional_counts, "classified": classified, "pivot_counts": pivot_counts, **queries_files.QUERIES, **queries_more.QUERIES,
 }
 
 _TURNS = "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS idx, text FROM conversations"
@@ -256,5 +256,5 @@ ORACLES = {
     "classified": """SELECT s_suppkey AS number, CASE WHEN s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49) THEN 'page'
         WHEN s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 48) THEN 'font' ELSE 'misc' END AS class FROM supplier""",
     "pivot_counts": "SELECT l_linestatus, " + ", ".join(f"nullif(count(*) FILTER (l_returnflag = '{f}'), 0) AS {f}" for f in "ANR") + " FROM lineitem GROUP BY l_linestatus",
-    **queries_files.ORACLES,
+    **queries_files.ORACLES, **queries_more.ORACLES,
 }

@@ -52,13 +52,13 @@ def _folder(spark: SparkSession) -> str:
 
 
 def file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers written as files, listed, read, converted, written to planned outputs, and read again."""
+    """Containers with keys of their own written as files, listed, read, converted by declared lengths, written to planned outputs, and read again."""
     folder = _folder(spark)
     sealed = synth.sealed(_dealt(spark, sf_dir), F.array("text"), _mode(), plain_blocks=True, key=own_key())
     sink.write_files(sealed.select(F.concat(F.lit(f"{folder}/"), F.col("doc_id").cast("string"), F.lit(".v1.ceb")).alias("path"), "content"))
     found = files.read(spark, folder, pattern="*.ceb").withColumn("path", outputs.normal(F.col("path")))
     planned = outputs.refuse_unsafe(outputs.plan(found.select("path")))
-    done = files.with_size_errors(plan.convert(found)).join(planned, "path")
+    done = files.with_size_errors(plan.convert(found, bounds="length")).join(planned, "path")
     sink.write_documents(done)
     pdfs = files.read(spark, folder, pattern="*.pdf").select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("content").alias("pdf"))
     rows = streams.streams(pdfs).join(pdfs, "file")
@@ -72,8 +72,8 @@ def file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def own_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A key for each container."""
-    out = plan.convert(synth.sealed(_dealt(spark, sf_dir), F.array("text"), _mode(), key=own_key()))
+    """A key for each container. Some payloads begin with what looks like a line end once they are encrypted, so lengths tell where they begin."""
+    out = plan.convert(synth.sealed(_dealt(spark, sf_dir), F.array("text"), _mode(), key=own_key()), bounds="length")
     return plan.payloads(out, "doc_id", "code").select("doc_id", "code", F.decode("data", "UTF-8").alias("text"))
 
 

@@ -67,14 +67,14 @@ def wrap(document: bytes, ranges: list[tuple[int, int]], encrypted: list[bytes],
     return container(list(zip(types, parts, strict=True)), **options)
 
 
-def _sealer(plain_blocks: bool, wrong_types: bool):
+def _sealer(plain_blocks: bool, wrong_types: bool, flate: bool):
     types = (2, 7, 1, 34) if wrong_types else (3, 4, 5, 16)
 
     def run(payloads: pa.Array, modes: pa.Array, shift: pa.Array, keys: pa.Array, blobs: pa.Array, flags: pa.Array) -> pa.Array:
         rows, parts = [], {}
         for texts, mode, more, key in zip(payloads.to_pylist(), modes.to_pylist(), shift.to_pylist(), keys.to_pylist(), strict=True):
-            packed = [stored(t or b"") if plain_blocks else zlib.compress(t or b"", 6) for t in texts or []]
-            document, ranges = pdf(packed, [len(p) + more for p in packed] if more else None)
+            packed = [t or b"" for t in texts or []] if not flate else [stored(t or b"") if plain_blocks else zlib.compress(t or b"", 6) for t in texts or []]
+            document, ranges = pdf(packed, [len(p) + more for p in packed] if more else None, flate=flate)
             rows.append((document, ranges, mode, key))
             parts.setdefault((mode, key), []).extend(document[s:e] for s, e in ranges)
         # The payloads of a batch that share a key are encrypted together.
@@ -96,16 +96,16 @@ def _sealer(plain_blocks: bool, wrong_types: bool):
 
 
 def sealed(
-    rows: DataFrame, payloads: Column, mode: Column | str, shift: Column | int = 0, plain_blocks: bool = False, wrong_types: bool = False, key: Column | bytes = KEY, blob: Column | None = None, flags: Column | int = 0
+    rows: DataFrame, payloads: Column, mode: Column | str, shift: Column | int = 0, plain_blocks: bool = False, wrong_types: bool = False, key: Column | bytes = KEY, blob: Column | None = None, flags: Column | int = 0, flate: bool = True
 ) -> DataFrame:
     """rows with a container `content` of the payloads (array of strings or binaries), and `length`.
 
     shift is added to the declared lengths; plain_blocks stores instead of deflating;
     wrong_types gives every section a type code that is not its role's. key is each
     container's key of 24 bytes, blob what stands in its place, flags are added to the
-    algorithm id.
+    algorithm id. flate=False takes payloads as they are.
     """
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
     blob = F.lit(None).cast("binary") if blob is None else blob
-    content = _sealer(plain_blocks, wrong_types)(payloads.cast("array<binary>"), as_column(mode), as_column(shift).cast("int"), as_column(key), blob, as_column(flags).cast("bigint"))
+    content = _sealer(plain_blocks, wrong_types, flate)(payloads.cast("array<binary>"), as_column(mode), as_column(shift).cast("int"), as_column(key), blob, as_column(flags).cast("bigint"))
     return rows.withColumn("content", content).withColumn("length", F.length("content").cast("bigint"))
