@@ -229,3 +229,34 @@ def object_streams(pdf: bytes) -> list[tuple[int, int, int, bytes]]:
         start = _LINE_ENDS.match(pdf, keyword + len(OPEN)).end()
         out.append((int(m[1]), start, pdf.find(CLOSE, start) - start, pdf[m.end() : keyword]))
     return out
+
+
+_NAME = re.compile(rb"/([^\x00\t\n\x0c\r ()<>\[\]{}/%]+)" + SPACE + rb"*(\[?)")
+_ONE = re.compile(SPACE + rb"*([0-9]+)" + SPACE + rb"+([0-9]+)" + SPACE + rb"+R(?![A-Za-z0-9])")
+
+
+def references(dictionary: bytes) -> list[tuple[str, int, int]]:
+    """(name, number, generation) of each reference that a name has as its value or in its list."""
+    out = []
+    for m in _NAME.finditer(dictionary):
+        at, name = m.end(), m[1].decode("latin-1")
+        while found := _ONE.match(dictionary, at):
+            number, generation = _number(found[1], 32), _number(found[2], 16)
+            if number is not None and generation is not None:
+                out.append((name, number, generation))
+            at = found.end()
+            if not m[2]:
+                break
+    return out
+
+
+def dictionaries(pdf: bytes) -> dict[int, bytes]:
+    """What each object has before its stream or end, by the object's number; of several definitions the last."""
+    payloads = payload_ranges(pdf)
+    keywords, out = [k for k, _, _ in payloads], {}
+    for end, number, _ in live_headers(pdf, [(s, e) for _, s, e in payloads]):
+        closed = pdf.find(b"endobj", end)
+        k = bisect_right(keywords, end)
+        stop = min(keywords[k] if k < len(keywords) else len(pdf), closed if closed >= 0 else len(pdf))
+        out[number] = pdf[end:stop]
+    return out

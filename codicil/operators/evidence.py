@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +43,79 @@ def mode_sweep(payloads: DataFrame, candidates: DataFrame) -> DataFrame:
     return tried.withColumn("size", inflated_size(F.col("raw"), F.col("key"), F.col("mode"), F.col("chunk"))).groupBy("mode", "chunk").agg(F.count(F.lit(1)).alias("tried"), F.count("size").alias("inflating"))
 
 
+#: Bytes of a payload that are looked at first; each further look takes eight times as many.
+_LOOKS = (8, 64)
+
+
+def eliminated(data: bytes, key: bytes, modes: tuple[str, ...], chunks: tuple[int, ...]) -> tuple[dict[tuple[str, int], int | None], int]:
+    """Inflated size for each mode and chunk, as trying each on the whole payload gives it; and how many bytes were decrypted.
+
+    A prefix that can't begin a zlib stream rules its candidate out, and candidates that
+    decrypt a prefix alike share it, so that most see a few bytes only. A stream that
+    inflates, or fails only at its end, is decrypted whole.
+    """
+    out: dict[tuple[str, int], int | None] = {}
+    spent = 0
+    whole = max(8, -(-len(data) // 8) * 8)
+    for mode in modes:
+        shared: dict[tuple[int, int], bytes] = {}
+
+        def prefix(reset: int, size: int, mode=mode, shared=shared) -> bytes:
+            nonlocal spent
+            at = (min(reset, max(8, -(-size // 8) * 8)), size)
+            if at not in shared:
+                shared[at] = kernels.DECRYPT[mode](key, data[:size], at[0])
+                spent += size
+            return shared[at]
+
+        known: dict[int, int | None] = {}
+        for chunk in chunks:
+            reset = min(chunk, whole)
+            if reset not in known:
+                known[reset] = _looked(len(data), lambda size, reset=reset: prefix(reset, size)) if data else None
+            out[mode, chunk] = known[reset]
+    return out, spent
+
+
+def _looked(total: int, prefix) -> int | None:
+    """Inflated size of a payload of which longer and longer prefixes are read, null as soon as one can't be right."""
+    z, size, done = zlib.decompressobj(), 0, 0
+    look = 0
+    while done < total:
+        upto = min(total, _LOOKS[look] if look < len(_LOOKS) else done * 8)
+        look += 1
+        piece, done = prefix(upto)[done:], upto
+        try:
+            while piece and not z.eof:
+                size += len(z.decompress(piece, 1 << 16))
+                piece = z.unconsumed_tail
+            while not z.eof and (more := z.decompress(b"", 1 << 16)):
+                size += len(more)
+        except zlib.error:
+            return None
+        if z.eof:
+            return size
+    return None
+
+
+def sweep_by_elimination(payloads: DataFrame, modes: tuple[str, ...] = MODES, chunks: tuple[int, ...] = CHUNKS) -> DataFrame:
+    """mode_sweep's rows over payloads (raw, key), and decrypted: the bytes that all payloads took; no payload is read more often than its candidates need."""
+    cells = [(m, c) for m in modes for c in chunks]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tried, hits, spent = 0, [0] * len(cells), 0
+        for batch in batches:
+            for raw, key in zip(batch.column("raw"), batch.column("key"), strict=True):
+                found, bytes_ = eliminated(raw.as_py() or b"", key.as_py(), modes, chunks)
+                tried, spent = tried + 1, spent + bytes_
+                for i, cell in enumerate(cells):
+                    hits[i] += found[cell] is not None
+        yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in cells]), pa.array([c for _, c in cells], pa.int32()), pa.array([tried] * len(cells)), pa.array(hits), pa.array([spent] * len(cells))], ["mode", "chunk", "tried", "inflating", "decrypted"])
+
+    parts = payloads.select("raw", "key").mapInArrow(run, "mode string, chunk int, tried bigint, inflating bigint, decrypted bigint")
+    return parts.groupBy("mode", "chunk").agg(F.sum("tried").alias("tried"), F.sum("inflating").alias("inflating"), F.sum("decrypted").alias("decrypted"))
+
+
 def _first(data: pa.Array, key: pa.Array) -> pa.Array:
     out = []
     for d, k in zip(data.to_pylist(), key.to_pylist(), strict=True):

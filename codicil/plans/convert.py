@@ -70,6 +70,54 @@ def inflated(data: Column, limit: int = LARGEST) -> Column:
     return _inflate(limit)(data)
 
 
+def inflated_pieces(payloads: DataFrame, *keys: str, size: int = 1 << 20) -> DataFrame:
+    """keys, piece (from 0), data, reason: the plain bytes of zlib streams (column raw) in rows of at most `size` bytes.
+
+    For payloads that inflate beyond a row: a worker holds one piece of output at a time.
+    A payload's last row has `reason`: null if the stream was whole, else why it ended;
+    pieces before it are what was inflated till then. A null payload has no row, one that
+    inflates to nothing or to no byte before it fails has one row without data.
+    """
+    import zlib
+    from collections.abc import Iterator
+
+    kinds = {f.name: f for f in payloads.select(*keys).schema}
+    ddl = ", ".join(f"`{k}` {kinds[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                raw = batch.column("raw")[i]
+                if not raw.is_valid:
+                    continue
+                own = [batch.column(k).slice(i, 1) for k in keys]
+                held, piece, reason, z = b"", 0, None, zlib.decompressobj()
+                rest: bytes | memoryview = memoryview(raw.as_buffer())
+
+                def row(data: bytes | None, why: str | None, last: bool, own=own) -> pa.RecordBatch:
+                    return pa.RecordBatch.from_arrays([*own, pa.array([piece], pa.int32()), pa.array([data], pa.binary()), pa.array([why], pa.string()), pa.array([last])], [*keys, "piece", "data", "reason", "last"])
+
+                try:
+                    while not z.eof:
+                        out = z.decompress(rest, size)
+                        rest = z.unconsumed_tail
+                        if not out:
+                            reason = "truncated deflate stream" if len(raw.as_buffer()) else "empty stream"
+                            if not z.eof:
+                                break
+                            reason = None
+                        elif held:
+                            yield row(held, None, False)
+                            piece, held = piece + 1, out
+                        else:
+                            held = out
+                except zlib.error as e:
+                    reason = str(e)
+                yield row(held or None, reason, True)
+
+    return payloads.select(*keys, "raw").mapInArrow(run, f"{ddl}, piece int, data binary, reason string, last boolean")
+
+
 def payloads(converted: DataFrame, *keys: str, inflate: bool = True, limit: int = LARGEST) -> DataFrame:
     """One row a payload: keys, idx, number, generation, flate, boundary, raw, data, reason.
 

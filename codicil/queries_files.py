@@ -204,7 +204,7 @@ def length_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = payloads.where("idx = 0").select("file", "idx", F.lit(2).cast("bigint").alias("number"), F.lit(0).alias("generation"))
     lost = payloads.where("idx = 1").select("file", "idx", F.lit(9).cast("bigint").alias("number"), F.lit(0).alias("generation"))
     found = streams.resolve_references(first.unionByName(lost), live)
-    return found.select(F.col("file").cast("bigint").alias("doc_id"), F.col("idx").cast("long").alias("idx"), "value")
+    return found.select(F.col("file").cast("bigint").alias("doc_id"), F.col("idx").cast("long").alias("idx"), F.col("value").cast("long").alias("value"))
 
 
 def object_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codicil import synth
+from codicil.operators import streams, tablefunctions
 from codicil.plans import convert as plan
-from codicil.queries_files import _N, _dealt
+from codicil.queries_files import _N, _dealt, _table
 
 
 def payload_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,11 +26,54 @@ def payload_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(by_keyword, "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (payload_bounds,)}
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, pdf: a document for each conversation, a stream for each turn."""
+    turns = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    out = plan.convert(synth.sealed(turns.select("conv_id", F.col("t.text").alias("texts")), F.col("texts"), "none", plain_blocks=True), verify=False)
+    return out.select(F.col("conv_id").cast("string").alias("file"), F.col("decoded.pdf").alias("pdf"))
+
+
+def streams_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads and their objects by SQL text with lateral table functions."""
+    tablefunctions.register(spark)
+    view = f"pdfs_{uuid.uuid4().hex[:12]}"
+    _turns(spark, sf_dir).createOrReplaceTempView(view)
+    rows = spark.sql(tablefunctions.STREAMS_SQL.format(pdfs=view))
+    return rows.select(F.col("file").cast("bigint").alias("conv_id"), F.col("idx").cast("long").alias("idx"), (F.col("end") - F.col("start")).alias("size"), "number", F.col("generation").cast("long").alias("generation"))
+
+
+def payload_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same function with columns that its arguments add: declared lengths, and whether they agree."""
+    tablefunctions.register(spark)
+    view = f"pdfs_{uuid.uuid4().hex[:12]}"
+    _turns(spark, sf_dir).createOrReplaceTempView(view)
+    rows = spark.sql(f"SELECT f.file, p.* FROM {view} f, LATERAL pdf_payloads(f.pdf, detail => true, bounds => 'length') p")
+    return rows.select(F.col("file").cast("bigint").alias("conv_id"), F.col("idx").cast("long").alias("idx"), "number", F.col("declared").cast("long").alias("declared"), "agrees", F.contains("dict", F.lit(b"/FlateDecode")).alias("flate"))
+
+
+def one_file_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the headers and line items as the payloads of one long document, attributed by the prefix scan in spans."""
+    orders = _table(spark, sf_dir, "orders").select(F.lit("all").alias("file"), (F.col("o_orderkey") * 100).alias("at"), F.col("o_orderkey").alias("number"), F.lit(0).alias("generation"))
+    place = F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10 - 35
+    items = _table(spark, sf_dir, "lineitem").select(F.lit("all").alias("file"), F.col("l_linenumber").cast("int").alias("idx"), place.alias("keyword"), (place + 1).alias("start"), (place + 5).alias("end"))
+    rows = streams.attribute(items, orders, span=1 << 14)
+    return rows.select(F.col("dict_end").alias("keyword"), F.col("idx").cast("long").alias("idx"), "number")
+
+
+QUERIES = {f.__name__: f for f in (payload_bounds, streams_sql, payload_details, one_file_attribution)}
+
+_TURN_N = "octet_length(encode(coalesce(text, '')))"
+_TURN_STORED = f"(6 + 5 * greatest(1, cast(ceil({_TURN_N} / 65535.0) AS BIGINT)) + {_TURN_N})"
 
 ORACLES = {
     "payload_bounds": f"""SELECT doc_id, 0 AS code, 0 AS idx, CASE WHEN k IN (1, 2) THEN 'length' ELSE 'keyword' END AS boundary, strlen(p) AS stream_bytes, sha256(p) AS sha256,
         CAST(CASE WHEN k = 3 THEN 2 ELSE 1 END AS BIGINT) AS keyword_payloads, CASE k WHEN 1 THEN strlen(p) - 1 WHEN 2 THEN strlen(p) - 4 WHEN 3 THEN 2 * {_N} + 4 ELSE strlen(p) END AS keyword_bytes
         FROM (SELECT doc_id, text, doc_id % 4 AS k, CASE doc_id % 4 WHEN 1 THEN chr(10) || t WHEN 2 THEN chr(13) || chr(10) || chr(13) || chr(10) || t
             WHEN 3 THEN t || replace('|endstream|endobj|7 0 obj|stream|', '|', chr(10)) || t ELSE t END || chr(13) AS p FROM (SELECT doc_id, text, 'x' || coalesce(text, '') AS t FROM documents))""",
+    "streams_sql": f"""SELECT conv_id, row_number() OVER w - 1 AS idx, {_TURN_STORED} + 1 AS size, row_number() OVER w AS number, CAST(0 AS BIGINT) AS generation
+        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text)""",
+    "payload_details": f"""SELECT conv_id, row_number() OVER w - 1 AS idx, row_number() OVER w AS number, {_TURN_STORED} AS declared, true AS agrees, true AS flate
+        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text)""",
+    "one_file_attribution": """SELECT i.keyword, i.idx, o.number FROM (SELECT l_orderkey * 100 + l_linenumber * 10 - 35 AS keyword, CAST(l_linenumber AS BIGINT) AS idx FROM lineitem) i
+        ASOF LEFT JOIN (SELECT o_orderkey * 100 AS at, o_orderkey AS number FROM orders) o ON i.keyword >= o.at""",
 }
