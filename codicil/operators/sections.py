@@ -38,17 +38,18 @@ def no_error() -> Column:
     return F.lit(None).cast("struct<code:string,message:string>")
 
 
-def parse(files: DataFrame, content: str = "content") -> DataFrame:
+def parse(files: DataFrame, content: str = "content", size: str | None = None) -> DataFrame:
     """Adds file_size, version, label, count, sections, parse_notes, error to files with a binary column.
 
     `error` is a struct (code, message), null for a container that can be read; the
     first failing check names it: magic, header length, version, count, table length,
     no usable entry. Entries that end past the file are dropped with a note, empty
-    ones kept. Null content is an empty file.
+    ones kept. Null content is an empty file. size names a column with the file's length
+    where content has its first bytes only.
     """
     c = F.coalesce(F.col(content), F.lit(b""))
     head = HEADER + ENTRY * (COUNT_LIMIT - 1)
-    df = files.withColumn("_h", F.hex(F.substring(c, 1, head))).withColumn("file_size", F.length(c).cast("bigint"))
+    df = files.withColumn("_h", F.hex(F.substring(c, 1, head))).withColumn("file_size", F.length(c).cast("bigint") if size is None else F.col(size).cast("bigint"))
     df = df.withColumn("_raw", F.regexp_extract(F.decode(F.substring(c, 13, 8), "ISO-8859-1"), "^[^\\x00]*", 0))
     df = df.withColumn("_numeric", F.expr("substr(_h, 23, 2) = '00'")).withColumn("_v", F.expr(le_hex("_h", "14", 2))).withColumn("count", F.expr(le_hex("_h", "20", 2)).cast("int"))
     entry = (
@@ -129,6 +130,11 @@ def gaps(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("next_offset", F.lead("offset").over(order)).where("end <> next_offset").select(key, "idx", "end", "next_offset")
 
 
+def small_of_type(ty: int, small: str = "small") -> Column:
+    """The same of sections that were read by themselves (idx, ty, offset, data)."""
+    return F.expr(f"get(filter({small}, s -> s.ty = {ty}), 0).data")
+
+
 def raw_of_type(ty: int, content: str = "content", unclaimed_only: bool = False) -> Column:
     """Bytes of the first section with a type code. unclaimed_only passes over sections that have a role."""
     claimed = " AND NOT array_contains(array(body.idx, body_key.idx, key_blob.idx, algorithm.idx), s.idx)" if unclaimed_only else ""

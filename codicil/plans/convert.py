@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codicil.functions.bytesx import piece
+from codicil.functions.bytesx import le_uint, piece
 from codicil.operators import decode, report, roles, sections
 
 
@@ -15,6 +15,13 @@ def inspect(files: DataFrame) -> DataFrame:
     return roles.resolve(sections.parse(files))
 
 
+def inspect_heads(heads: DataFrame) -> DataFrame:
+    """The same of files of which header, table and small sections were read (sources.containers.heads), with algorithm_id and key from them."""
+    found = roles.resolve(sections.parse(heads, "head", "length"))
+    own = lambda role: F.expr(f"get(filter(small, s -> s.idx = {role}.idx), 0).data")
+    return found.withColumn("algorithm_id", F.when(F.col("error").isNull(), F.coalesce(le_uint(own("algorithm")), F.lit(0)))).withColumn("key", own("body_key"))
+
+
 def convert(files: DataFrame, strategy: str | decode.Factory | None = None, verify: bool = True, exact_name: bool = False, bounds: str = "keyword") -> DataFrame:
     """files (path, content, ...) with report columns and `decoded.pdf`; a file that can't be read has `error` instead.
 

@@ -96,6 +96,13 @@ def mode_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.mode_sweep(raw, evidence.grid(spark)).select("mode", F.col("chunk").cast("long").alias("chunk"), "tried", "inflating")
 
 
+def sweep_by_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counts, with candidates ruled out by prefixes of payloads."""
+    out = plan.convert(_documents(spark, sf_dir, "cfb64", plain_blocks=True), strategy="none", verify=False)
+    raw = plan.payloads(out, "doc_id", inflate=False).where("flate").select("raw", F.lit(synth.KEY).alias("key"))
+    return evidence.sweep_by_elimination(raw).select("mode", F.col("chunk").cast("long").alias("chunk"), "tried", "inflating")
+
+
 def status_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = plan.convert(_documents(spark, sf_dir, "ofb", shift=F.expr("if(doc_id % 7 = 0, 5, 0)")))
     return report.exit_codes(out, "source")
@@ -211,7 +218,7 @@ QUERIES = {
     "sections": section_rows, "roles_scrambled": roles_scrambled, "roles_ranked": roles_ranked, "streams": conversation_payloads, "payload_attribution": payload_attribution,
     "verify_counts": verify_counts, "wrong_mode_detected": wrong_mode_detected, "mode_sweep": mode_sweep, "status_by_source": status_by_source, "length_mismatch": length_mismatch, "encrypt_patch": encrypt_patch,
     "digest": digest, "hex_round_trip": hex_round_trip, "output_plan": output_plan, "asof_events": asof_events, "interval_anti": interval_anti, "first_match_join": first_match_join, "semi_join_keys": semi_join_keys,
-    "repeated_texts": repeated_texts, "argmax_last": argmax_last, "adjacent_status": adjacent_status, "first_five": first_five, "conditional_counts": conditional_counts, "classified": classified, "pivot_counts": pivot_counts, **queries_files.QUERIES, **queries_more.QUERIES,
+    "sweep_by_elimination": sweep_by_elimination, "repeated_texts": repeated_texts, "argmax_last": argmax_last, "adjacent_status": adjacent_status, "first_five": first_five, "conditional_counts": conditional_counts, "classified": classified, "pivot_counts": pivot_counts, **queries_files.QUERIES, **queries_more.QUERIES,
 }
 
 _TURNS = "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS idx, text FROM conversations"
@@ -258,3 +265,4 @@ ORACLES = {
     "pivot_counts": "SELECT l_linestatus, " + ", ".join(f"nullif(count(*) FILTER (l_returnflag = '{f}'), 0) AS {f}" for f in "ANR") + " FROM lineitem GROUP BY l_linestatus",
     **queries_files.ORACLES, **queries_more.ORACLES,
 }
+ORACLES["sweep_by_elimination"] = ORACLES["mode_sweep"]

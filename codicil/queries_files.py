@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +10,7 @@ from codicil.functions import bytesx
 from codicil.operators import decode, evidence, plain, report, sections, streams
 from codicil.plans import convert as plan
 from codicil.plans import outputs
-from codicil.sources import files, sink
+from codicil.sources import files, shared, sink, stores
 
 # A key and its wrapped form, a known answer of the format.
 WRAPPED_KEY = bytes.fromhex("a1e7f815671f82812870e2315352f1569a4cb39584f08b03")
@@ -42,13 +37,16 @@ def _mode() -> Column:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder that executors and driver share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = os.path.join((base or tempfile.gettempdir()).removeprefix("file://").removeprefix("file:"), f"files-{uuid.uuid4().hex[:12]}")
-    os.makedirs(path)
-    return path
+    """A new folder that executors and driver share, as files' paths begin."""
+    path = shared.path(spark, "files")
+    store, inner = stores.opened(path)
+    store.make_folder(inner)
+    return inner if stores.on_disk(path) else path
+
+
+def _removed(folder: str) -> None:
+    store, inner = stores.opened(folder)
+    store.remove(inner)
 
 
 def file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +65,7 @@ def file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The files are deleted before the rows leave, so they are held as a table.
     kept = f"{folder}.parquet"
     out.write.parquet(kept)
-    shutil.rmtree(folder)
+    _removed(folder)
     return spark.read.schema(out.schema).parquet(kept)
 
 

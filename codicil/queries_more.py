@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codicil import synth
-from codicil.operators import streams, tablefunctions
+from codicil.operators import graph, streams, tablefunctions
 from codicil.plans import convert as plan
-from codicil.queries_files import _N, _dealt, _table
+from codicil.plans import ledger as plan_ledger
+from codicil.queries_files import _BODY, _N, _dealt, _folder, _mode, _removed, _table, own_key
+from codicil.sources import containers, publish, shared
 
 
 def payload_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +62,88 @@ def one_file_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("dict_end").alias("keyword"), F.col("idx").cast("long").alias("idx"), "number")
 
 
-QUERIES = {f.__name__: f for f in (payload_bounds, streams_sql, payload_details, one_file_attribution)}
+def object_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of documents with pages, contents and a font, by what references reach; every page leads back to the others by /Parent."""
+    k = F.pmod("doc_id", F.lit(4)) + 1
+    text = lambda c: F.encode(c, "UTF-8")
+    pages = F.sequence(F.lit(1), k.cast("int"))
+    kids = F.array_join(F.transform(pages, lambda i: F.concat((i * 10).cast("string"), F.lit(" 0 R"))), " ")
+    page = lambda i: F.concat((i * 10).cast("string"), F.lit(" 0 obj\n<</Parent 2 0 R /Resources 3 0 R /Contents "), (i * 10 + 1).cast("string"), F.lit(" 0 R>>\nendobj\n"), (i * 10 + 1).cast("string"), F.lit(" 0 obj\n<</Length 9>>\nstream\n5 0 obj /Contents 1 0 R\n"), F.coalesce("text", F.lit("")), F.lit("\nendstream\nendobj\n"))
+    pdf = F.concat(
+        F.lit("%PDF-1.4\n1 0 obj\n<</Pages 2 0 R>>\nendobj\n2 0 obj\n<</Kids ["), kids, F.lit("]>>\nendobj\n3 0 obj\n<</Font 4 0 R>>\nendobj\n4 0 obj\n<</FontDescriptor 5 0 R>>\nendobj\n5 0 obj\n<</FontFile2 6 0 R>>\nendobj\n6 0 obj\n<<>>\nstream\nx\nendstream\nendobj\n"),
+        F.array_join(F.transform(pages, page), ""),
+    )
+    rows = graph.classified(_dealt(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file"), text(pdf).alias("pdf")))
+    return rows.select(F.col("file").cast("bigint").alias("doc_id"), "number", "class")
+
+
+def reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What some customers reach where each leads to the one of half its number, and in how many steps."""
+    people = _table(spark, sf_dir, "customer")
+    links = people.select(F.lit("all").alias("file"), F.col("c_custkey").alias("number"), F.expr("c_custkey div 2").alias("target"))
+    rows = graph.reach(links, people.where("c_custkey % 97 = 0").select(F.lit("all").alias("file"), F.col("c_custkey").alias("number")))
+    return rows.select("number", F.col("steps").cast("long").alias("steps"))
+
+
+def payload_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads inflated in pieces of a thousand bytes, and put together again."""
+    out = plan.convert(synth.sealed(_dealt(spark, sf_dir), F.array("text"), "ofb"), verify=False)
+    pieces = plan.inflated_pieces(plan.payloads(out, "doc_id", inflate=False), "doc_id", size=1000)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", F.hex("data").alias("hex")))), lambda x: F.coalesce(x["hex"], F.lit(""))), "")
+    rows = pieces.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.max(F.length("data")).cast("long").alias("longest"), F.sha2(F.unhex(whole), 256).alias("sha256"), F.count("reason").alias("failed"))
+    return rows.select("doc_id", "pieces", F.coalesce("longest", F.lit(0).cast("long")).alias("longest"), "sha256", "failed")
+
+
+def _containers(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """path, content of the documents' containers in a folder, each with its own key."""
+    sealed = synth.sealed(_dealt(spark, sf_dir), F.array("text"), _mode(), plain_blocks=True, key=own_key())
+    return sealed.select(F.concat(F.lit(f"{folder}/"), F.col("doc_id").cast("string"), F.lit(".ceb")).alias("path"), "content", "doc_id")
+
+
+def _id(path: str) -> Column:
+    return F.regexp_extract(path, "([0-9]+)[.][a-z]+$", 1).cast("bigint")
+
+
+def heads_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers inspected by their heads and small sections, and what was read of them."""
+    folder = _folder(spark)
+    publish.write(_containers(spark, sf_dir, folder).select("path", "content"))
+    found = plan.inspect_heads(containers.heads(spark, folder, pattern="*.ceb").where("length > 100"))
+    out = shared.save(found.select(_id("path").alias("doc_id"), "length", F.size("sections").cast("long").alias("n_sections"), "algorithm_id", F.hex("key").alias("key_hex"), "bytes_read"), "heads")
+    _removed(folder)
+    return out
+
+
+def published_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written by manifest; the job is published anew as if the driver had been lost, and changes nothing."""
+    folder, job = _folder(spark), shared.path(spark, "publish")
+    publish.write(_containers(spark, sf_dir, folder).select(F.regexp_replace("path", "([0-9])[.]ceb$", "/$1.ceb").alias("path"), "content", "doc_id"), job=job)
+    shared.delete(spark, f"{job}/{publish.COMMITTED}")
+    publish.recover(spark, job)
+    again = spark.read.parquet(f"{job}/{publish.COMMITTED}").selectExpr("moved AS moved_again", "there")
+    files_ = containers.read(spark, folder, "path", "length").select(F.regexp_replace("path", "/([0-9])[.]ceb$", "$1.ceb").alias("path"), "length")
+    out = shared.save(files_.select(_id("path").alias("doc_id"), "length").crossJoin(F.broadcast(again)), "published")  # one row
+    _removed(folder)
+    return out
+
+
+def ledger_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs over containers of which a third is cut off in the first: later runs take up what failed and what is new alone."""
+    folder = _folder(spark)
+    ledger = f"{shared.path(spark, 'ledger')}"
+    whole = shared.save(_containers(spark, sf_dir, f"{folder}/in"), "containers")
+    cut = whole.withColumn("content", F.when(F.pmod("doc_id", F.lit(3)) == 0, F.substring("content", 1, 60)).otherwise(F.col("content"))).where("pmod(doc_id, 5) <> 0")
+    out = f"{folder}/out"
+    runs = [plan_ledger.run(x.select("path", "content"), ledger, out, name, bounds="length").count() for name, x in (("1", cut), ("2", whole), ("3", whole))]
+    rows = plan_ledger.latest(spark, ledger).select(_id("file").alias("doc_id"), "run", "code", F.lit(runs[2]).alias("third_run"))
+    sizes = containers.read(spark, out, "path", "length").select(_id("path").alias("doc_id"), F.col("length").alias("pdf_bytes"))
+    saved = shared.save(rows.join(sizes, "doc_id", "left").select("doc_id", "run", "code", F.col("third_run").cast("long").alias("third_run"), "pdf_bytes"), "ledger-rows")
+    shared.drop(whole)
+    _removed(folder)
+    return saved
+
+
+QUERIES = {f.__name__: f for f in (payload_bounds, streams_sql, payload_details, one_file_attribution, object_classes, reached, payload_pieces, heads_read, published_files, ledger_runs)}
 
 _TURN_N = "octet_length(encode(coalesce(text, '')))"
 _TURN_STORED = f"(6 + 5 * greatest(1, cast(ceil({_TURN_N} / 65535.0) AS BIGINT)) + {_TURN_N})"
@@ -76,4 +159,13 @@ ORACLES = {
         FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text)""",
     "one_file_attribution": """SELECT i.keyword, i.idx, o.number FROM (SELECT l_orderkey * 100 + l_linenumber * 10 - 35 AS keyword, CAST(l_linenumber AS BIGINT) AS idx FROM lineitem) i
         ASOF LEFT JOIN (SELECT o_orderkey * 100 AS at, o_orderkey AS number FROM orders) o ON i.keyword >= o.at""",
+    "object_classes": """SELECT doc_id, CAST(n AS BIGINT) AS number, c AS class FROM documents, (VALUES (1, 'misc'), (2, 'misc'), (3, 'misc'), (4, 'font'), (5, 'font'), (6, 'font')) AS t(n, c)
+        UNION ALL SELECT doc_id, CAST(10 * i + j AS BIGINT), CASE j WHEN 0 THEN 'misc' ELSE 'page' END FROM documents, range(1, 5) AS p(i), range(0, 2) AS q(j) WHERE i <= doc_id % 4 + 1""",
+    "reached": """WITH RECURSIVE r(number, steps) AS (SELECT c_custkey, CAST(0 AS BIGINT) FROM customer WHERE c_custkey % 97 = 0
+        UNION SELECT c_custkey // 2, steps + 1 FROM r JOIN customer ON c_custkey = number) SELECT number, min(steps) AS steps FROM r GROUP BY number""",
+    "payload_pieces": f"SELECT doc_id, greatest(1, CAST(ceil({_N} / 1000.0) AS BIGINT)) AS pieces, least({_N}, 1000) AS longest, sha256(coalesce(text, '')) AS sha256, CAST(0 AS BIGINT) AS failed FROM documents",
+    "heads_read": f"""SELECT doc_id, 143 + {_BODY} AS length, CAST(4 AS BIGINT) AS n_sections, doc_id % 3 AS algorithm_id, upper(md5(CAST(doc_id AS VARCHAR))) AS key_hex,
+        least(1102, 143 + {_BODY}) + 44 + CASE WHEN {_BODY} <= 4096 THEN {_BODY} ELSE 0 END AS bytes_read FROM documents""",
+    "published_files": f"SELECT doc_id, 143 + {_BODY} AS length, CAST(0 AS BIGINT) AS moved_again, (SELECT count(*) FROM documents) AS there FROM documents",
+    "ledger_runs": f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR doc_id % 5 = 0 THEN '2' ELSE '1' END AS run, 0 AS code, CAST(0 AS BIGINT) AS third_run, {_BODY} AS pdf_bytes FROM documents""",
 }
