@@ -108,8 +108,10 @@ def fit_sources(sources: list[str], layouts: int = LAYOUTS, seed: int = SEED) ->
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE, layouts: int = LAYOUTS, seed: int = SEED) -> Model:
-    short = pages.select("html").where(F.length("html").between(1, SAMPLE_CHARS))
-    rows = short.orderBy(F.xxhash64("html"), "html").limit(sample).collect()
+    short = pages.select(F.col("html").cast("string").alias("html"), F.xxhash64("html").alias("h")).where(F.length("html").between(1, SAMPLE_CHARS))
+    # Hashes first, so that no task sends pages that are not taken; copies of a page count once.
+    least = [r["h"] for r in short.select("h").distinct().orderBy("h").limit(sample).collect()]
+    rows = short.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect() if least else []
     return fit_sources([r["html"] for r in rows], layouts, seed)
 
 
