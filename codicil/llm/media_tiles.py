@@ -174,9 +174,14 @@ def _areas(grey: np.ndarray, height: int, width: int) -> np.ndarray:
     return corners[1:, 1:] - corners[:-1, 1:] - corners[1:, :-1] + corners[:-1, :-1]
 
 
+def _channels(pixels: np.ndarray) -> np.ndarray:
+    """The image as height x width x channels, also if it has no pixels."""
+    return pixels[:, :, None] if pixels.ndim == 2 else pixels
+
+
 def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean over each target pixel's area; of whole numbers the areas are exact."""
-    grey = pixels.reshape(pixels.shape[0], pixels.shape[1], -1)
+    grey = _channels(pixels)
     if not grey.size:
         return np.zeros((height, width, grey.shape[2]))
     return _areas(grey, height, width) / (grey.shape[0] * grey.shape[1])
@@ -184,7 +189,7 @@ def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
 
 def thumbnail(pixels: np.ndarray, top: int = 255) -> np.ndarray:
     """Grey 8 x 9 tile of samples up to `top`, rounded from exact fractions."""
-    grey = pixels.reshape(pixels.shape[0], pixels.shape[1], -1)
+    grey = _channels(pixels)
     if not grey.size:
         return np.zeros(TILE, np.uint8)
     return np.rint(_areas(grey, *TILE).sum(2) * 255 / (top * grey.size)).clip(0, 255).astype(np.uint8)
