@@ -1,7 +1,8 @@
 """Token counts that follow edits without encoding a document again.
 
-A document's text is cut into leaves where two words meet at a single space, which
-is a pre-token boundary whatever stands around it. A segment tree holds the sums
+A document's text is cut into leaves where a run of letters, digits or other signs
+ends, which is a pre-token boundary whatever stands around it, in any script. (A run of
+thousands of letters without any sign is one pre-token to the tokenizer, and one leaf.) A segment tree holds the sums
 of the leaves' characters and tokens. An edit replaces the leaves that it touches
 and one leaf on either side, encodes that region only, and updates the sums above.
 Trees are kept as columns beside the text, so that a later round of edits encodes
@@ -11,11 +12,11 @@ nothing but what it touches.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import public_tokenizers
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -24,7 +25,12 @@ from . import common, pii
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
 LEAF = 512
-_CUT = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
+# Characters whose kind (letter, digit, other) is the same in all versions of Unicode that a tokenizer may be built with.
+_OLD = r"\x21-\u052F\u0590-\u05F2\u0600-\u06FF\u0900-\u0963\u0E01-\u0E3A\u1E00-\u1FFF\u2010-\u2027\u3001-\u3029\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3\uFF01-\uFF5E"
+#: Where a run of letters, of digits or of other signs ends: the tokenizer's pattern ends a pre-token there, whatever stands around. Not after an apostrophe, which may begin a contraction, nor after white space.
+_CUT = regex.compile(
+    rf"(?<=[{_OLD}--\s])(?=[{_OLD}\s])(?:(?<=\p{{L}})(?!\p{{L}})|(?<=\p{{N}})(?!\p{{N}})|(?<=[^\s\p{{L}}\p{{N}}'])(?=[\s\p{{L}}\p{{N}}]))", regex.V1
+)
 Edit = tuple[int, int, str]
 
 _encodings: dict[tuple[str, str], object] = {}

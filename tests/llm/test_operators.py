@@ -338,3 +338,42 @@ def test_secrets(spark):
     assert got[1]["spans"] == f"secret:7:{7 + len(key)}" and got[1]["n_private"] == 1 and got[1]["base"] == ""
     assert got[2]["n_secret"] == 0 and got[2]["n_email"] == 1 and got[3]["n_private"] == 0
     assert {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}[1].startswith('key = "<SECRET>" and ab1ab1')
+
+
+def test_images_without_pixels_are_black_tiles(spark):
+    r = random.Random(4)
+    heads = [b"P1 3 0", b"P1 0 0\n", b"P2 0 2 9", b"P3 2 0 255 ", b"P4 0 3", b"P4 0 3\n", b"P4 3 0\n", b"P5 0 0 255", b"P5 5 0 255", b"P6 0 5 255\n", b"P5 0 1 65535\n"]
+    noise = [bytes(r.choice(b"P1234567 \n#0259BM\xff\x00") for _ in range(r.randrange(24))) for _ in range(600)]
+    noise += [b"P%d %d %d %d\n" % (r.randrange(1, 7), r.randrange(3), r.randrange(3), r.choice([0, 1, 9, 255, 256, 70000])) + r.randbytes(r.randrange(30)) for _ in range(600)]
+    bmp = bytearray(media_tiles.encode_bmp(np.zeros((2, 2, 3), np.uint8)))
+    for _ in range(600):
+        own = bytearray(bmp)
+        for _ in range(r.randrange(1, 4)):
+            own[r.randrange(len(own))] = r.choice([0, 1, 2, 4, 8, 255])
+        noise.append(bytes(own))
+    rows = [(i, bytearray(x)) for i, x in enumerate([*heads, *noise])]
+    got = {x["media_id"]: x for x in media_tiles.tiles(spark.createDataFrame(rows, "media_id long, content binary"), 2, 2).collect()}
+    assert len(got) == len(rows)
+    for i in range(len(heads)):
+        assert got[i]["error"] is None and not media_tiles.from_npy(bytes(got[i]["tile"])).any() and got[i]["dhash"] == "0" * 16, heads[i]
+    assert all((x["tile"] is None) == (x["error"] is not None) for x in got.values())
+
+
+@pytest.mark.parametrize("kind", ["chinese", "code", "commas", "digits", "signs"])
+def test_one_edit_encodes_little_in_any_script(kind):
+    r = random.Random(6)
+    unit = {
+        "chinese": lambda: "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(r.randrange(3, 20))) + r.choice("，。；"), "code": lambda: r.choice(["snake_case_name", "x+=1;", "foo(bar)", "_"]),
+        "commas": lambda: r.choice(["one", "two"]) + ",\n", "digits": lambda: str(r.randrange(10**9)) + r.choice("|/"), "signs": lambda: r.choice(["'s", "don't", "--", "e\u0301", "\u0939\u093f", " ", "  \n", "a'"]),
+    }[kind]
+    text = "".join(unit() for _ in range(15_000))
+    code = edit_counts.encoding()
+    count = lambda x: len(code.encode_ordinary(x))
+    assert sum(map(count, edit_counts.cut(text))) == count(text)
+    tree = edit_counts.TokenTree(text, count)
+    for _ in range(12):
+        tree.encoded, at = 0, r.randrange(len(text))
+        new, end = unit() if r.random() < 0.6 else "", at + r.randrange(12)
+        tree.edit(at, end, new)
+        text = text[:at] + new + text[end:]
+        assert tree.text == text and tree.total == count(text) and tree.encoded < len(text) * 0.05
