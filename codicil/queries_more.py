@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codicil import synth
-from codicil.operators import graph, streams, tablefunctions
+from codicil.functions import bytesx
+from codicil.operators import decode, graph, plain, streams, tablefunctions
 from codicil.plans import convert as plan
 from codicil.plans import ledger as plan_ledger
-from codicil.queries_files import _BODY, _N, _dealt, _folder, _mode, _removed, _table, own_key
+from codicil.queries_files import _BODY, _N, _STORED, BLOB, WRAPPED_KEY, _dealt, _folder, _mode, _removed, _table, own_key
 from codicil.sources import containers, publish, shared
 
 
@@ -143,7 +144,68 @@ def ledger_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return saved
 
 
-QUERIES = {f.__name__: f for f in (payload_bounds, streams_sql, payload_details, one_file_attribution, object_classes, reached, payload_pieces, heads_read, published_files, ledger_runs)}
+def plain_ciphers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second reader on both ciphers, with keys as they are and wrapped: benchmark items."""
+    items = _table(spark, sf_dir, "benchmark").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    mode = F.when(F.pmod("item_id", F.lit(2)) == 0, "ofb").otherwise("cfb64")
+    blob = F.when(F.pmod("item_id", F.lit(3)) == 0, F.lit(BLOB)).otherwise(F.lit(WRAPPED_KEY))
+    pdfs = plain.convert(synth.sealed(items, F.array("text"), mode, key=F.lit(WRAPPED_KEY), blob=blob), "item_id").select(F.col("item_id").cast("string").alias("file"), "pdf")
+    rows = streams.streams(pdfs).join(pdfs, "file")
+    inflated = plan.inflated(bytesx.piece(F.col("pdf"), F.col("start"), F.col("end") - F.col("start")))
+    return rows.select(F.col("file").cast("bigint").alias("item_id"), F.sha2(inflated["data"], 256).alias("sha256"), bytesx.has(F.col("pdf"), b"/Encrypt").alias("locked"))
+
+
+class Raised(decode.Strategy):
+    """Capitals for small letters, where a payload's object, dictionary and key are what they should be."""
+
+    name = "capitals"
+
+    def __init__(self, key: bytes):
+        self.key = key
+
+    def decrypt(self, info: decode.StreamInfo, data: bytes) -> bytes:
+        known = info.number == info.index + 1 and info.generation == 0 and info.dict_has(b"/Length") and not info.dict_has(b"/Filter") and info.file_key == self.key == synth.KEY and info.size == len(data)
+        return data.upper() if known else data
+
+
+def custom_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads decoded by a strategy of the caller's, which sees each one's object, dictionary and key."""
+    payload = lambda tag: F.concat(F.lit(tag), F.coalesce("text", F.lit("")))
+    sealed = synth.sealed(_dealt(spark, sf_dir), F.array(payload("a"), payload("b")), "none", flate=False)
+    rows = plan.payloads(plan.convert(sealed, strategy=Raised), "doc_id", "decoded.strategy", "decoded.key_source", inflate=False)
+    return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), "strategy", "key_source", F.sha2("raw", 256).alias("sha256"))
+
+
+def complaint_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said of declared lengths that are wrong and of bytes behind the last section, in order."""
+    sealed = synth.sealed(_dealt(spark, sf_dir), F.array("text"), "ofb", shift=F.expr("if(doc_id % 7 = 0, 5, 0)"), plain_blocks=True)
+    tailed = sealed.withColumn("content", F.when(F.pmod("doc_id", F.lit(5)) == 0, F.concat("content", F.lit(b"tail"))).otherwise(F.col("content")))
+    out = plan.convert(tailed)
+    return out.select("doc_id", "code", "clean", F.array_join("complaints", "\n").alias("complaints"))
+
+
+def font_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that name fonts, with and without a font inside."""
+    k = F.pmod("doc_id", F.lit(4))
+    payload = F.concat(F.when(k > 0, "/BaseFont /Some ").otherwise(""), F.when(k == 3, "/FontFile2 1 0 R ").otherwise(""), F.coalesce("text", F.lit("")))
+    out = plan.convert(synth.sealed(_dealt(spark, sf_dir), F.array(payload), "none", flate=False))
+    return out.select("doc_id", F.col("decoded.check.fonts_external").alias("external"), F.size("notes").cast("long").alias("n_notes"))
+
+
+def odd_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections without bytes, which stay in the table, and sections that begin inside it, which is noted."""
+    sealed = synth.sealed(_dealt(spark, sf_dir), F.array("text"), "none", plain_blocks=True)
+    third = 31 + 17 * 2
+    empty = F.overlay("content", F.lit(bytes(4)), third + 4 + 1, 4)
+    early = F.overlay("content", F.lit(b"\x32\x00\x00\x00"), third + 1, 4)
+    changed = F.when(F.pmod("doc_id", F.lit(3)) == 0, empty).when(F.pmod("doc_id", F.lit(3)) == 1, early).otherwise(F.col("content"))
+    out = plan.convert(sealed.withColumn("content", changed))
+    return out.select(
+        "doc_id", F.size("sections").cast("long").alias("n_sections"), F.expr("size(filter(sections, s -> s.len = 0))").cast("long").alias("empty"), F.array_join("parse_notes", "; ").alias("notes"), F.size("layout_complaints").cast("long").alias("n_complaints"), F.col("error").isNull().alias("converted")
+    )
+
+
+QUERIES = {f.__name__: f for f in (payload_bounds, streams_sql, payload_details, one_file_attribution, object_classes, reached, payload_pieces, heads_read, published_files, ledger_runs, plain_ciphers, custom_strategy, complaint_texts, font_notes, odd_sections)}
 
 _TURN_N = "octet_length(encode(coalesce(text, '')))"
 _TURN_STORED = f"(6 + 5 * greatest(1, cast(ceil({_TURN_N} / 65535.0) AS BIGINT)) + {_TURN_N})"
@@ -168,4 +230,15 @@ ORACLES = {
         least(1102, 143 + {_BODY}) + 44 + CASE WHEN {_BODY} <= 4096 THEN {_BODY} ELSE 0 END AS bytes_read FROM documents""",
     "published_files": f"SELECT doc_id, 143 + {_BODY} AS length, CAST(0 AS BIGINT) AS moved_again, (SELECT count(*) FROM documents) AS there FROM documents",
     "ledger_runs": f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR doc_id % 5 = 0 THEN '2' ELSE '1' END AS run, 0 AS code, CAST(0 AS BIGINT) AS third_run, {_BODY} AS pdf_bytes FROM documents""",
+    "plain_ciphers": "SELECT item_id, sha256(text) AS sha256, false AS locked FROM benchmark",
+    "custom_strategy": """SELECT doc_id, CAST(i AS BIGINT) AS idx, 'capitals' AS strategy, 'direct' AS key_source,
+        sha256(translate(['a', 'b'][i + 1] || coalesce(text, '') || chr(13), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')) AS sha256 FROM documents, range(0, 2) AS r(i)""",
+    "complaint_texts": f"""SELECT doc_id, CASE WHEN said = '' THEN 0 ELSE 3 END AS code, said = '' AS clean, said AS complaints FROM (SELECT doc_id, array_to_string(list_filter([
+        CASE WHEN doc_id % 5 = 0 THEN 'the last section ends at ' || (143 + {_BODY.replace(_STORED, 's')} + g) || ', the file at ' || (147 + {_BODY.replace(_STORED, 's')} + g) END,
+        CASE WHEN doc_id % 7 = 0 THEN '1 payload(s) differ in length from their /Length: the keyword scan cut them elsewhere' END,
+        CASE WHEN doc_id % 7 = 0 THEN '  payload 0 (object 1 0): ' || (n + 5) || ' bytes declared, ' || (n + 1) || ' found' END], lambda x: x IS NOT NULL), chr(10)) AS said
+        FROM (SELECT doc_id, {_STORED} AS n, length(CAST({_STORED} + CASE WHEN doc_id % 7 = 0 THEN 5 ELSE 0 END AS VARCHAR)) - length(CAST({_STORED} AS VARCHAR)) AS g, {_STORED} AS s FROM documents))""",
+    "font_notes": "SELECT doc_id, doc_id % 4 IN (1, 2) AS external, CAST(CASE WHEN doc_id % 4 IN (1, 2) THEN 1 ELSE 0 END AS BIGINT) AS n_notes FROM documents",
+    "odd_sections": """SELECT doc_id, CAST(4 AS BIGINT) AS n_sections, CAST(CASE WHEN k = 0 THEN 1 ELSE 0 END AS BIGINT) AS empty, CASE WHEN k = 1 THEN 'section data begins at 50, inside the header and table of 99 bytes: the last type byte is data' ELSE '' END AS notes,
+        CAST([1, 2, 0][k + 1] AS BIGINT) AS n_complaints, true AS converted FROM (SELECT doc_id, doc_id % 3 AS k FROM documents)""",
 }
