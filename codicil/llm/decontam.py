@@ -28,37 +28,69 @@ SHINGLE = 5
 BLOCK_BYTES = 8 << 20
 
 
-def _words(text: bytes) -> list[bytes]:
-    data = np.frombuffer(text, np.uint8)
-    starts, ends, _ = textscan.words(data, np.array([0, len(data)]), textscan.NOT_ALNUM)
-    low = textscan.LOWER[data].tobytes() if len(data) else b""
-    return [low[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    data = np.frombuffer(b" ".join(words), np.uint8)
-    starts, ends, _ = textscan.words(data, np.array([0, len(data)]), textscan.NOT_ALNUM)
-    return textscan.word_hashes(data, starts, ends, False)
-
-
 class Windows:
-    """All windows of a block of items: distinct word sequences and the items that have them."""
+    """All windows of a block of items, as places in its words: distinct word sequences and the items that have them.
+
+    Everything is an array over the block's words or windows; no window's text is copied.
+    """
 
     def __init__(self, items: list[tuple[object, bytes]], window: int = WINDOW, shingle: int = SHINGLE):
-        owners: dict[bytes, set[str]] = defaultdict(set)
-        for item, text in items:
-            words = _words(text)
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                owners[b" ".join(words[i : i + window])].add("" if item is None else str(item))
-        self.texts = sorted(owners)
-        self.owners = [sorted(owners[t]) for t in self.texts]
-        self.lengths = [t.count(b" ") + 1 for t in self.texts]
-        self.shingles = [(min(shingle, n), textscan.runs(_hashes(t.split(b" ")), min(shingle, n))) for t, n in zip(self.texts, self.lengths, strict=True)]
+        raw = np.frombuffer(b"".join(t for _, t in items), np.uint8)
+        offsets = np.cumsum([0, *(len(t) for _, t in items)])
+        starts, ends, bounds = textscan.words(raw, offsets, textscan.NOT_ALNUM)
+        hashes = textscan.word_hashes(raw, starts, ends, True)
+        low = textscan.LOWER[raw].tobytes()
+        #: The words, one space apart, and where each begins and ends.
+        self.words = b" ".join(low[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True))
+        sizes = ends - starts
+        self.begin = np.cumsum(sizes + 1) - sizes - 1
+        self.end = self.begin + sizes
+        self.names = ["" if item is None else str(item) for item, _ in items]
+        counts = np.diff(bounds)
+        lengths = np.minimum(counts, window)
+        per_item = np.where(counts > 0, counts - lengths + 1, 0)
+        owner = np.repeat(np.arange(len(items)), per_item)
+        first = np.arange(per_item.sum()) - np.repeat(np.cumsum(per_item) - per_item, per_item) + bounds[:-1][owner]
+        length = lengths[owner]
+        keys = np.zeros(len(first), np.uint64)
+        for n in np.unique(length):
+            own = length == n
+            keys[own] = textscan.runs(hashes, int(n))[first[own]]
+        order = np.lexsort((owner, keys, length))
+        kind = self._kinds(first, length, keys, order)
+        #: Of each distinct window: its first word and length; and the items that have it, window by window.
+        new = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]])) if len(kind) else np.empty(0, np.int64)
+        self.first, self.length = first[order][new], length[order][new]
+        self.owner_from, self.owner = np.append(new, len(order)), owner[order]
+        #: Windows of each size of shingle and number of shingles, with these.
+        self.shingles: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for n in np.unique(self.length):
+            k, own = min(shingle, int(n)), np.flatnonzero(self.length == n)
+            at = self.first[own][:, None] + np.arange(int(n) - k + 1)
+            self.shingles.append((k, own, textscan.runs(hashes, k)[at]))
+
+    def text(self, first: int, length: int) -> bytes:
+        return self.words[self.begin[first] : self.end[first + length - 1]]
+
+    def _kinds(self, first: np.ndarray, length: np.ndarray, keys: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """A number for each window in order, the same for the same words; windows of one hash are compared by their words."""
+        if not len(order):
+            return np.empty(0, np.int64)
+        new = np.concatenate([[True], (np.diff(keys[order]) != 0) | (np.diff(length[order]) != 0)])
+        cuts = np.append(np.flatnonzero(new), len(order))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a > 1:
+                texts = [self.text(int(first[i]), int(length[i])) for i in order[a:b]]
+                if any(t != texts[0] for t in texts):  # different words of one hash
+                    by_text = sorted(range(b - a), key=lambda i, texts=texts: texts[i])
+                    order[a:b] = order[a:b][by_text]
+                    new[a + 1 : b] = [texts[x] != texts[y] for x, y in zip(by_text[1:], by_text[:-1], strict=True)]
+        return np.cumsum(new)
 
     def all_shingles(self) -> dict[int, np.ndarray]:
-        by_k = defaultdict(list)
-        for k, own in self.shingles:
-            by_k[k].append(own)
+        by_k: dict[int, list[np.ndarray]] = defaultdict(list)
+        for k, _, own in self.shingles:
+            by_k[k].append(own.ravel())
         return {k: np.unique(np.concatenate(v)) for k, v in by_k.items()}
 
 
@@ -70,24 +102,24 @@ class Probe:
     first: dict[int, np.ndarray]
     window: dict[int, np.ndarray]
     offset: dict[int, np.ndarray]
-    texts: list[bytes]
-    lengths: list[int]
-    owners: list[list[str]]
+    windows: Windows
 
 
-def _probe(windows: Windows, counts: dict[tuple[int, int], int]) -> Probe:
-    rows = defaultdict(list)
-    for w, (k, own) in enumerate(windows.shingles):
-        at = min(range(len(own)), key=lambda i: (counts.get((k, int(own[i])), 0), i))
-        rows[k].append((int(own[at]), w, at))
+def _probe(windows: Windows, counts: dict[int, np.ndarray]) -> Probe:
+    """The rarest shingle of each window, of equally rare ones the first; counts go by all_shingles()."""
+    every, rows = windows.all_shingles(), defaultdict(list)
+    for k, own, hashes in windows.shingles:
+        at = counts[k][np.searchsorted(every[k], hashes)].argmin(1)
+        rows[k].append((hashes[np.arange(len(own)), at], own, at))
+    windows.shingles = []
     keys, first, window, offset = {}, {}, {}, {}
-    for k, own in rows.items():
-        own.sort()
-        h = np.array([r[0] for r in own], np.uint64)
-        keys[k], start = np.unique(h, return_index=True)
+    for k, parts in rows.items():
+        h, own, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((own, h))
+        keys[k], start = np.unique(h[order], return_index=True)
         first[k] = np.append(start, len(h))
-        window[k], offset[k] = np.array([r[1] for r in own]), np.array([r[2] for r in own])
-    return Probe(keys, first, window, offset, windows.texts, windows.lengths, windows.owners)
+        window[k], offset[k] = own[order], at[order]
+    return Probe(keys, first, window, offset, windows)
 
 
 def _among(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,6 +161,7 @@ def _matcher(shared, text: str, spans: str, items: str, n_words: str):
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe: Probe = shared.value
+        windows = probe.windows
         for whole in batches:
             for batch in common.slices(whole, text):
                 data, starts, ends, bounds, hashes = _scan(batch, text)
@@ -144,13 +177,13 @@ def _matcher(shared, text: str, spans: str, items: str, n_words: str):
                         for x in range(probe.first[k][p], probe.first[k][p + 1]):
                             w = probe.window[k][x]
                             s = i - int(probe.offset[k][x])
-                            e = s + probe.lengths[w]
+                            e = s + int(windows.length[w])
                             if s < bounds[row] or e > bounds[row + 1]:
                                 continue
                             found = b" ".join(textscan.LOWER[data[starts[j] : ends[j]]].tobytes() for j in range(s, e))
-                            if found == probe.texts[w]:
+                            if found == windows.text(int(windows.first[w]), e - s):
                                 found_spans[row] += [s - int(bounds[row]), e - int(bounds[row])]
-                                found_items[row].update(probe.owners[w])
+                                found_items[row].update(windows.names[o] for o in windows.owner[windows.owner_from[w] : windows.owner_from[w + 1]])
                 made = {n_words: pa.array(np.diff(bounds)), spans: pa.array(found_spans, pa.list_(pa.int64())), items: pa.array([sorted(x) for x in found_items], pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(n) for n in batch.schema.names], batch.schema.names)
 
@@ -200,8 +233,12 @@ def _matched(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, b
     schema = hits.schema
     for block in _blocks(benchmark, block_bytes):
         windows = Windows(block, window, shingle)
-        counts = docs.select("text").mapInArrow(_counter(windows.all_shingles()), "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
-        rarity = {(r["k"], r["h"] % (1 << 64)): r["n"] for r in counts.toLocalIterator()}
+        every = windows.all_shingles()
+        counts = docs.select("text").mapInArrow(_counter(every), "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n")).toArrow()
+        rarity = {k: np.zeros(len(keys), np.int64) for k, keys in every.items()}
+        size, hashes, n = (counts[c].to_numpy() for c in ("k", "h", "n"))
+        for k, keys in every.items():
+            rarity[k][np.searchsorted(keys, hashes[size == k].view(np.uint64))] = n[size == k]
         probe = docs.sparkSession.sparkContext.broadcast(_probe(windows, rarity))
         hits = hits.mapInArrow(_matcher(probe, "text", spans, items, n_words), schema)
     return hits
