@@ -224,7 +224,7 @@ ORACLES = {
     "object_classes": """SELECT doc_id, CAST(n AS BIGINT) AS number, c AS class FROM documents, (VALUES (1, 'misc'), (2, 'misc'), (3, 'misc'), (4, 'font'), (5, 'font'), (6, 'font')) AS t(n, c)
         UNION ALL SELECT doc_id, CAST(10 * i + j AS BIGINT), CASE j WHEN 0 THEN 'misc' ELSE 'page' END FROM documents, range(1, 5) AS p(i), range(0, 2) AS q(j) WHERE i <= doc_id % 4 + 1""",
     "reached": """WITH RECURSIVE r(number, steps) AS (SELECT c_custkey, CAST(0 AS BIGINT) FROM customer WHERE c_custkey % 97 = 0
-        UNION SELECT c_custkey // 2, steps + 1 FROM r JOIN customer ON c_custkey = number) SELECT number, min(steps) AS steps FROM r GROUP BY number""",
+        UNION SELECT c_custkey // 2, steps + 1 FROM r JOIN customer ON c_custkey = number WHERE number > 0) SELECT number, min(steps) AS steps FROM r GROUP BY number""",
     "payload_pieces": f"SELECT doc_id, greatest(1, CAST(ceil({_N} / 1000.0) AS BIGINT)) AS pieces, least({_N}, 1000) AS longest, sha256(coalesce(text, '')) AS sha256, CAST(0 AS BIGINT) AS failed FROM documents",
     "heads_read": f"""SELECT doc_id, 143 + {_BODY} AS length, CAST(4 AS BIGINT) AS n_sections, doc_id % 3 AS algorithm_id, upper(md5(CAST(doc_id AS VARCHAR))) AS key_hex,
         least(1102, 143 + {_BODY}) + 44 + CASE WHEN {_BODY} <= 4096 THEN {_BODY} ELSE 0 END AS bytes_read FROM documents""",
