@@ -118,11 +118,11 @@ def heads_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 def published_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files written by manifest; the job is published anew as if the driver had been lost, and changes nothing."""
     folder, job = _folder(spark), shared.path(spark, "publish")
-    publish.write(_containers(spark, sf_dir, folder).select(F.regexp_replace("path", "([0-9])[.]ceb$", "/$1.ceb").alias("path"), "content", "doc_id"), job=job)
+    publish.write(_containers(spark, sf_dir, folder).select(F.regexp_replace("path", "/([^/]*)$", "/below/$1").alias("path"), "content", "doc_id"), job=job)
     shared.delete(spark, f"{job}/{publish.COMMITTED}")
     publish.recover(spark, job)
     again = spark.read.parquet(f"{job}/{publish.COMMITTED}").selectExpr("moved AS moved_again", "there")
-    files_ = containers.read(spark, folder, "path", "length").select(F.regexp_replace("path", "/([0-9])[.]ceb$", "$1.ceb").alias("path"), "length")
+    files_ = containers.read(spark, folder, "path", "length")
     out = shared.save(files_.select(_id("path").alias("doc_id"), "length").crossJoin(F.broadcast(again)), "published")  # one row
     _removed(folder)
     return out
