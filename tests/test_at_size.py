@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
+
+import pyarrow as pa
 
 from codicil import synth
 from codicil.functions import kernels
-from codicil.operators import evidence
+from codicil.operators import decode, evidence
 from codicil.plans import outputs
 
 
@@ -52,3 +55,25 @@ def test_places_of_a_listing_that_is_sampled(spark):
     rows = spark.range(0, 60_000, 1, 3).selectExpr("concat('/in/', sha2(cast(id AS string), 256)) AS path")
     found = sorted((r["path"], r["place"]) for r in outputs.listing(rows).collect())
     assert [place for _, place in found] == list(range(60_000))
+
+
+def test_a_batch_is_worked_on_in_parts(spark):
+    r = random.Random(7)
+    n, size = 4000, 6000
+    texts = pa.array([[r.randbytes(size)] for _ in range(n)], pa.list_(pa.binary()))
+    same = lambda x, kind: pa.array([x] * n, kind)
+    tracemalloc.start()
+    sealed = synth._sealer(True, False, True).func(texts, same("cfb64", pa.string()), same(0, pa.int32()), same(synth.KEY, pa.binary()), same(None, pa.binary()), same(0, pa.int64()))
+    sealing = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    # One section of these containers is the body, at 99.
+    bodies = pa.array([c.as_py()[99:-44] for c in sealed], pa.binary())
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    out = decode._udf(None, True, False, "keyword").func(bodies, same(synth.KEY[:16], pa.binary()), same(synth.KEY, pa.binary()), same(2, pa.int64()))
+    decoding = tracemalloc.get_traced_memory()[1] - held
+    tracemalloc.stop()
+    print("MB sealing, decoding", sealing >> 20, decoding >> 20)
+    assert len(out) == n and all(x["check"]["flate_ok"] == 1 for x in out.slice(0, 3).to_pylist())
+    # A batch of 24 MB.
+    assert sealing < 60 << 20 and decoding < 60 << 20
