@@ -14,7 +14,8 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -46,6 +47,17 @@ _BY_WORDS = (
 )
 
 
+class _Known(dict):
+    """Ids of words, in bytes; a word that isn't there is encoded and kept as it is looked up."""
+
+    def __init__(self, new: Callable[[bytes], bytes]):
+        super().__init__()
+        self.new = new
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.new(word)
+
+
 class WordCache:
     """Encodes texts with a library tokenizer by way of their words.
 
@@ -58,43 +70,56 @@ class WordCache:
 
     #: Bytes that a kept entry takes beside its key and value: two headers and a place in the table.
     ENTRY = 160
-    #: Words of a text that are looked up at once.
+    #: Words of a text between two looks at what is held.
     PART = 1 << 16
 
     def __init__(self, path: str, limit: int = 128 << 20):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.code = np.dtype(self.kind).char
         form = json.loads(self.tokenizer.to_str())
         self.by_words = (form["normalizer"], form["pre_tokenizer"]) == _BY_WORDS and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in form["added_tokens"])
         self.limit, self.held = limit, 0
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Known(self._new)
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         latin = [chr(c) for c in (*range(0x61, 0x7B), *range(0xC0, 0x100))]
         self.mapped = {ord(c): level.pre_tokenize_str(c)[0][0] for c in latin}
 
     def _whole(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _keep(self, word: bytes, ids: bytes) -> bytes:
         self.known[word] = ids
         self.held += len(word) + len(ids) + self.ENTRY
         return ids
 
+    def _letters(self, run: str) -> bytes:
+        """A run of lower-case letters, in the form that the library's pre-tokenizer gives them."""
+        return array(self.code, [t.id for t in self.model.tokenize(run)]).tobytes()
+
     def _run(self, run: str) -> bytes:
         """A run of letters, which is kept as the word that it is in lower case."""
         run = run.lower()
         word = run.encode()
         found = self.known.get(word)
-        return self._keep(word, np.array([t.id for t in self.tokenizer.model.tokenize(run.translate(self.mapped))], self.kind).tobytes()) if found is None else found
+        return self._keep(word, self._letters(run.translate(self.mapped))) if found is None else found
 
     def _new(self, word: bytes) -> bytes:
+        """Encode a word and keep it."""
+        if word.isalpha() and word.islower():  # ASCII letters, which stand for themselves
+            return self._keep(word, self._letters(word.decode()))
         text = word.decode("utf-8", "replace")
         if m := _SIMPLE.fullmatch(text):
             run, tail = m.groups()
-            return self._run(run) + (self._tail(tail) if tail else b"")
-        return self._whole(text)
+            ids = self._run(run) + (self._tail(tail) if tail else b"")
+            if word in self.known:  # a run of letters keeps itself
+                return ids
+        else:
+            ids = self._whole(text)
+        return self._keep(word, ids)
 
     def _tail(self, tail: str) -> bytes:
         word = tail.encode()
@@ -103,7 +128,7 @@ class WordCache:
 
     def _shrink(self) -> None:
         """Keep the first entries, up to half of the bytes: the first to come are the frequent ones."""
-        old, self.known, self.held = self.known, {}, 0
+        old, self.known, self.held = self.known, _Known(self._new), 0
         for word, ids in old.items():
             if self.held >= self.limit // 2:
                 break
@@ -114,12 +139,7 @@ class WordCache:
             return np.frombuffer(self._whole(text.decode("utf-8", "replace")), self.kind)
         words, out = text.split(), []
         for i in range(0, len(words), self.PART):
-            part, known = words[i : i + self.PART], self.known
-            for w in set(part).difference(known):
-                ids = known.get(w) or self._new(w)
-                if w not in known:  # a run of letters keeps itself
-                    self._keep(w, ids)
-            out.append(b"".join(map(known.__getitem__, part)))
+            out.append(b"".join(map(self.known.__getitem__, words[i : i + self.PART])))
             if self.held > self.limit:
                 self._shrink()
         return np.frombuffer(b"".join(out), self.kind)

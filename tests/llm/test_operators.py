@@ -30,6 +30,20 @@ def test_wavelet_access_rank_select():
             m.access(n)
 
 
+def test_a_word_is_encoded_as_it_is_looked_up():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens_wavelet.WORD_TOKENIZER)
+    cache = tokens_wavelet.WordCache(tokens_wavelet.WORD_TOKENIZER)
+    for word in ("straightforwardly", "Upper", "añoñés", "tail.", "MIXED,;", "it's", "2024", "a1b", "日本", "ß", "I\u0307x"):
+        ids = np.frombuffer(cache.known[word.encode()], cache.kind).tolist()
+        assert ids == library.encode(word, add_special_tokens=False).ids and word.encode() in cache.known
+    held = cache.held
+    cache.encode("Upper tail. it's straightforwardly".encode())
+    assert cache.held == held == sum(len(k) + len(v) + cache.ENTRY for k, v in cache.known.items())
+
+
+
 def test_word_cache_is_the_library():
     cache = tokens_wavelet.WordCache(tokens_wavelet.WORD_TOKENIZER, limit=20_000)
     texts = ["Hello, world!! don't we'll x's", "ÉCOLE Œuvre straße İx ﬁn é́a ñandú,", "a b c\x1cd 12 345abc <|endoftext|>", "日本語 テキスト mixed٣", "", " ".join(f"Wörd{i}x. plain{i}" for i in range(300))]
